@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,16 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def stored(frame: DataFrame) -> DataFrame:
+    """The frame written as Parquet in the shared folder and read again; the table goes when the application ends."""
+    spark = frame.sparkSession
+    place = f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}"
+    frame.write.parquet(place)
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(frame.schema).parquet(place)
+
+
 def group_count(frame: DataFrame, text: Column, group_mb: float) -> int:
     """How many groups of about ``group_mb`` MB the texts make; one pass over the column's lengths."""
     total = frame.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import table
+from tessera.llm.quality_rules import oracle as quality_oracle
+from tessera.llm.quality_rules import features, judge
 from tessera.llm.token_counts import token_counts
 
 #: Queries by name, and the DuckDB SQL of those that SQL can express.
@@ -26,3 +28,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_token_counts"] = op3_token_counts
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(features(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES["op8_quality_rules"] = op8_quality_rules
+ORACLES["op8_quality_rules"] = quality_oracle()
