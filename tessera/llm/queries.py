@@ -10,6 +10,7 @@ from tessera.llm.common import table
 from tessera.llm.quality_rules import oracle as quality_oracle
 from tessera.llm.quality_rules import features, judge
 from tessera.llm.token_counts import token_counts
+from tessera.llm.warc import warc_round_trip
 
 #: Queries by name, and the DuckDB SQL of those that SQL can express.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +38,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op8_quality_rules"] = op8_quality_rules
 ORACLES["op8_quality_rules"] = quality_oracle()
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc_round_trip(table(spark, sf_dir, "pages"), least=0)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES["op4_warc"] = op4_warc
