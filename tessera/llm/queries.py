@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.common import table
 from tessera.llm.quality_rules import oracle as quality_oracle
 from tessera.llm.quality_rules import features, judge
+from tessera.llm.simhash import simhash_components
 from tessera.llm.token_counts import token_counts
 from tessera.llm.warc import warc_round_trip
 
@@ -46,3 +47,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_warc"] = op4_warc
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"), shingle=4, distance=4)
+
+
+QUERIES["op2_simhash"] = op2_simhash
