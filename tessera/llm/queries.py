@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 from tessera.llm.quality_rules import oracle as quality_oracle
 from tessera.llm.quality_rules import features, judge
 from tessera.llm.simhash import simhash_components
+from tessera.llm.suffix_array_dedup import suffix_array_dedup
 from tessera.llm.token_counts import token_counts
 from tessera.llm.warc import warc_round_trip
 
@@ -54,3 +56,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_simhash"] = op2_simhash
+
+
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffix_array_dedup(table(spark, sf_dir, "documents"), length=50)
+    return cleaned.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES["op10_suffix_array"] = op10_suffix_array
