@@ -11,6 +11,7 @@ from tessera.llm.common import table
 from tessera.llm.quality_rules import oracle as quality_oracle
 from tessera.llm.quality_rules import features, judge
 from tessera.llm.simhash import simhash_components
+from tessera.llm.substring_dedup import substring_dedup
 from tessera.llm.suffix_array_dedup import suffix_array_dedup
 from tessera.llm.token_counts import token_counts
 from tessera.llm.warc import warc_round_trip
@@ -64,3 +65,11 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_suffix_array"] = op10_suffix_array
+
+
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), length=20)
+    return cleaned.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES["op1_substring"] = op1_substring

@@ -25,8 +25,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import group_count, raw
 from tessera.llm.words import joined, mix, word_bounds, word_hashes
@@ -170,8 +172,8 @@ class Sent:
 def chosen(group: Group, kind: Kind, buckets: int, replies: pa.Table) -> Sent:
     hashes, _, starts = asked(group, buckets)
     counts = np.diff(starts)
-    crowded = answers(replies.filter(pa.compute.equal(replies.column("step"), 1)), counts)
-    again = answers(replies.filter(pa.compute.equal(replies.column("step"), 0)), counts)
+    crowded = answers(replies.filter(pc.equal(replies.column("step"), 1)), counts)
+    again = answers(replies.filter(pc.equal(replies.column("step"), 0)), counts)
     s = group.segments
     known = np.searchsorted(hashes, s.anchor)
     take = again[known] if len(known) else np.zeros(0, bool)
@@ -226,7 +228,7 @@ def find_repeats(
     kind: Kind,
     earlier: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray],
     finish: Callable[[Group, np.ndarray], pa.Table],
-    schema: str,
+    schema: str | T.StructType,
     group_mb: float = GROUP_MB,
 ) -> DataFrame:
     """Apply ``finish`` to each group of ``docs`` (id long, text, any others) with the symbols whose string has an earlier place.
@@ -316,7 +318,7 @@ def find_repeats(
         sent = chosen(group, kind, n, replies)
         count = sent.segments.count[sent.first]
         bits = np.bincount(sent.buckets, count, minlength=n).astype(np.int64)
-        later = answers(replies.filter(pa.compute.equal(replies.column("step"), 2)), bits)
+        later = answers(replies.filter(pc.equal(replies.column("step"), 2)), bits)
         return finish(group, marked(group, kind, sent, later))
 
     by_group = dealt.groupBy("group")
