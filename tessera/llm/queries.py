@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
+from tessera.llm.language_id import held_out, identify, learn
 from tessera.llm.quality_rules import oracle as quality_oracle
 from tessera.llm.quality_rules import features, judge
 from tessera.llm.simhash import simhash_components
@@ -73,3 +74,12 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_substring"] = op1_substring
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, learn(docs))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+QUERIES["op6_language_id"] = op6_language_id
