@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
+from tessera.llm.embedding_dedup import embedding_dedup
 from tessera.llm.language_id import held_out, identify, learn
 from tessera.llm.quality_rules import oracle as quality_oracle
 from tessera.llm.quality_rules import features, judge
@@ -83,3 +84,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_language_id"] = op6_language_id
+
+
+def op9_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+QUERIES["op9_embedding"] = op9_embedding

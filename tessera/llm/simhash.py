@@ -6,9 +6,8 @@ of the small Hamming ball around them, and the full distance of those that meet
 segment only the one with the smaller value looks the other up. The number of segments falls as fingerprints become many
 (segments of about log2(n) bits, so that a lookup meets a few others): three up to 2**22 fingerprints, two beyond.
 
-Equal fingerprints are one node. A bucket of over ``SMALL`` rows does not give all its pairs but a forest of them: within
-it every node near a reached one is reached once. Buckets filed under by over ``BLOCK`` are cut into blocks that are buckets
-of their own, and lookups pass in chunks, so a task holds one block of a bucket at a time.
+Equal fingerprints are one node. Buckets in which over ``BLOCK`` are filed are cut into blocks that are buckets of their
+own, and lookups pass in chunks, so a task holds one block of a bucket at a time.
 
 Defined cases: null and empty texts have fingerprint zero; fewer words than a shingle are one shingle; rows of equal ids
 share their component; a null id never is a component's smallest unless all are null.
@@ -24,14 +23,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.buckets import connect
 from tessera.llm.common import raw, stored
 from tessera.llm.components import components
 from tessera.llm.words import LOWER, joined, word_bounds
 
 SEED = 42
 BLOCK = 20_000
-#: Rows of a bucket whose pairs are simply listed, and rows looked at together.
-SMALL, CHUNK = 24, 200_000
 #: Bytes of text hashed at once.
 SLICE = 8 << 20
 
@@ -122,50 +120,6 @@ def filed(nodes: DataFrame, cuts: list[tuple[int, int]], distance: int) -> DataF
     return nodes.select("fp", F.explode(F.concat(*rows)).alias("e")).select("fp", "e.*")
 
 
-def forest(a: np.ndarray, b: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that connect all of a and b that links within a, and from a to b, connect; at most one a node."""
-    everything = np.concatenate([a, b])
-    left, froms, tos = np.ones(len(everything), bool), [], []
-    for seed in range(len(a)):
-        if not left[seed]:
-            continue
-        left[seed] = False
-        queue = [seed]
-        while queue:
-            x = queue.pop()
-            # a node of b links to those of a only
-            rest = np.flatnonzero(left if x < len(a) else left[: len(a)])
-            if not len(rest):
-                break
-            near = rest[np.bitwise_count(everything[rest] ^ everything[x]) <= distance]
-            left[near] = False
-            froms.append(np.full(len(near), everything[x]))
-            tos.append(everything[near])
-            queue += near.tolist()
-    none = np.zeros(0, np.uint64)
-    return (np.concatenate(froms), np.concatenate(tos)) if froms else (none, none)
-
-
-def near_pairs(bucket: np.ndarray, home: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of rows that lie sorted by bucket, homes first; of each bucket as many as connect what its pairs connect."""
-    heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(heads, len(bucket)))
-    small = np.repeat(sizes <= SMALL, sizes)
-    froms, tos = [], []
-    for d in range(1, int(sizes[sizes <= SMALL].max(initial=1))):
-        i = np.flatnonzero(small[:-d] & home[:-d] & (bucket[d:] == bucket[:-d]))
-        i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= distance]
-        froms.append(fp[i])
-        tos.append(fp[i + d])
-    for head, size in zip(heads[sizes > SMALL], sizes[sizes > SMALL], strict=True):
-        rows = slice(head, head + size)
-        one, two = forest(fp[rows][home[rows]], fp[rows][~home[rows]], distance)
-        froms.append(one)
-        tos.append(two)
-    none = [np.zeros(0, np.uint64)]
-    return np.concatenate(froms or none), np.concatenate(tos or none)
-
-
 def links(nodes: DataFrame, distance: int = 4) -> DataFrame:
     """a and b: pairs of ``nodes``' distinct fp at ``distance`` bits or fewer, as many as connect what such pairs connect."""
     entries = filed(nodes, segments(nodes.count()), distance)
@@ -177,32 +131,11 @@ def links(nodes: DataFrame, distance: int = 4) -> DataFrame:
         entries.join(crowded, ["segment", "key"], "left")
         .withColumn("blocks", blocks)
         .withColumn("block", F.explode(F.when(F.col("home"), F.sequence(F.lit(0), mine)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-        .select(F.xxhash64("segment", "key", "block").alias("bucket"), (F.col("home") & (F.col("block") == mine)).alias("home"), "fp")
+        .select(F.xxhash64("segment", "key", "block").alias("bucket"), (F.col("home") & (F.col("block") == mine)).alias("home"), F.col("fp").alias("id"), F.col("fp").alias("data"))
     )
 
-    def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        kept = tuple(np.zeros(0, t) for t in (np.int64, bool, np.uint64))
-
-        def flush():
-            nonlocal held, rows, kept
-            bucket, home, fp = (np.concatenate([k, *x]) for k, x in zip(kept, zip(*held, strict=True), strict=True))
-            one, two = near_pairs(bucket, home, fp, distance)
-            # the last bucket may go on: its homes stay
-            stay = home & (bucket == bucket[-1])
-            kept, held, rows = (bucket[stay], home[stay], fp[stay]), [], 0
-            return pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["a", "b"])
-
-        for batch in batches:
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy().view(np.uint64)))
-            rows += batch.num_rows
-            if rows >= CHUNK:
-                yield flush()
-        if rows:
-            yield flush()
-
-    together = dealt.repartition("bucket").sortWithinPartitions("bucket", F.desc("home"))
-    return together.mapInArrow(connect, "a long, b long")
+    near = lambda x, y: np.bitwise_count(x ^ y) <= distance
+    return connect(dealt, near, lambda column: column.to_numpy().view(np.uint64))
 
 
 def with_components(marked: DataFrame, distance: int = 4) -> DataFrame:
