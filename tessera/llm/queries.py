@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table
 from tessera.llm.embedding_dedup import embedding_dedup
 from tessera.llm.language_id import held_out, identify, learn
+from tessera.llm.mixing import Plan, mix_sources
+from tessera.llm.mixing import oracle as mixing_oracle
 from tessera.llm.quality_rules import oracle as quality_oracle
 from tessera.llm.quality_rules import features, judge
+from tessera.llm.sentencepieces import MARK, decode, encode
 from tessera.llm.simhash import simhash_components
 from tessera.llm.substring_dedup import substring_dedup
 from tessera.llm.suffix_array_dedup import suffix_array_dedup
@@ -91,3 +94,31 @@ def op9_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_embedding"] = op9_embedding
+
+
+#: The production mixture: domains by source, weights, and as many tokens as there are, no document over twice.
+MIXTURE = Plan(
+    domain_of={f"src{i}": name for name, numbers in (("web", range(10)), ("books", range(10, 14)), ("code", range(14, 17)), ("reference", range(17, 20))) for i in numbers},
+    domains={"web": 5, "books": 2, "code": 1, "reference": 2},
+    languages={"en": 4, "de": 2, "es": 2, "fr": 2},
+    epochs=2,
+    share=(1, 1),
+)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), MIXTURE).select("row.doc_id", "domain", "n_tokens", "budget", "copies")
+
+
+QUERIES["op5_mixing"] = op5_mixing
+ORACLES["op5_mixing"] = mixing_oracle(MIXTURE)
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer("piece_bpe_32k.model")
+    coded = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    shown = F.replace(F.coalesce("text", F.lit("")), F.lit(MARK), F.lit(" "))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == shown).alias("round_trip"))
+
+
+QUERIES["op7_sentencepiece"] = op7_sentencepiece
