@@ -9,13 +9,16 @@ segment only the one with the smaller value looks the other up. The number of se
 Equal fingerprints are one node. Buckets in which over ``BLOCK`` are filed are cut into blocks that are buckets of their
 own, and lookups pass in chunks, so a task holds one block of a bucket at a time.
 
+``similar_groups`` is for a similarity well below that of 4 bits: fingerprints of ``BITS`` bits in many short segments, of
+which a similar pair shares a ball with a chance near one; see there.
+
 Defined cases: null and empty texts have fingerprint zero; fewer words than a shingle are one shingle; rows of equal ids
 share their component; a null id never is a component's smallest unless all are null.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +29,14 @@ from pyspark.sql import functions as F
 from tessera.llm.buckets import connect
 from tessera.llm.common import raw, stored
 from tessera.llm.components import components
-from tessera.llm.words import LOWER, joined, word_bounds
+from tessera.llm.words import LOWER, ODD, joined, mix, word_bounds
 
 SEED = 42
 BLOCK = 20_000
 #: Bytes of text hashed at once.
 SLICE = 8 << 20
+#: Of similar_groups: bits of a fingerprint, most that differ, and fingerprints beyond which segments are longer.
+BITS, FAR, MANY = 192, 35, 1 << 24
 
 
 def majorities(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -56,8 +61,8 @@ def majorities(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(text: np.ndarray, ends: np.ndarray, shingle: int) -> np.ndarray:
-    """Fingerprints of the texts that lie in ``text`` from ends[i] to ends[i + 1]."""
+def fingerprints(text: np.ndarray, ends: np.ndarray, shingle: int, wide: int = 1) -> np.ndarray:
+    """Fingerprints of the texts that lie in ``text`` from ends[i] to ends[i + 1], a row of ``wide`` 64-bit numbers each."""
     text = LOWER[text]
     starts, stops, first = word_bounds(text, ends)
     flat, places = joined(text, starts, stops)
@@ -68,25 +73,27 @@ def fingerprints(text: np.ndarray, ends: np.ndarray, shingle: int) -> np.ndarray
     upto = at + np.repeat(np.minimum(count, shingle), np.diff(runs))
     data, digest = flat.tobytes(), xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(data[a:b], SEED) for a, b in zip(places[at].tolist(), (places[upto] - 1).tolist(), strict=True)), np.uint64, len(at))
-    return majorities(hashes, runs)
-
+    return np.stack([majorities(mix(hashes + np.uint64(k) * ODD) if k else hashes, runs) for k in range(wide)], axis=1)
 
-def with_fingerprints(docs: DataFrame, shingle: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """k, the key, and fp, the fingerprint as a signed long, of each row."""
-    kind = docs.schema[key].dataType.simpleString()
 
+def _batches(docs: DataFrame, shingle: int, key: str, text: str, wide: int, kind: str, as_column: Callable[[np.ndarray], pa.Array]) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = raw(batch.column(1))
-            out = np.zeros(batch.num_rows, np.uint64)
+            out = np.zeros((batch.num_rows, wide), np.uint64)
             a = 0
             while a < batch.num_rows:
                 b = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE, "right")) - 1)
-                out[a:b] = fingerprints(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a], shingle)
+                out[a:b] = fingerprints(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a], shingle, wide)
                 a = b
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["k", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), as_column(out)], names=["k", "fp"])
 
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(work, f"k {kind}, fp long")
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(work, f"k {docs.schema[key].dataType.simpleString()}, fp {kind}")
+
+
+def with_fingerprints(docs: DataFrame, shingle: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """k, the key, and fp, the fingerprint as a signed long, of each row."""
+    return _batches(docs, shingle, key, text, 1, "long", lambda fp: pa.array(fp[:, 0].view(np.int64)))
 
 
 def segments(n: int) -> list[tuple[int, int]]:
@@ -103,12 +110,11 @@ def balls(bits: int, radius: int) -> list[int]:
     return [m for ring in rings[1:] for m in ring]
 
 
-def filed(nodes: DataFrame, cuts: list[tuple[int, int]], distance: int) -> DataFrame:
-    """Each fp of ``nodes`` under (segment, key): its own values (home) and the greater ones in the ball around them."""
+def filed(nodes: DataFrame, node: str, values: list[tuple[Column, int]], radius: int) -> DataFrame:
+    """``nodes`` under (segment, key): their own values of each segment (value, bits) are home, the greater ones in the ball around them are not."""
 
-    def under(segment: int, shift: int, bits: int) -> list[Column]:
-        own = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << bits) - 1))
-        masks = F.array(*[F.lit(m).cast("long") for m in balls(bits, distance // len(cuts))])
+    def under(segment: int, own: Column, bits: int) -> list[Column]:
+        masks = F.array(*[F.lit(m).cast("long") for m in balls(bits, radius)])
         around = F.filter(F.transform(masks, lambda m: own.bitwiseXOR(m)), lambda v: v > own)
 
         def entry(value: Column, home: bool) -> Column:
@@ -116,26 +122,30 @@ def filed(nodes: DataFrame, cuts: list[tuple[int, int]], distance: int) -> DataF
 
         return [F.array(entry(own, True)), F.transform(around, lambda v: entry(v, False))]
 
-    rows = [x for i, (shift, bits) in enumerate(cuts) for x in under(i, shift, bits)]
-    return nodes.select("fp", F.explode(F.concat(*rows)).alias("e")).select("fp", "e.*")
+    rows = [x for i, (own, bits) in enumerate(values) for x in under(i, own, bits)]
+    return nodes.select(F.col(node).alias("id"), F.col("fp").alias("data"), F.explode(F.concat(*rows)).alias("e")).select("id", "data", "e.*")
 
 
-def links(nodes: DataFrame, distance: int = 4) -> DataFrame:
-    """a and b: pairs of ``nodes``' distinct fp at ``distance`` bits or fewer, as many as connect what such pairs connect."""
-    entries = filed(nodes, segments(nodes.count()), distance)
+def meet(entries: DataFrame, distance: int, decode: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """a and b: nodes that meet in a bucket of ``entries`` (id, data, segment, key, home) at ``distance`` bits or fewer, as many as connect what such pairs connect."""
     # buckets of many homes: each block of them is a bucket, in which other blocks' homes look up too
     crowded = entries.where("home").groupBy("segment", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
     blocks = F.coalesce(F.ceil(F.col("n") / BLOCK).cast("int"), F.lit(1))
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = (
         entries.join(crowded, ["segment", "key"], "left")
         .withColumn("blocks", blocks)
         .withColumn("block", F.explode(F.when(F.col("home"), F.sequence(F.lit(0), mine)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-        .select(F.xxhash64("segment", "key", "block").alias("bucket"), (F.col("home") & (F.col("block") == mine)).alias("home"), F.col("fp").alias("id"), F.col("fp").alias("data"))
+        .select(F.xxhash64("segment", "key", "block").alias("bucket"), (F.col("home") & (F.col("block") == mine)).alias("home"), "id", "data")
     )
+    return connect(dealt, lambda x, y: np.bitwise_count(x ^ y).sum(-1) <= distance, decode)
 
-    near = lambda x, y: np.bitwise_count(x ^ y) <= distance
-    return connect(dealt, near, lambda column: column.to_numpy().view(np.uint64))
+
+def links(nodes: DataFrame, distance: int = 4) -> DataFrame:
+    """a and b: pairs of ``nodes``' distinct fp at ``distance`` bits or fewer, as many as connect what such pairs connect."""
+    cuts = segments(nodes.count())
+    values = [(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << bits) - 1)), bits) for shift, bits in cuts]
+    return meet(filed(nodes, "fp", values, distance // len(cuts)), distance, lambda column: column.to_numpy().view(np.uint64)[:, None])
 
 
 def with_components(marked: DataFrame, distance: int = 4) -> DataFrame:
@@ -153,3 +163,24 @@ def simhash_components(docs: DataFrame, shingle: int = 4, distance: int = 4, key
     """``key``, fingerprint (hexadecimal) and component_id of each row."""
     found = with_components(with_fingerprints(docs, shingle, key, text), distance)
     return found.select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and component_id, the smallest key that links reach, of each row; links are fingerprints of ``BITS`` bits that differ in ``FAR`` or fewer.
+
+    Texts that share eight of ten shingles have a cosine of 0.89 and differ in 29 of 192 bits on average, in 35 or fewer of 192 nine
+    times in ten; unrelated ones differ in 96, practically never in 35. Segments are too many and short for balls that
+    leave nothing out at that distance; of such a pair, one segment of 16 bits at least differs in a bit at most with a chance
+    of 0.98, and one of 24 bits in two bits with 0.92. Copies that are more alike are missed less often: none of 10,000 at 0.95.
+    """
+    coded = lambda fp: pa.array([row.tobytes() for row in fp.byteswap()], pa.binary())
+    marked = stored(_batches(docs, shingle, key, text, BITS // 64, "binary", coded))
+    nodes = stored(marked.groupBy("fp").agg(F.min("k").alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    size, radius = (2, 1) if nodes.count() <= MANY else (3, 2)
+    values = [(F.conv(F.hex(F.substring("fp", 1 + size * i, size)), 16, 10).cast("long"), 8 * size) for i in range(BITS // 8 // size)]
+    decode = lambda column: np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+    reached = components(meet(filed(nodes, "node", values, radius), FAR, decode))
+    roots = nodes.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    firsts = roots.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = stored(roots.join(firsts, "component").select("fp", "component_id"))
+    return marked.join(named, "fp").select(F.col("k").alias(key), "component_id")
