@@ -34,9 +34,9 @@ from tessera.llm.words import ODD, mix
 MARK = "▁"
 BASE = 0xD1342543DE82EF95
 #: Words and steps that a worker remembers; the longest word remembered, and searched without being cut.
-KEEP_WORDS, KEEP_STEPS, LONG = 400_000, 2_000_000, 48
+KEEP_WORDS, KEEP_STEPS, LONG = 200_000, 2_000_000, 48
 #: Cells (words by substrings) looked at together; bytes of text laid out at once.
-CELLS, SLICE = 1 << 20, 16 << 20
+CELLS, SLICE = 1 << 18, 2 << 20
 
 
 def merge(text: str, rank: dict[str, int]) -> list[str]:
@@ -276,8 +276,15 @@ class Pieces:
     def decode(self, column: pa.ListArray) -> pa.Array:
         """Texts of each list of ids; bytes that are no UTF-8 become U+FFFD."""
         ends = column.offsets.to_numpy().astype(np.int64)
-        ids = column.values.to_numpy()[ends[0] : ends[-1]]
-        ends = ends - ends[0]
+        ids = column.values.to_numpy()
+        parts, a = [], 0
+        while a < len(column):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE // 4, "right")) - 1)
+            parts.append(self._decode(ids[ends[a] : ends[b]], ends[a : b + 1] - ends[a]))
+            a = b
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+    def _decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
         sizes = (self.shown_at[1:] - self.shown_at[:-1])[ids]
         run = np.concatenate([[0], np.cumsum(sizes)])
         flat = self.shown[np.repeat(self.shown_at[ids] - run[:-1], sizes) + np.arange(run[-1])]
@@ -290,7 +297,7 @@ class Pieces:
         gone = np.zeros(len(heads), np.int64)
         gone[front + 1] = 1
         flat, heads = flat[keep], heads - np.cumsum(gone)
-        texts = pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(heads.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+        texts = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(heads.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
         try:
             return texts.cast(pa.string())
         except pa.ArrowInvalid:
