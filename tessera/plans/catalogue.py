@@ -20,3 +20,10 @@ def query(name: str, sql: str | None = None):
         return build
 
     return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from tessera.plans import evaluation, generation, lookups, texts  # noqa: E402, F401  they register their queries
