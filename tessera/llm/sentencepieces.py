@@ -33,10 +33,10 @@ from tessera.llm.words import ODD, mix
 
 MARK = "▁"
 BASE = 0xD1342543DE82EF95
-#: Words and steps that a worker remembers; the longest word remembered, and searched without being cut.
-KEEP_WORDS, KEEP_STEPS, LONG = 200_000, 2_000_000, 48
-#: Cells (words by substrings) looked at together; bytes of text laid out at once.
-CELLS, SLICE = 1 << 18, 2 << 20
+#: Words and ids that a worker remembers, and places for steps (a power of two); the longest word searched without being cut.
+KEEP_WORDS, KEEP_IDS, STEPS, LONG = 300_000, 8_000_000, 1 << 21, 48
+#: Bits of a filter of the pieces' keys; cells (words by substrings) looked at together; bytes of text laid out at once.
+FILTER, CELLS, SLICE = 22, 1 << 19, 2 << 20
 
 
 def merge(text: str, rank: dict[str, int]) -> list[str]:
@@ -98,8 +98,10 @@ class Pieces:
         keys, numbers = np.concatenate(keys), np.concatenate(numbers)
         by = np.argsort(keys)
         self.keys, self.numbers = keys[by], numbers[by].astype(np.int64)
-        self.words: dict[str, np.ndarray] = {}
-        self.steps, self.allowed = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.likely = np.zeros(1 << FILTER, bool)
+        self.likely[self.keys >> np.uint64(64 - FILTER)] = True
+        self._forget()
+        self.steps, self.allowed = np.full(STEPS, -1, np.int64), np.zeros(STEPS, bool)
         # what each id adds to a decoded text
         shown = [self.names[i].replace(MARK, " ").encode() if i in self.names else b"" for i in range(size)]
         for b, i in enumerate(self.bytes):
@@ -124,10 +126,18 @@ class Pieces:
         powers = np.array([pow(BASE, int(n), 1 << 64) for n in sizes], np.uint64)
         return mix(prefixes[:, end, None] - prefixes[:, end - sizes] * powers + sizes.astype(np.uint64) * ODD)
 
+    def _forget(self) -> None:
+        self.words: dict[str, int] = {}
+        self.known, self.known_at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these keys, -1 where there is none."""
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.numbers[at], -1)
+        out = np.full(keys.shape, -1, np.int64)
+        some = self.likely[keys >> np.uint64(64 - FILTER)]
+        asked = keys[some]
+        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        out[some] = np.where(self.keys[at] == asked, self.numbers[at], -1)
+        return out
 
     def _stays(self, left: int, right: int) -> bool:
         """Whether merging the text of both gives both."""
@@ -137,19 +147,18 @@ class Pieces:
     def may_follow(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Of each pair of ids whether the step from one to the other is allowed."""
         left = np.where(left == self.unknown, self.start, left)  # nothing merges with an unknown character
-        asked, back = np.unique(left * (self.start + 1) + right, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.steps, asked), max(len(self.steps) - 1, 0))
-        new = asked if not len(self.steps) else asked[self.steps[at] != asked]
+        asked = left * (self.start + 1) + right
+        at = (mix(asked.view(np.uint64)) & np.uint64(STEPS - 1)).astype(np.int64)
+        out = self.allowed[at]
+        new = np.flatnonzero(self.steps[at] != asked)
         if len(new):
-            fresh = np.array([self._stays(*divmod(int(x), self.start + 1)) for x in new], bool)
-            if len(self.steps) > KEEP_STEPS:  # all that is asked now is asked again
-                self.steps, self.allowed = np.zeros(0, np.int64), np.zeros(0, bool)
-                return self.may_follow(left, right)
-            steps, allowed = np.concatenate([self.steps, new]), np.concatenate([self.allowed, fresh])
-            by = np.argsort(steps)
-            self.steps, self.allowed = steps[by], allowed[by]
-            at = np.searchsorted(self.steps, asked)
-        return self.allowed[at][back]
+            # a step takes the place of another with the same hash
+            steps, first, back = np.unique(asked[new], return_index=True, return_inverse=True)
+            fresh = np.array([self._stays(*divmod(int(x), self.start + 1)) for x in steps], bool)
+            places = at[new][first]
+            self.steps[places], self.allowed[places] = steps, fresh
+            out[new] = fresh[back]
+        return out
 
     def search(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For words as rows of code points: by end the best piece that ends there, and where it starts (-1: no path)."""
@@ -200,18 +209,26 @@ class Pieces:
         for i, part in enumerate(parts):
             by_length.setdefault(len(part), []).append(i)
         for length, some in by_length.items():
-            step = max(1, CELLS // (length * min(length, self.longest)))
+            step = max(1, CELLS // max(1, length * min(length, self.longest)))
             for a in range(0, len(some) if length else 0, step):
                 group = some[a : a + step]
                 piece, begin = self.search(points([parts[i] for i in group], length))
-                for row, i in enumerate(group):
-                    path, end = [], length
-                    while end > 0 and begin[row, end] >= 0:
-                        path.append(int(piece[row, end]))
-                        end = int(begin[row, end])
-                    if end:
-                        path = [self.ids.get(s, self.unknown) for s in reversed(merge(parts[i], self.rank))]
-                    out[i] = self.spell(parts[i], path[::-1])
+                # all walk back together, from the last piece to the first
+                row, end, path = np.arange(len(group)), np.full(len(group), length), []
+                while (end > 0).any():
+                    path.append(np.where(end > 0, piece[row, end], -1))
+                    end = np.where(end > 0, begin[row, end], end)
+                lost, odd = end < 0, np.zeros(len(group), bool)
+                forward = np.stack(path[::-1]).T
+                odd[:] = (forward == self.unknown).any(1)
+                counts = (forward >= 0).sum(1)
+                found = np.split(forward[forward >= 0].astype(np.int32), np.cumsum(counts)[:-1])
+                for i, ids in zip(group, found, strict=True):
+                    out[i] = ids
+                for n in np.flatnonzero(odd | lost):
+                    i = group[n]
+                    ids = [self.ids.get(x, self.unknown) for x in merge(parts[i], self.rank)] if lost[n] else out[i].tolist()
+                    out[i] = self.spell(parts[i], ids)
         return out
 
     def cut(self, word: str) -> list[str]:
@@ -219,23 +236,20 @@ class Pieces:
         edges = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs), len(word)]
         return [word[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words, each with its spaces in front."""
+    def encode_words(self, words: list[str]) -> np.ndarray:
+        """Numbers of words, each with its spaces in front, under which ``known_at`` says where ``known`` has their ids."""
+        if len(self.words) > KEEP_WORDS or len(self.known) > KEEP_IDS:
+            self._forget()
         missing = [w for w in words if w not in self.words]
-        fresh: dict[str, np.ndarray] = {}
         if missing:
             marked = [w.replace(" ", MARK) for w in missing]
             parts = [self.cut(w) if len(w) > LONG else [w] for w in marked]
             flat = self.encode_parts([p for x in parts for p in x])
-            at = 0
-            for w, x in zip(missing, parts, strict=True):
-                fresh[w] = flat[at] if len(x) == 1 else np.concatenate(flat[at : at + len(x)])
-                at += len(x)
-        out = [fresh[w] if w in fresh else self.words[w] for w in words]
-        if len(self.words) + len(fresh) > KEEP_WORDS:
-            self.words.clear()
-        self.words.update((w, ids) for w, ids in fresh.items() if len(w) <= LONG)
-        return out
+            sizes = np.add.reduceat([len(x) for x in flat], np.cumsum([0, *map(len, parts)])[:-1])
+            self.words.update(zip(missing, range(len(self.known_at) - 1, len(self.known_at) - 1 + len(missing)), strict=True))
+            self.known = np.concatenate([self.known, *flat])
+            self.known_at = np.concatenate([self.known_at, self.known_at[-1] + np.cumsum(sizes)])
+        return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
 
     # -- whole columns -----------------------------------------------------------------------------------------------
 
@@ -263,15 +277,12 @@ class Pieces:
         starts = np.flatnonzero(first)
         offsets = np.append(starts, len(flat)).astype(np.int32)
         words = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())]).dictionary_encode()
-        known = self.encode_words(words.dictionary.to_pylist())
-        count = np.array([len(x) for x in known], np.int64)
-        each = np.concatenate(known) if known else np.zeros(0, np.int32)
-        at = np.cumsum(count) - count
-        which = words.indices.to_numpy()
-        lengths = count[which]
+        number = self.encode_words(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        at = self.known_at[number]
+        lengths = self.known_at[number + 1] - at
         run = np.concatenate([[0], np.cumsum(lengths)])
-        ids = each[np.repeat(at[which] - run[:-1], lengths) + np.arange(run[-1])]
-        return pa.ListArray.from_arrays(pa.array(run[np.searchsorted(starts, heads)].astype(np.int32)), pa.array(ids.astype(np.int32)))
+        ids = self.known[np.repeat(at - run[:-1], lengths) + np.arange(run[-1])]
+        return pa.ListArray.from_arrays(pa.array(run[np.searchsorted(starts, heads)].astype(np.int32)), pa.array(ids))
 
     def decode(self, column: pa.ListArray) -> pa.Array:
         """Texts of each list of ids; bytes that are no UTF-8 become U+FFFD."""
