@@ -107,7 +107,7 @@ def _step(patterns: Column) -> Column:
     def logs(weight, everything: Column, prior: tuple[float, float]) -> Column:
         """By rule, the logs of the shares of votes for poor and for good."""
         cast = lambda j, v: F.aggregate(patterns, F.lit(0.0), lambda a, p: a + F.when(F.get(p["votes"], j) == v, weight(p)).otherwise(0.0)) + everything * prior[v // 2]
-        return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: _let(F.struct(cast(j, 0).alias("no"), cast(j, 2).alias("yes")), lambda c: F.struct(F.log(c["no"] / (c["no"] + c["yes"])).alias("no"), F.log(c["yes"] / (c["no"] + c["yes"])).alias("yes"))))
+        return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: _let(F.struct(cast(j, 0).alias("no"), cast(j, 2).alias("yes")), lambda c: F.struct(F.log(F.try_divide(c["no"], c["no"] + c["yes"])).alias("no"), F.log(F.try_divide(c["yes"], c["no"] + c["yes"])).alias("yes"))))
 
     def posterior(share: Column) -> Column:
         sum_of = lambda p, table: F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(0.0), lambda a, j: a + F.when(F.get(p["votes"], j) == 0, F.get(share[table], j)["no"]).when(F.get(p["votes"], j) == 2, F.get(share[table], j)["yes"]).otherwise(0.0))
