@@ -17,28 +17,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.repeats import GROUP_MB, Group, Kind, find_repeats
+from tessera.llm.repeats import Group, Kind, find_repeats
 
 #: Symbols in a sort key: 9 bits each, byte values from 1 and 0 for ends.
 KEY = 7
+#: MB of text in a group; there are several times as many strings of bytes as of words.
+GROUP_MB = 1
+
+
+def next_place(found: np.ndarray) -> np.ndarray:
+    """For each place the first from it on where ``found`` is true, or the length."""
+    place = np.where(found, np.arange(len(found), dtype=np.int32), np.int32(len(found)))[::-1]
+    return np.minimum.accumulate(place, out=place)[::-1]
 
 
 def types(text: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than its successor."""
-    step = np.sign(text[1:].astype(np.int32) - text[:-1])
-    place = np.where(step != 0, np.arange(len(step)), len(step))
-    place = np.minimum.accumulate(place[::-1])[::-1]
-    out = np.ones(len(text), bool)
-    out[:-1] = np.append(step, 1)[place] > 0
-    return out
+    up = np.append(text[1:] > text[:-1], True)  # the end counts as a step up
+    return up[np.minimum(next_place(np.append(text[1:] != text[:-1], True)), len(text) - 1)] if len(text) else up[:0]
 
 
 def keys(text: np.ndarray) -> np.ndarray:
     """For each place the KEY symbols from it, as a number that sorts like them."""
-    padded = np.concatenate([text, np.zeros(KEY, text.dtype)]).astype(np.uint64)
     out = np.zeros(len(text), np.uint64)
     for i in range(KEY):
-        out = (out << np.uint64(9)) | padded[i : i + len(text)]
+        np.left_shift(out, np.uint64(9), out=out)
+        np.bitwise_or(out[: len(text) - i], text[i:], out=out[: len(text) - i])
     return out
 
 
@@ -119,10 +123,11 @@ def earlier_documents(length: int):
         n = len(counts)
         if not n:
             return np.zeros(0, bool)
-        sizes = np.diff(offsets)
-        owner = np.repeat(np.arange(n), sizes)
         flat = np.zeros(len(text) + n, np.uint16)  # each segment ends with a 0
-        flat[np.arange(len(text)) + owner] = text.astype(np.uint16) + 1
+        inside = np.ones(len(flat), bool)
+        inside[offsets[1:] + np.arange(n)] = False
+        flat[inside] = text.astype(np.uint16) + 1
+        del inside
         heads = offsets[:-1] + np.arange(n)
         shift = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         strings = np.repeat(heads, counts) + shift
@@ -130,15 +135,15 @@ def earlier_documents(length: int):
         wanted[strings] = True
         # behind a segment's last string all up to the first small suffix, from which the larger ones follow
         small = types(flat)
-        following = np.where(small, np.arange(len(flat)), len(flat))
-        following = np.minimum.accumulate(following[::-1])[::-1]
+        following = next_place(small)
         last = heads + counts - 1
         more = following[last] - last
+        del small, following
         wanted[np.repeat(last, more) + np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1] = True
         key = keys(flat)
         order = suffix_order(flat, wanted, key, length)
-        number = np.full(len(flat), -1, np.int64)
-        number[strings] = np.arange(len(strings))
+        number = np.full(len(flat), -1, np.int32)
+        number[strings] = np.arange(len(strings), dtype=np.int32)
         order = order[number[order] >= 0]
         new = common_prefixes(order, key, length) < length
         new[:1] = True
