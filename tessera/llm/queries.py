@@ -14,7 +14,7 @@ from tessera.llm.mixing import Plan, mix_sources
 from tessera.llm.mixing import oracle as mixing_oracle
 from tessera.llm.quality_rules import oracle as quality_oracle
 from tessera.llm.quality_rules import features, judge
-from tessera.llm.sentencepieces import MARK, decode, encode
+from tessera.llm.sentencepieces import MARK, encode
 from tessera.llm.simhash import simhash_components
 from tessera.llm.substring_dedup import substring_dedup
 from tessera.llm.suffix_array_dedup import suffix_array_dedup
@@ -116,7 +116,7 @@ ORACLES["op5_mixing"] = mixing_oracle(MIXTURE)
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer("piece_bpe_32k.model")
-    coded = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded="decoded")
     shown = F.replace(F.coalesce("text", F.lit("")), F.lit(MARK), F.lit(" "))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == shown).alias("round_trip"))
 

@@ -330,17 +330,22 @@ def pieces(path: str, additive: bool = False) -> Pieces:
     return _LOADED[path, additive]
 
 
-def encode(frame: DataFrame, path: str, text: str = "text", ids: str = "ids", additive: bool = False) -> DataFrame:
-    """``frame`` with a column ``ids`` of the pieces of ``text``; rows stay where they are. A column of that name is replaced."""
-    frame = frame.drop(ids)
+def encode(frame: DataFrame, path: str, text: str = "text", ids: str = "ids", additive: bool = False, decoded: str | None = None) -> DataFrame:
+    """``frame`` with a column ``ids`` of the pieces of ``text``, and with ``decoded`` one of their texts, from the same pass; rows stay where they are. Columns of these names are replaced."""
+    frame = frame.drop(ids, *([decoded] if decoded else []))
     at = frame.columns.index(text)
+    schema = T.StructType(list(frame.schema.fields)).add(ids, T.ArrayType(T.IntegerType()))
+    if decoded:
+        schema = schema.add(decoded, T.StringType())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pieces(path, additive)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, known.encode(batch.column(at))], names=[*batch.schema.names, ids])
+            found = known.encode(batch.column(at))
+            more = [found, known.decode(found)] if decoded else [found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=schema.names)
 
-    return frame.mapInArrow(work, T.StructType(list(frame.schema.fields)).add(ids, T.ArrayType(T.IntegerType())))
+    return frame.mapInArrow(work, schema)
 
 
 def decode(frame: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
