@@ -13,7 +13,7 @@ from tessera.llm.common import stored, table
 from tessera.llm.mixing import mixture
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.queries import MIXTURE, tokenizer
-from tessera.llm.sentencepieces import decode, encode
+from tessera.llm.sentencepieces import encode
 from tessera.llm.simhash import similar_groups
 from tessera.llm.substring_dedup import substring_dedup
 
@@ -51,7 +51,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, token ids, and whether they decode to the text."""
     path = tokenizer("piece_bpe_32k.model")
-    coded = decode(encode(docs.select("doc_id", "lang", "source", "text"), path), path)
+    coded = encode(docs.select("doc_id", "lang", "source", "text"), path, decoded="decoded")
     shown = F.replace(F.coalesce("text", F.lit("")), F.lit("▁"), F.lit(" "))
     return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_pieces"), (F.col("decoded") == shown).alias("round_trip"))
 
