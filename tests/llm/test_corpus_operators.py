@@ -155,6 +155,24 @@ def test_similar_groups(spark):
     assert similar_groups(rows.limit(0)).count() == 0
 
 
+def test_similar_groups_are_those_of_jaccard(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(9))
+    frame = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # runs of words: 80 shingles in common of 100 in both, and one less
+    texts = []
+    for extra in [10] * 60 + [11] * 60:
+        common = [word() for _ in range(84)]
+        texts += [" ".join(common + [word() for _ in range(extra)]), " ".join([word() for _ in range(20 - min(extra, 10))] + common)]
+    got = {i: r.component_id for i, r in by_id(similar_groups(frame(texts))).items()}
+    assert got == {i: i - i % 2 if i < 120 else i for i in range(240)}
+    # boilerplate of two thirds and a line that all have: nothing is a copy
+    boiler = " ".join(word() for _ in range(100))
+    own = [boiler + " " + " ".join(word() for _ in range(25)) for _ in range(200)]
+    got = {i: r.component_id for i, r in by_id(similar_groups(frame(own))).items()}
+    assert got == {i: i for i in range(200)}
+
+
 # 3, 7 ------------------------------------------------------------------------------------------------------------------
 
 
