@@ -62,6 +62,18 @@ def bucket_links(bucket: np.ndarray, home: np.ndarray, data: np.ndarray, near: N
     return np.concatenate(froms or none), np.concatenate(tos or none)
 
 
+def dealt(rows: DataFrame, crowded: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """``rows`` (``keys``, home, id, data) in buckets that hold about ``block`` homes; of ``crowded`` keys (n, their homes) each block of homes is a bucket, in which later blocks' homes look up too."""
+    blocks = F.coalesce(F.ceil(F.col("n") / block).cast("int"), F.lit(1))
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    return (
+        rows.join(crowded, keys, "left")
+        .withColumn("blocks", blocks)
+        .withColumn("block", F.explode(F.when(F.col("home"), F.sequence(F.lit(0), mine)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+        .select(F.xxhash64(*keys, "block").alias("bucket"), (F.col("home") & (F.col("block") == mine)).alias("home"), "id", "data")
+    )
+
+
 def connect(rows: DataFrame, near: Near, decode: Callable[[pa.Array], np.ndarray]) -> DataFrame:
     """a and b of links found in the buckets of ``rows`` (bucket long, home boolean, id long, data); homes of a bucket must fit in a task, lookups pass in chunks."""
 

@@ -6,8 +6,8 @@ their cosine is verified in double precision. Links that meet give the component
 all links are counted afterwards, block by block, as linked vectors always share one. Thus a component's links are found
 even where their vectors met in no table, and no group gives all its pairs.
 
-For up to 2**17 different vectors ``plan`` takes 4 tables, 8 lookups and wide cells, beyond it 10 tables, 12 lookups and
-cells of which there are some ten times as many. Either meets a pair at cosine 0.95 with a chance over 0.999 (0.84 or 0.79 a table).
+``PLAN`` is 10 tables with 12 lookups at every size, which meets a pair at cosine 0.95 with a chance over 0.999 (0.79 a table).
+Cells in which over ``HOMES`` vectors are at home are cut into blocks that are buckets of their own, so a task holds one block.
 
 Equal vectors are one node with a weight. Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing and are their own component; shorter vectors count as filled up with zeros; rows of equal ids
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.buckets import connect
+from tessera.llm.buckets import connect, dealt
 from tessera.llm.common import stored
 from tessera.llm.components import components
 from tessera.llm.words import mix
@@ -33,11 +33,8 @@ THRESHOLD = 0.95
 #: Vectors of a component that are compared with as many others at a time; rows read before their links are counted.
 BLOCK, CHUNK = 2048, 8192
 SEED = 20_24
-
-
-def plan(n: int) -> tuple[int, int, float]:
-    """Tables, lookups in each, and the projections' scale."""
-    return (4, 8, 0.6) if n <= 1 << 17 else (10, 12, 0.8)
+#: Tables, lookups in each, and the projections' scale; homes of a bucket.
+PLAN, HOMES = (10, 12, 0.8), 20_000
 
 
 def _nearest_d8(x: np.ndarray) -> np.ndarray:
@@ -185,7 +182,10 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, key: str =
     usable = rows.where(F.col("vec").isNotNull())
     # written, so that the numbers given here hold
     nodes = stored(usable.groupBy("vec").agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("first")).withColumn("node", F.monotonically_increasing_id()))
-    cells = file_cells(nodes, *plan(nodes.count()))
+    tables, lookups, scale = PLAN
+    # at most tables * vectors / HOMES cells
+    crowded = F.broadcast(file_cells(nodes, tables, 0, scale).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOMES))
+    cells = dealt(file_cells(nodes, *PLAN), crowded, ["bucket"], HOMES)
     found = components(connect(cells, near_vectors(threshold), lambda column: _unit(_matrix(column))))
     linked = found.select("node", "component").unionByName(found.select(F.col("component").alias("node"), "component").distinct())
     grouped = stored(nodes.join(linked, "node"))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.buckets import connect
+from tessera.llm.buckets import connect, dealt
 from tessera.llm.common import raw, stored
 from tessera.llm.components import components
 from tessera.llm.words import LOWER, ODD, joined, mix, word_bounds
@@ -135,15 +135,7 @@ def meet(entries: DataFrame, distance: int, decode: Callable[[pa.Array], np.ndar
     """a and b: nodes that meet in a bucket of ``entries`` (id, data, segment, key, home) at ``distance`` bits or fewer, as many as connect what such pairs connect."""
     # buckets of many homes: each block of them is a bucket, in which other blocks' homes look up too
     crowded = entries.where("home").groupBy("segment", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
-    blocks = F.coalesce(F.ceil(F.col("n") / BLOCK).cast("int"), F.lit(1))
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = (
-        entries.join(crowded, ["segment", "key"], "left")
-        .withColumn("blocks", blocks)
-        .withColumn("block", F.explode(F.when(F.col("home"), F.sequence(F.lit(0), mine)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-        .select(F.xxhash64("segment", "key", "block").alias("bucket"), (F.col("home") & (F.col("block") == mine)).alias("home"), "id", "data")
-    )
-    return connect(dealt, lambda x, y: np.bitwise_count(x ^ y).sum(-1) <= distance, decode)
+    return connect(dealt(entries, crowded, ["segment", "key"], BLOCK), lambda x, y: np.bitwise_count(x ^ y).sum(-1) <= distance, decode)
 
 
 def links(nodes: DataFrame, distance: int = 4) -> DataFrame:

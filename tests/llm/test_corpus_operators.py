@@ -330,6 +330,18 @@ def test_embeddings(spark):
     assert E.embedding_dedup(frame.limit(0)).count() == 0
 
 
+def test_crowded_cells_are_dealt_in_blocks(spark, monkeypatch):
+    """A cell that holds a group is cut up, and its links are still found."""
+    rng, seen = np.random.default_rng(9), []
+    base = rng.normal(0, 1, 16)
+    rows = [(i, (base + rng.normal(0, 0.01, 16)).tolist()) for i in range(300)] + [(300 + i, rng.normal(0, 1, 16).tolist()) for i in range(50)]
+    monkeypatch.setattr(E, "HOMES", 20)
+    monkeypatch.setattr(E, "connect", lambda rows, *rest, f=E.connect: seen.append(rows) or f(rows, *rest))
+    got = by_id(E.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), "vec_id")
+    assert all((got[i].component_id, got[i].n_links) == (0, 299) for i in range(300))
+    assert max(r.n for r in seen[0].where("home").groupBy("bucket").agg(F.count("id").alias("n")).collect()) < 60
+
+
 def test_embedding_recall(spark):
     """All links of the whole small table by brute force: at least 0.9 of them, and none that isn't one."""
     rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()
