@@ -302,14 +302,20 @@ def quotes(x: Column, least: int = 12, most: int = 400) -> Column:
     return F.filter(found, lambda q: ~F.exists(found, lambda o: (F.length(o) > F.length(q)) & F.contains(o, q)))
 
 
-def longest_shared_run(a: Column, b: Column, most: int = 12) -> Column:
-    """Words of the longest run of ``a`` (up to ``most``) that ``b`` has too."""
-    words = F.split(answer_key(a), " ")
+def longest_shared_run(a: Column, b: Column) -> Column:
+    """Words of the longest run of ``a`` that ``b`` has too: at each word the longest run so far is grown by one while ``b`` has that."""
+    words = F.filter(F.split(answer_key(a), " "), lambda w: w != "")
     padded = F.concat(F.lit(" "), answer_key(b), F.lit(" "))
-    def longest(i: Column) -> Column:
-        runs = F.filter(F.sequence(F.lit(1), F.least(F.lit(most), F.size(words) - i)), lambda n: F.contains(padded, F.concat(F.lit(" "), F.array_join(F.slice(words, i + 1, n), " "), F.lit(" "))))
-        return F.coalesce(F.array_max(runs), F.lit(0))
-    return F.array_max(F.transform(F.sequence(F.lit(0), F.size(words) - 1), longest))
+    state = lambda ws, i, best: F.struct(ws.alias("ws"), i.alias("i"), best.alias("best"))
+
+    def step(s: Column, _: Column) -> Column:
+        longer = F.concat(F.lit(" "), F.array_join(F.slice(s["ws"], s["i"] + 1, s["best"] + 1), " "), F.lit(" "))
+        fits = (s["i"] + s["best"] < F.size(s["ws"])) & F.contains(padded, longer)
+        return state(s["ws"], F.when(fits, s["i"]).otherwise(s["i"] + 1), F.when(fits, s["best"] + 1).otherwise(s["best"]))
+
+    # a step goes on by a word or grows the run by one
+    steps = F.sequence(F.lit(0), 2 * F.size(words))
+    return F.when(a.isNotNull() & b.isNotNull(), F.aggregate(steps, state(words, F.lit(0), F.lit(0)), step, lambda s: s["best"]))
 
 
 def and_list(x: Column) -> Column:

@@ -108,7 +108,7 @@ def escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("sentence_segments")
 def sentence_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clauses of 4 to 14 words."""
-    return table(spark, sf_dir, "benchmark").select("item_id", X.segments(X.collapse(F.col("text")), 4, 14, 8).alias("segments"))
+    return table(spark, sf_dir, "benchmark").select("item_id", X.segments(X.collapse(F.col("text")), 4, 14).alias("segments"))
 
 
 @query("plain_titles")
@@ -122,7 +122,7 @@ def shared_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest run of words that a question shares with the turn that answers it."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("said"))
-    return turns.where("role = 'user'").join(after, ["conv_id", "turn"]).select("conv_id", "turn", X.longest_shared_run(F.col("text"), F.col("said"), 6).alias("run"))
+    return turns.where("role = 'user'").join(after, ["conv_id", "turn"]).select("conv_id", "turn", X.longest_shared_run(F.col("text"), F.col("said")).alias("run"))
 
 
 @query("scored_readouts")

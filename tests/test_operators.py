@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import text as X
+from tessera.plans.catalogue import QUERIES
 from tessera.operators import auditing, generate, judging, learning, rows, splits
 from tessera.sources import files
 from tessera.streaming import answers
@@ -89,6 +91,30 @@ def test_logistic_scores_order_the_labels(spark):
     assert scored.count() == 100 and scored.where("(score > 0.5) <> (y = 1)").count() <= 4
 
 
+def test_shared_runs_and_segments_have_no_cap(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randrange(0, 30))), " ".join(rng.choice("abc") for _ in range(rng.randrange(0, 30)))) for i in range(60)]
+    same = " ".join(f"w{i}" for i in range(40))
+    rows += [(60, f"x {same}", f"{same} y"), (61, None, "a"), (62, "", "")]
+
+    def brute(a, b):
+        a, b = a.split(), b.split()
+        return max([n for n in range(len(a) + 1) for i in range(len(a) - n + 1) if n == 0 or any(a[i : i + n] == b[j : j + n] for j in range(len(b)))], default=0)
+
+    frame = spark.createDataFrame(rows, "i int, a string, b string")
+    got = {r.i: r.run for r in frame.select("i", X.longest_shared_run(F.col("a"), F.col("b")).alias("run")).collect()}
+    assert got == {i: None if a is None else brute(a, b) for i, a, b in rows} and got[60] == 40
+
+
+def test_registered_segments_are_whole(spark, tmp_path):
+    words = "alpha bravo carbon delta ember forest garden harbor island jungle kettle ladder".split()
+    text = " ".join(f"The {w} stands near {w} rivers." for w in words)
+    spark.createDataFrame([(1, text)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert len(QUERIES["sentence_segments"](spark, str(tmp_path)).first().segments) == 12
+
+
 def test_files_round_trip(spark, tmp_path):
     frame = spark.createDataFrame([(1, "a\tb", None), (2, "c|d", 0.5)], "id int, s string, v double")
     files.write_lines(frame, str(tmp_path / "l"))
