@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import cue_spans
@@ -44,6 +44,26 @@ def joined_prompt(cues: Column) -> Column:
     return F.concat(F.array_join(cues, ", "), F.lit("."))
 
 
+def with_replacement(cases: DataFrame, base: str, cues: str, vocabulary: DataFrame) -> DataFrame:
+    """``cases`` with replacement: one of all different ones of ``vocabulary`` by hash of ``base``, and the next one as long as it is one of the case's cues in any case; cases without one are left out.
+
+    Replacements are numbered by counts of ranges of their hash and ranks within one. As many are looked up as cues can rule out, and one more.
+    """
+    known = vocabulary.where("replacement IS NOT NULL").distinct().withColumn("_h", F.xxhash64("replacement")).withColumn("_r", F.shiftright("_h", 48))
+    sizes = known.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("_r").orderBy("_h", "replacement")) - 1
+    numbered = known.join(sizes, "_r").select((F.col("_before") + place).alias("_number"), "replacement")
+    # spellings of one replacement that differ in case only are ruled out together
+    spellings = known.groupBy(F.lower("replacement")).agg(F.count(F.lit(1)).alias("n"))
+    totals = spellings.agg(F.sum("n").alias("_all"), F.max("n").alias("_most")).where("_all > 0")
+    asked = cases.select(base, F.transform(F.col(cues), F.lower).alias("_cues")).distinct().crossJoin(F.broadcast(totals))
+    asked = asked.withColumn("_try", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_all") - 1, F.size("_cues") * F.col("_most")))))
+    asked = asked.withColumn("_number", F.pmod(F.xxhash64(base) + F.col("_try"), F.col("_all")))
+    free = asked.join(numbered, "_number").where(~F.array_contains("_cues", F.lower("replacement")))
+    return cases.join(free.groupBy(base).agg(F.min_by("replacement", "_try").alias("replacement")), base)
+
+
 def counterfactual_rows(cases: DataFrame, base: str, cues: str, replacement: str) -> DataFrame:
     """Eight rows a case of three cues or more: the first slot swapped or read as it is, and two slots kept under no change, swap and removal.
 

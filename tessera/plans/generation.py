@@ -63,9 +63,8 @@ def prompt_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _counterfactuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    other = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("k"), F.substring_index("text", ".", 1).alias("replacement"))
-    n = 40  # the benchmark's smallest number of items
-    return G.counterfactual_rows(_cases(spark, sf_dir).withColumn("k", F.pmod("doc_id", F.lit(n))).join(other, "k"), "doc_id", "cues", "replacement")
+    other = table(spark, sf_dir, "benchmark").select(F.substring_index("text", ".", 1).alias("replacement"))
+    return G.counterfactual_rows(G.with_replacement(_cases(spark, sf_dir), "doc_id", "cues", other), "doc_id", "cues", "replacement")
 
 
 @query("counterfactual_rows")

@@ -108,6 +108,15 @@ def test_shared_runs_and_segments_have_no_cap(spark):
     assert got == {i: None if a is None else brute(a, b) for i, a, b in rows} and got[60] == 40
 
 
+def test_replacements_are_of_the_whole_benchmark_and_not_own_cues(spark, tmp_path):
+    cues = ["Red", "blue", "Green"]
+    spark.createDataFrame([(i, "\n".join(cues)) for i in range(1500)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    items = [f"w{i}" for i in range(60)] + ["red", "RED", "BLUE", "green", "w0"]
+    spark.createDataFrame([(i, f"{w}. More") for i, w in enumerate(items)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = QUERIES["counterfactual_rows"](spark, str(tmp_path)).select("doc_id", "replacement_cue").distinct().collect()
+    assert len(found) == 1500 and {r.replacement_cue for r in found} == {f"w{i}" for i in range(60)}
+
+
 def test_registered_segments_are_whole(spark, tmp_path):
     words = "alpha bravo carbon delta ember forest garden harbor island jungle kettle ladder".split()
     text = " ".join(f"The {w} stands near {w} rivers." for w in words)
