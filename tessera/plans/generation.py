@@ -11,11 +11,12 @@ from tessera.operators.judging import counterfactual_rates
 from tessera.plans.catalogue import query, table
 
 
-def _first_lines(n: int) -> Column:
-    return F.slice(F.filter(F.transform(F.split("text", "\n"), lambda s: F.btrim(s)), lambda s: s != ""), 1, n)
+def _first_lines(n: int | None) -> Column:
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda s: F.btrim(s)), lambda s: s != "")
+    return lines if n is None else F.slice(lines, 1, n)
 
 
-def _cases(spark: SparkSession, sf_dir: str, n: int = 4) -> DataFrame:
+def _cases(spark: SparkSession, sf_dir: str, n: int | None = 4) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", _first_lines(n).alias("cues"))
 
 
@@ -53,8 +54,8 @@ def position_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("position_rows_all")
 def position_rows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of up to four cues, each sought from where the one before it ended."""
-    return G.position_rows(_cases(spark, sf_dir), "text", "cues").select("doc_id", "cue_index", "start", "end", "occurrence")
+    """Spans of all lines, each sought from where the one before it ended."""
+    return G.position_rows(_cases(spark, sf_dir, None), "text", "cues").select("doc_id", "cue_index", "start", "end", "occurrence")
 
 
 @query("prompt_lists", f"WITH c AS ({_CASES}) SELECT doc_id, CASE WHEN len(cues) <= 2 THEN array_to_string(cues, ' and ') ELSE array_to_string(cues[1:len(cues) - 1], ', ') || ', and ' || cues[-1] END AS joined, array_to_string(list_transform(range(1, len(cues) + 1), lambda i: i || '. ' || cues[i]), chr(10)) AS options FROM c")

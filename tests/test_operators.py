@@ -117,6 +117,13 @@ def test_replacements_are_of_the_whole_benchmark_and_not_own_cues(spark, tmp_pat
     assert len(found) == 1500 and {r.replacement_cue for r in found} == {f"w{i}" for i in range(60)}
 
 
+def test_positions_of_all_lines(spark, tmp_path):
+    lines = [f"line {i:02}" for i in range(9)] + ["line 03"]
+    spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["position_rows_all"](spark, str(tmp_path)).orderBy("cue_index").collect()
+    assert [(r.start, r.end, r.occurrence) for r in found] == [(8 * i, 8 * i + 7, int(i == 9)) for i in range(10)]
+
+
 def test_registered_segments_are_whole(spark, tmp_path):
     words = "alpha bravo carbon delta ember forest garden harbor island jungle kettle ladder".split()
     text = " ".join(f"The {w} stands near {w} rivers." for w in words)
