@@ -8,18 +8,21 @@ so form one segment. Texts are dealt to groups of some MB by id, anchors to buck
 2. a bucket answers which of them occur twice or more, and which are crowded,
 3. a group sends the segments of those, each different one once with its first place (of a crowded anchor, by which many
    different segments would meet in one bucket, each string on its own, dealt by its own hash),
-4. a bucket sorts the suffixes of its segments (the operator's method) and answers for each string of each segment whether
-   it has an earlier place elsewhere; a group then knows it of all its strings.
+4. a bucket keeps of equal segments the first, sorts the suffixes of those (the operator's method), part by part, and answers
+   for each string of each segment whether it has an earlier place elsewhere; a group then knows it of all its strings.
 
-Messages are blobs, one a group and bucket. The texts are shuffled once, by group, and that exchange is read three times;
-segments are a few times the size of what repeats. What a hot string adds to a bucket is a segment a group, however many
-rows have it. Each step sorts what it gets, so that a task that runs again sends the same.
+Messages are blobs, one a group and bucket, and a bucket serves several groups' worth of anchors (``ANCHORS``) or of segments
+(``PARTS``), so that blobs stay larger than what surrounds them. The texts are shuffled once, by group, and that exchange is
+read three times; segments are a few times the size of what repeats. What a hot string adds to a bucket is a segment a group,
+however many rows have it. Each step sorts what it gets, so that a task that runs again sends the same.
 
+Hashes only bring together: a shared hash costs time, but equal segments and equal words are compared by their bytes.
 A text must fit into a task's memory some 60 times over.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -31,10 +34,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import group_count, raw
-from tessera.llm.words import joined, mix, word_bounds, word_hashes
+from tessera.llm.words import cut_out, joined, mix, same_slices, word_bounds, word_hashes
 
 #: MB of text in a group; occurrences of an anchor over which it is crowded.
 GROUP_MB, CROWDED = 2, 2000
+#: Groups whose anchors, and whose segments, a bucket gets on average; the latter are sorted in as many parts. MB of text in a task.
+ANCHORS, PARTS, TASK_MB = 16, 8, 64
 #: The id of rows without one: after all others.
 LAST = np.iinfo(np.int64).max
 FACTOR = 0xD1342543DE82EF95
@@ -95,7 +100,6 @@ class Group:
     places: np.ndarray  # by symbol its first byte there, and the length
     strings: np.ndarray  # hashes of all runs of ``length`` symbols
     segments: Segments
-    bounds: tuple | None = None
 
     def doc(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, at, "right") - 1
@@ -115,9 +119,8 @@ def load(table: pa.Table, kind: Kind) -> Group:
     table = table.sort_by([("id", "ascending"), ("text", "ascending")])
     text, ends = raw(table.column("text"))
     ids = table.column("id").fill_null(LAST).to_numpy()
-    bounds = None
     if kind.words:
-        starts, stops, first = bounds = word_bounds(text, ends)
+        starts, stops, first = word_bounds(text, ends)
         symbols = word_hashes(text, starts, stops)
         text, places = joined(text, starts, stops)
     else:
@@ -136,7 +139,8 @@ def load(table: pa.Table, kind: Kind) -> Group:
     new = np.ones(len(at), bool)
     new[1:] = (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)
     heads = np.flatnonzero(new)
-    return Group(table, ids, first, text, places, strings, Segments(at[heads], np.diff(np.append(heads, len(at))), anchors[place[heads]]), bounds)
+    # least hashes are small: mixed again they spread over the buckets
+    return Group(table, ids, first, text, places, strings, Segments(at[heads], np.diff(np.append(heads, len(at))), mix(anchors[place[heads]])))
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -166,10 +170,16 @@ class Sent:
     segments: Segments
     which: np.ndarray
     first: np.ndarray
-    buckets: np.ndarray
+    parts: np.ndarray
 
 
-def chosen(group: Group, kind: Kind, buckets: int, replies: pa.Table) -> Sent:
+def slices(group: Group, kind: Kind, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte (half open) of segments that start at ``at`` and hold ``count`` strings."""
+    return group.places[at], group.places[at + count + kind.length - 1] - (1 if kind.words else 0)
+
+
+def chosen(group: Group, kind: Kind, buckets: int, parts: int, replies: pa.Table) -> Sent:
+    """What a group sends to the ``parts`` of all buckets together, given the ``replies`` of the ``buckets`` that anchors were sent to."""
     hashes, _, starts = asked(group, buckets)
     counts = np.diff(starts)
     crowded = answers(replies.filter(pc.equal(replies.column("step"), 1)), counts)
@@ -186,20 +196,36 @@ def chosen(group: Group, kind: Kind, buckets: int, replies: pa.Table) -> Sent:
         at, count, split = np.repeat(at, each) + shift, np.repeat(np.where(alone, 1, count), each), np.repeat(alone, each)
         route = np.where(split, group.strings[at], np.repeat(route, each))
     content = mix(group.strings[at] + mix(group.strings[at + count - 1] + count.astype(np.uint64)))
-    bucket = bucket_of(route, buckets)
-    order = np.lexsort((content, bucket))
+    part = bucket_of(route, parts)
+    order = np.lexsort((content, part))
     new = np.ones(len(order), bool)
-    new[1:] = (content[order][1:] != content[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
+    new[1:] = (content[order][1:] != content[order][:-1]) | (part[order][1:] != part[order][:-1])
+    head, stop = slices(group, kind, at[order], count[order])
+    same = np.flatnonzero(~new)
+    new[same] = ~same_slices(group.text, head[same - 1], stop[same - 1], head[same], stop[same])
     which = np.zeros(len(order), np.int64)
     which[order] = np.cumsum(new) - 1
     first = order[new]  # the sort is stable: of equal segments the first in order of (id, place)
-    return Sent(Segments(at, count, route), which, first, bucket[first])
+    return Sent(Segments(at, count, route), which, first, part[first])
+
 
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1 .. of ``counts`` numbers each."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
 
-def cut_out(flat: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """The slices one after another."""
-    sizes = stops - starts
-    return flat[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+
+def firsts(text: np.ndarray, starts: np.ndarray, stops: np.ndarray, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """For each slice the one of equal bytes with the least (id, place)."""
+    hashes = word_hashes(text, starts, stops)
+    order = np.lexsort((places, ids, hashes))
+    new = np.ones(len(order), bool)
+    new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+    same = np.flatnonzero(~new)
+    a, b = order[same - 1], order[same]
+    new[same] = ~same_slices(text, starts[a], stops[a], starts[b], stops[b])
+    out = np.zeros(len(order), np.int64)
+    out[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return out
 
 
 def marked(group: Group, kind: Kind, sent: Sent, later: np.ndarray) -> np.ndarray:
@@ -237,11 +263,15 @@ def find_repeats(
     whether an equal one has a smaller id (or place, where places within a text count).
     """
     n = group_count(docs, F.col("text"), group_mb)
-    dealt = docs.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    buckets, ends = -(-n // ANCHORS), -(-n // PARTS)
+    dealt = docs.withColumn("group", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"))
+    tasks = math.ceil(n * group_mb / TASK_MB)
+    if tasks > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")):  # so that a task reads as much at every size
+        dealt = dealt.repartition(tasks, "group")
 
     def ask(table: pa.Table) -> pa.Table:
         group = load(table, kind)
-        hashes, counts, starts = asked(group, n)
+        hashes, counts, starts = asked(group, buckets)
         packed = np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, :5]
         full = np.flatnonzero(np.diff(starts))
         return pa.table(
@@ -276,20 +306,21 @@ def find_repeats(
         group = load(table, kind) if table.num_rows else None
         if group is None or not replies.num_rows:
             return SENT.empty_table()
-        sent = chosen(group, kind, n, replies)
+        sent = chosen(group, kind, buckets, ends * PARTS, replies)
         at, count = sent.segments.at[sent.first], sent.segments.count[sent.first]
-        starts = group.places[at]
-        stops = group.places[at + count + kind.length - 1] - (1 if kind.words else 0)
+        starts, stops = slices(group, kind, at, count)
         ids = group.ids[group.doc(at)]
         inside = (at - group.first[group.doc(at)]).astype(np.int32)
-        edges = np.searchsorted(sent.buckets, np.arange(n + 1))
+        shares = np.bincount(sent.parts, minlength=ends * PARTS).astype(np.uint32).reshape(ends, PARTS)
+        edges = np.concatenate([[0], np.cumsum(shares.sum(1).astype(np.int64))])
         full = np.flatnonzero(np.diff(edges))
-        blobs = {k: [] for k in ("text", "sizes", "counts", "ids", "places")}
+        blobs = {k: [] for k in BLOBS}
         for i in full:
             part = slice(edges[i], edges[i + 1])
             blobs["text"].append(cut_out(group.text, starts[part], stops[part]).tobytes())
+            blobs["shares"].append(shares[i].tobytes())
             blobs["sizes"].append((stops - starts)[part].astype(np.uint32).tobytes())
-            blobs["counts"].append(count[part].astype(np.uint8).tobytes())
+            blobs["counts"].append(count[part].astype(np.uint16).tobytes())
             blobs["ids"].append(ids[part].tobytes())
             blobs["places"].append(inside[part].tobytes() if kind.inside else b"")
         number = table.column("group")[0].as_py()
@@ -298,14 +329,28 @@ def find_repeats(
     def answer(table: pa.Table) -> pa.Table:
         table = table.sort_by("group")
         text, _ = raw(table.column("text"))
-        sizes = raw(table.column("sizes"))[0].view(np.uint32)
-        counts, ends = raw(table.column("counts"))
+        sizes = raw(table.column("sizes"))[0].view(np.uint32).astype(np.int64)
+        counts, at = raw(table.column("counts"))
+        counts, at = counts.view(np.uint16).astype(np.int64), at // 2
         ids = raw(table.column("ids"))[0].view(np.int64)
         places = raw(table.column("places"))[0].view(np.int32) if kind.inside else np.zeros(len(ids), np.int32)
-        offsets = np.zeros(len(sizes) + 1, np.int64)
-        np.cumsum(sizes, out=offsets[1:])
-        later = earlier(text, offsets, counts.astype(np.int64), ids, places)
-        edges = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])[ends]
+        shares = raw(table.column("shares"))[0].view(np.uint32)
+        part = np.repeat(np.tile(np.arange(PARTS), len(shares) // PARTS), shares)
+        stops, strings = np.cumsum(sizes), np.cumsum(counts)
+        later = np.zeros(int(counts.sum()), bool)
+        for p in range(PARTS):
+            mine = np.flatnonzero(part == p)
+            one = firsts(text, stops[mine] - sizes[mine], stops[mine], ids[mine], places[mine])
+            some, which = np.unique(one, return_inverse=True)
+            some = mine[some]
+            offsets = np.concatenate([[0], np.cumsum(sizes[some])])
+            said = earlier(cut_out(text, stops[some] - sizes[some], stops[some]), offsets, counts[some], ids[some], places[some])
+            # a segment equal to an earlier one has all its strings there
+            behind = (ids[mine] != ids[mine[one]]) | (places[mine] != places[mine[one]])
+            heads = np.cumsum(counts[some]) - counts[some]
+            to = spread(strings[mine] - counts[mine], counts[mine])
+            later[to] = said[spread(heads[which], counts[mine])] | np.repeat(behind, counts[mine])
+        edges = np.concatenate([[0], strings])[at]
         bits = [np.packbits(later[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
         return pa.table({"group": table.column("group").cast(pa.int32()), "step": pa.array([2] * len(bits), pa.int32()), "bucket": table.column("bucket").cast(pa.int32()), "bits": pa.array(bits, pa.binary())})
 
@@ -315,19 +360,20 @@ def find_repeats(
         group = load(table, kind)
         if not replies.num_rows:
             return finish(group, np.zeros(int(group.first[-1]), bool))
-        sent = chosen(group, kind, n, replies)
+        sent = chosen(group, kind, buckets, ends * PARTS, replies)
         count = sent.segments.count[sent.first]
-        bits = np.bincount(sent.buckets, count, minlength=n).astype(np.int64)
+        bits = np.bincount(sent.parts // PARTS, count, minlength=ends).astype(np.int64)
         later = answers(replies.filter(pc.equal(replies.column("step"), 2)), bits)
         return finish(group, marked(group, kind, sent, later))
 
     by_group = dealt.groupBy("group")
     anchors = by_group.applyInArrow(ask, "bucket int, group int, hashes binary, counts binary")
     replies = anchors.groupBy("bucket").applyInArrow(compare, REPLY)
-    segments = by_group.cogroup(replies.groupBy("group")).applyInArrow(send, "bucket int, group int, text binary, sizes binary, counts binary, ids binary, places binary")
+    segments = by_group.cogroup(replies.groupBy("group")).applyInArrow(send, "bucket int, group int, " + ", ".join(f"{k} binary" for k in BLOBS))
     said = segments.groupBy("bucket").applyInArrow(answer, REPLY)
     return by_group.cogroup(replies.unionByName(said).groupBy("group")).applyInArrow(apply, schema)
 
 
+BLOBS = ("text", "shares", "sizes", "counts", "ids", "places")
 REPLY = "group int, step int, bucket int, bits binary"
-SENT = pa.schema([("bucket", pa.int32()), ("group", pa.int32())] + [(k, pa.binary()) for k in ("text", "sizes", "counts", "ids", "places")])
+SENT = pa.schema([("bucket", pa.int32()), ("group", pa.int32())] + [(k, pa.binary()) for k in BLOBS])

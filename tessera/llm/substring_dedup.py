@@ -8,7 +8,8 @@ suffixes of every inner node by their next word and leaving those that are alone
 are the repeats: of the places below one all but the earliest are removed.
 
 Defined cases: null and empty texts have no words; texts of fewer than ``length`` words keep all; rows of equal ids and equal
-places are no reason for each other's removal; a null id counts as larger than any other.
+places are no reason for each other's removal; a null id counts as larger than any other; other columns stay in ``row``,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.repeats import GROUP_MB, Group, Kind, cut_out, find_repeats
-from tessera.llm.words import word_bounds, word_hashes
+from tessera.llm.repeats import GROUP_MB, Group, Kind, find_repeats
+from tessera.llm.words import cut_out, word_bounds, word_numbers
 
 #: Suffixes whose subtree is grown at once.
 GROUP = 500_000
-#: Words of the anchors by which windows are dealt.
+#: Words of the anchors by which windows are dealt, for windows of twice as many at least.
 REACH = 6
 
 
@@ -78,7 +79,7 @@ def earlier_windows(length: int, most: int = GROUP):
         if not total:
             return out
         starts, stops, first = word_bounds(text, offsets)
-        _, words = np.unique(word_hashes(text, starts, stops), return_inverse=True)
+        words = word_numbers(text, starts, stops)
         shift = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
         at = np.repeat(first[:-1], counts) + shift
         ids, place = np.repeat(ids, counts), np.repeat(places.astype(np.int64), counts) + shift
@@ -100,8 +101,11 @@ def earlier_windows(length: int, most: int = GROUP):
 
 def substring_dedup(docs: DataFrame, length: int = 20, key: str = "doc_id", text: str = "text", group_mb: float = GROUP_MB) -> DataFrame:
     """The rows of ``docs`` as ``row``, with n_words, n_removed and kept (the other words, joined by spaces)."""
-    kind = Kind(length, REACH, words=True, inside=True)
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    kind = Kind(length, min(REACH, length // 2 + 1), words=True, inside=True)
+    # the text travels once, beside the other columns
+    columns = docs.columns
+    others = [c for c in columns if c != text]
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.struct(*[F.col(c) for c in others]).alias("row"))
 
     def finish(group: Group, gone: np.ndarray) -> pa.Table:
         starts, stops = group.places[:-1], group.places[1:]
@@ -116,14 +120,18 @@ def substring_dedup(docs: DataFrame, length: int = 20, key: str = "doc_id", text
         keep[left[1:][some] - 1] = False
         ends = left - np.concatenate([[0], np.cumsum(some)])
         count = np.diff(group.first)
+        rest = group.rows.column("row").combine_chunks()
+        rest = rest.chunk(0) if isinstance(rest, pa.ChunkedArray) else rest
+        column = group.rows.column("text").combine_chunks()
+        whole = [column if c == text else rest.field(c) for c in columns]
         return pa.table(
             {
-                "row": group.rows.column("row"),
+                "row": pa.StructArray.from_arrays(whole, names=columns),
                 "n_words": pa.array(count),
                 "n_removed": pa.array(count - np.diff(passed[group.first])),
                 "kept": pa.Array.from_buffers(pa.string(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(kept[keep].tobytes())]),
             }
         )
 
-    schema = T.StructType([rows.schema["row"]]).add("n_words", "long").add("n_removed", "long").add("kept", "string")
+    schema = T.StructType().add("row", docs.schema).add("n_words", "long").add("n_removed", "long").add("kept", "string")
     return find_repeats(rows, kind, earlier_windows(length), finish, schema, group_mb)

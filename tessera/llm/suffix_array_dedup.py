@@ -7,7 +7,7 @@ suffix placing its predecessor. Common prefixes of neighbours then give the runs
 
 Defined cases: null and empty texts have no bytes; texts shorter than ``length`` keep all; rows of equal ids are no
 reason for each other's removal; a null id counts as larger than any other; strings are bytes, so a kept text can end
-inside a character.
+inside a character; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations

@@ -48,6 +48,41 @@ def joined(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return out, places
 
 
+def cut_out(flat: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The slices one after another."""
+    sizes = stops - starts
+    return flat[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+
+
+def same_slices(flat: np.ndarray, one: np.ndarray, one_end: np.ndarray, two: np.ndarray, two_end: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """Whether the slices one:one_end and two:two_end hold equal bytes, pair by pair."""
+    sizes = one_end - one
+    out = sizes == two_end - two
+    for a in range(0, len(out), block):
+        i = a + np.flatnonzero(out[a : a + block] & (sizes[a : a + block] > 0))
+        if len(i):
+            differ = cut_out(flat, one[i], one_end[i]) != cut_out(flat, two[i], two_end[i])
+            out[i] = np.add.reduceat(differ, np.cumsum(sizes[i]) - sizes[i]) == 0
+    return out
+
+
+def word_numbers(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each word, the same for equal bytes only."""
+    hashes = word_hashes(text, starts, ends)
+    order = np.argsort(hashes, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+    same = np.flatnonzero(~new)
+    a, b = order[same - 1], order[same]
+    new[same] = ~same_slices(text, starts[a], ends[a], starts[b], ends[b])
+    out = np.zeros(len(order), np.int64)
+    out[order] = np.cumsum(new) - 1
+    if len(same) and (new[same]).any():  # equal hashes of different bytes, perhaps in turns
+        data, known = text.tobytes(), {}
+        out[:] = [known.setdefault(data[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return out
+
+
 _POWERS = {0: np.ones(1, np.uint64)}
 
 

@@ -15,7 +15,9 @@ from tessera.llm import embedding_dedup as E
 from tessera.llm import language_id as L
 from tessera.llm import mixing as X
 from tessera.llm import queries as Q
+from tessera.llm import repeats
 from tessera.llm import sentencepieces as P
+from tessera.llm import words as W
 from tessera.llm.quality_rules import features, judge, quality_rules
 from tessera.llm.simhash import similar_groups, simhash_components
 from tessera.llm.substring_dedup import substring_dedup
@@ -96,12 +98,41 @@ def brute_windows(rows, length):
     return out
 
 
-@pytest.mark.parametrize("length, group_mb", [(20, 2), (8, 0.002)])
+@pytest.mark.parametrize("length, group_mb", [(20, 2), (8, 0.002), (3, 0.004), (300, 0.01), (1, 2)])
 def test_substring(docs, texts, length, group_mb):
     got = {r["row"].doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup(docs, length, group_mb=group_mb).collect()}
     assert got == brute_windows(list(enumerate(texts)), length)
 
 
+def test_substring_of_crowded_passages(spark, monkeypatch):
+    """One passage in every text, a third of all ids null; anchors crowded from 20 on."""
+    monkeypatch.setattr(repeats, "CROWDED", 20)
+    rng = random.Random(8)
+    say = lambda k: " ".join(str(rng.randrange(500)) for _ in range(k))
+    shared, rows = say(40), []
+    for i in range(300):
+        rows.append((None if i % 3 == 0 else i, f"own {i} {shared} own {-i}"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    want = brute_windows([(i, t) for i, t in rows if i is not None], 20)
+    for mb in (2, 0.002):
+        got = substring_dedup(frame, 20, group_mb=mb).collect()
+        assert {r["row"].doc_id: (r.n_words, r.n_removed, r.kept) for r in got if r["row"].doc_id is not None} == want
+        # null ids come after all others
+        assert [r.n_removed for r in got if r["row"].doc_id is None] == [41] * 100  # and the word after it
+        kept = suffix_array_dedup(frame, 50, group_mb=mb).where("doc_id IS NULL").select("n_removed").collect()
+        assert len(kept) == 100 and all(r.n_removed >= len(shared) for r in kept)
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    text = np.frombuffer(b"aa bb aa cc bb", np.uint8)
+    monkeypatch.setattr(W, "word_hashes", lambda text, starts, ends: np.zeros(len(starts), np.uint64))
+    monkeypatch.setattr(repeats, "word_hashes", W.word_hashes)
+    starts, ends = np.array([0, 3, 6, 9, 12]), np.array([2, 5, 8, 11, 14])
+    assert W.word_numbers(text, starts, ends).tolist() == [0, 1, 0, 2, 1]
+    same = repeats.firsts(text, starts, ends, np.arange(5), np.zeros(5, int))
+    assert all(text[starts[i] : ends[i]].tobytes() == text[starts[j] : ends[j]].tobytes() for i, j in enumerate(same))
+
+
 def test_substring_odd_tables(spark, docs):
     assert substring_dedup(docs.limit(0), 20).count() == 0
     assert substring_dedup(clashing(docs), 20).count() == docs.count()
@@ -374,7 +405,7 @@ def brute_bytes(rows, length):
     return out
 
 
-@pytest.mark.parametrize("length, group_mb", [(50, 2), (20, 0.002)])
+@pytest.mark.parametrize("length, group_mb", [(50, 2), (20, 0.002), (3, 0.004), (300, 2), (1, 0.004)])
 def test_suffix_array(docs, texts, length, group_mb):
     got = {i: (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for i, r in by_id(suffix_array_dedup(clashing(docs), length, group_mb=group_mb)).items()}
     assert got == brute_bytes(list(enumerate(texts)), length)
