@@ -123,15 +123,16 @@ def substring_dedup(docs: DataFrame, length: int = 20, key: str = "doc_id", text
         rest = group.rows.column("row").combine_chunks()
         rest = rest.chunk(0) if isinstance(rest, pa.ChunkedArray) else rest
         column = group.rows.column("text").combine_chunks()
-        whole = [column if c == text else rest.field(c) for c in columns]
+        whole = [(column, pa.field(text, column.type)) if c == text else (rest.field(c), rest.type.field(c)) for c in columns]
         return pa.table(
             {
-                "row": pa.StructArray.from_arrays(whole, names=columns),
+                "row": pa.StructArray.from_arrays([x for x, _ in whole], fields=[x for _, x in whole]),
                 "n_words": pa.array(count),
                 "n_removed": pa.array(count - np.diff(passed[group.first])),
                 "kept": pa.Array.from_buffers(pa.string(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(kept[keep].tobytes())]),
             }
         )
 
-    schema = T.StructType().add("row", docs.schema).add("n_words", "long").add("n_removed", "long").add("kept", "string")
+    row = T.StructType([T.StructField(text, f.dataType) if f.name == text else f for f in docs.schema])
+    schema = T.StructType().add("row", row).add("n_words", "long").add("n_removed", "long").add("kept", "string")
     return find_repeats(rows, kind, earlier_windows(length), finish, schema, group_mb)
