@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 
 import numpy as np
@@ -21,31 +20,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, as spark.checkpoint.dir or the context's own checkpoint folder names it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-        folder = spark.sparkContext.getCheckpointDir()
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return folder.rstrip("/")
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """The frame with its lineage cut by a checkpoint in the shared folder."""
-    shared_folder(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+def goes_at_end(spark: SparkSession, place: str) -> str:
+    """``place``, which is deleted when the application ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return place
 
 
 def stored(frame: DataFrame) -> DataFrame:
     """The frame written as Parquet in the shared folder and read again; the table goes when the application ends."""
     spark = frame.sparkSession
-    place = f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}"
+    place = goes_at_end(spark, f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}")
     frame.write.parquet(place)
-    path = spark._jvm.org.apache.hadoop.fs.Path(place)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(frame.schema).parquet(place)
 
 
+def dropped(frame: DataFrame) -> None:
+    """Delete a ``stored`` table that nothing reads any more."""
+    spark = frame.sparkSession
+    for file in frame.inputFiles()[:1]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if place.getName().startswith("tessera-"):
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def group_count(frame: DataFrame, text: Column, group_mb: float) -> int:
     """How many groups of about ``group_mb`` MB the texts make; one pass over the column's lengths."""
     total = frame.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0

@@ -6,13 +6,16 @@ member of its own, and the sidecar ``part-NNNNN.cdx`` lists for each its offset,
 members are inflated from the offsets of the sidecar.
 
 Of records with equal payloads of at least ``least`` bytes, the one with the smallest id is a response; the others are
-revisits without a payload that name it. They are found by a grouping on digest and length: only those travel.
+revisits without a payload that name it. They are found by a grouping on digest and length, for which payloads stay where
+they are; payloads are shuffled once, by archive, and meet there what was found of their rows.
 
 Files are written by the tasks to a folder that all share, under a name of the attempt first and then renamed, so that a
-task that runs again leaves the same archive. Any folder that pyarrow's file systems open can serve.
+task that runs again leaves the same archive. A stream goes once its normalised archive is in place. Any folder that
+pyarrow's file systems open can serve; without one of the caller's, all goes when the application ends.
 
-Defined cases: a null payload is empty; a null id sorts last and is written as an empty header; repeated rows are records
-of their own (of equal ids and payloads one is the response, chosen by url and then at random among equals).
+Defined cases: a null payload is empty; a null id sorts last, is written as an empty header and read as null, also where a
+revisit refers to it; repeated rows are records of their own (of equal ids and payloads the one with the least url hash is
+the response, of rows equal in all three one); other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,19 +23,20 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import group_count, shared_folder
+from tessera.llm.common import goes_at_end, group_count, shared_folder
 
-#: Payload MB in an archive, and gzip's effort.
-ARCHIVE_MB, LEVEL = 8, 4
+#: Payload MB in an archive and in a task, and gzip's effort.
+ARCHIVE_MB, TASK_MB, LEVEL = 8, 64, 4
 GZIP = 31
 #: Date of every record: archives of equal rows are equal.
 DATE = "2024-01-01T00:00:00Z"
@@ -119,42 +123,54 @@ def _file_system(folder: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pa.fs.LocalFileSystem(), folder)
 
 
-def plan_records(pages: DataFrame, least: int = 0, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """page_id, url, payload, digest, size, refers_to and original of each row; the payload stays where it is but for one shuffle by digest."""
-    sized = pages.select(
-        F.col(key).alias("page_id"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8").alias("payload")
-    ).withColumns({"sha": F.sha1("payload"), "size": F.octet_length("payload").cast("long"), "tie": F.xxhash64("url")})
+def sized_rows(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
+    """page_id, url and payload (bytes) of each row, its digest sha and size, and tie, which parts rows of one id."""
+    rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8").alias("payload"))
+    return rows.withColumns({"sha": F.unhex(F.sha1("payload")), "size": F.octet_length("payload").cast("long"), "tie": F.xxhash64("url")})
+
+
+def revisits(sized: DataFrame, least: int = 0) -> DataFrame:
+    """my_id, my_tie, my_sha of rows whose payload several rows hold, and first_id and first_tie of the first of those; lean rows only."""
+    lean = sized.where(F.col("size") >= least).select("page_id", "tie", "sha", "size")
     rank = F.struct(F.col("page_id").isNull(), "page_id", "tie")
-    # one row a digest and task at most goes to the grouping
-    first = sized.where(F.col("size") >= least).groupBy("sha", "size").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    joined = sized.join(first, ["sha", "size"], "left")
-    return joined.select("page_id", "url", "payload", "sha", "size", F.col("first.page_id").alias("refers_to"), (F.col("first").isNull() | (F.col("first") == rank)).alias("original"))
+    first = lean.groupBy("sha", "size").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return lean.join(first, ["sha", "size"]).select(F.col("page_id").alias("my_id"), F.col("tie").alias("my_tie"), F.col("sha").alias("my_sha"), F.col("first.page_id").alias("first_id"), F.col("first.tie").alias("first_tie")).distinct()
 
 
-def write_archives(records: DataFrame, folder: str) -> DataFrame:
-    """Write ``records`` as monolithic gzipped archives under ``folder``; a row (archive, records) each."""
-    groups = group_count(records, F.col("payload"), ARCHIVE_MB)
+def write_archives(sized: DataFrame, again: DataFrame, folder: str) -> DataFrame:
+    """Write ``sized`` rows as monolithic gzipped archives under ``folder``, those that ``again`` lists as revisits of their first; a row (archive, records) each."""
+    groups = group_count(sized, F.col("payload"), ARCHIVE_MB)
 
-    def write(table: pa.Table) -> pa.Table:
+    def write(table: pa.Table, known: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({"archive": pa.array([], pa.string()), "records": pa.array([], pa.int64())})
         fs, base = _file_system(folder)
-        number = table.column("archive")[0].as_py()
-        name = f"part-{number:07d}.warc.gz"
+        name = f"part-{table.column('archive')[0].as_py():07d}.warc.gz"
         fs.create_dir(base, recursive=True)
         draft = f"{base}/.{name}.{uuid.uuid4().hex}"
+        firsts = dict(zip(zip(*(known.column(c).to_pylist() for c in ("my_id", "my_tie", "my_sha")), strict=True), zip(*(known.column(c).to_pylist() for c in ("first_id", "first_tie")), strict=True), strict=True))
         engine = zlib.compressobj(LEVEL, zlib.DEFLATED, GZIP)
-        rows = table.sort_by([("page_id", "ascending"), ("sha", "ascending"), ("url", "ascending")])
+        rows = table.sort_by([("page_id", "ascending"), ("sha", "ascending"), ("tie", "ascending"), ("url", "ascending")])
+        before = None
         with fs.open_output_stream(draft, compression=None) as out:
             for batch in rows.to_batches(max_chunksize=64):
                 for x in batch.to_pylist():
-                    sha = base64.b32encode(bytes.fromhex(x["sha"])).decode()
-                    out.write(engine.compress(record(x["page_id"], x["url"], x["payload"], sha, x["size"], x["refers_to"], x["original"])))
+                    me = (x["page_id"], x["tie"], x["sha"])
+                    first = firsts.get(me)
+                    # rows equal in all that is looked at lie together: the first of them is the response
+                    original = first is None or (first == (x["page_id"], x["tie"]) and me != before)
+                    before = me
+                    out.write(engine.compress(record(x["page_id"], x["url"], x["payload"], base64.b32encode(x["sha"]).decode(), x["size"], None if original else first[0], original)))
             out.write(engine.flush())
         fs.move(draft, f"{base}/{name}")
         return pa.table({"archive": [f"{base}/{name}"], "records": pa.array([table.num_rows], pa.int64())})
 
-    number = F.pmod(F.xxhash64("page_id", "url"), F.lit(groups))
-    lean = records.withColumn("payload", F.when(F.col("original"), F.col("payload")).otherwise(F.lit(b"")))
-    return lean.withColumn("archive", number).groupBy("archive").applyInArrow(write, "archive string, records long")
+    rows = sized.withColumn("archive", F.pmod(F.xxhash64("page_id", "tie", "sha"), F.lit(groups)))
+    known = again.withColumn("archive", F.pmod(F.xxhash64("my_id", "my_tie", "my_sha"), F.lit(groups)))
+    tasks = math.ceil(groups * ARCHIVE_MB / TASK_MB)
+    if tasks > int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions")):  # so that a task reads as much at every size
+        rows, known = rows.repartition(tasks, "archive"), known.repartition(tasks, "archive")
+    return rows.groupBy("archive").cogroup(known.groupBy("archive")).applyInArrow(write, "archive string, records long")
 
 
 def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:
@@ -169,12 +185,16 @@ def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:
                 name = path.rpartition("/")[2]
                 draft = f"{base}/.{name}.{uuid.uuid4().hex}"
                 index = io.BytesIO()
+                if fs.get_file_info(path).type == pa.fs.FileType.NotFound and fs.get_file_info(f"{base}/{name}").is_file:
+                    done.append(f"{base}/{name}")  # another attempt has finished
+                    continue
                 with fs.open_input_stream(path, compression=None) as source, fs.open_output_stream(draft, compression=None) as target:
                     normalise(source, target, index)
                 with fs.open_output_stream(f"{draft}.cdx", compression=None) as out:
                     out.write(index.getvalue())
                 fs.move(f"{draft}.cdx", f"{base}/{name}.cdx")
                 fs.move(draft, f"{base}/{name}")
+                fs.delete_file(path)
                 done.append(f"{base}/{name}")
             yield pa.record_batch({"archive": pa.array(done, pa.string()), "index": pa.array([f"{x}.cdx" for x in done], pa.string())})
 
@@ -223,8 +243,9 @@ SCHEMA = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "binary": pa
 
 def warc_round_trip(pages: DataFrame, least: int = 0, folder: str | None = None) -> DataFrame:
     """Write ``pages`` as archives, normalise these and read them: a row a record, as ``ROW`` says."""
-    base = folder or f"{shared_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    base = folder or goes_at_end(pages.sparkSession, f"{shared_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}")
     # plain local paths are as good as file:, and what pyarrow opens everywhere
     base = base.removeprefix("file://") if base.startswith("file:///") else base.removeprefix("file:")
-    written = write_archives(plan_records(pages, least), f"{base}/streams")
+    sized = sized_rows(pages)
+    written = write_archives(sized, revisits(sized, least), f"{base}/streams")
     return read_archives(normalise_archives(written, f"{base}/records"), f"{base}/records")

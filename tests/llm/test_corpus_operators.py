@@ -282,6 +282,33 @@ def test_warc(spark, least):
     assert warc_round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_of_repeated_and_long_rows(spark, tmp_path):
+    long = "é<p>x</p>\r\n\r\n" * 300_000
+    rows = [(1, "u", "abc"), (1, "u", "abc"), (1, "v", "abc"), (None, "u", "xyz"), (None, "w", "xyz"), (None, "u", "abc"), (2, "u", long), (3, "u", long), (9, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = warc_round_trip(pages, folder=str(tmp_path)).collect()
+    count = lambda sha, kind: sorted((r.page_id or 0, r.refers_to or 0) for r in got if r.payload_digest == base64.b32encode(hashlib.sha1(sha.encode()).digest()).decode() and r.record_type == kind)
+    assert count("abc", "response") == [(1, 0)] and count("abc", "revisit") == [(0, 1), (1, 1), (1, 1)]
+    assert count("xyz", "response") == [(0, 0)] and count("xyz", "revisit") == [(0, 0)]
+    assert count(long, "response") == [(2, 0)] and count(long, "revisit") == [(3, 2)]
+    assert [bytes(r.payload).decode() == long for r in got if r.page_id == 2] == [True]
+    assert list((tmp_path / "records").glob("*.cdx")) and not list((tmp_path / "streams").glob("*.gz"))
+
+
+def test_warc_query(spark):
+    from pyspark.sql import types as T
+
+    got = Q.QUERIES["op4_warc"](spark, SF)
+    assert got.schema.simpleString() == "struct<page_id:bigint,payload_bytes:bigint,payload_digest:string,record_type:string,refers_to:bigint>"
+    assert isinstance(got.schema["refers_to"].dataType, T.LongType)
+    pages = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    first = {}
+    for i in sorted(pages):
+        first.setdefault(pages[i], i)
+    want = {i: (len(x), base64.b32encode(hashlib.sha1(x).digest()).decode(), "response" if first[x] == i else "revisit", None if first[x] == i else first[x]) for i, x in pages.items()}
+    assert {r.page_id: tuple(r)[1:] for r in got.collect()} == want
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------------
 
 
