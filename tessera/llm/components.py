@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import dropped, stored
 
 
 def _least(links: DataFrame) -> DataFrame:
@@ -26,15 +26,16 @@ def small_star(links: DataFrame) -> DataFrame:
     return joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(joined.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a > b").distinct()
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first())
-
-
 def components(links: DataFrame) -> DataFrame:
     """node and component, the least node that it is connected with, of every node in ``links`` (a, b; any order, repeats allowed) that isn't the least itself."""
     links = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while (now := _state(links)) != before:
-        before = now
-        links = stored(small_star(stored(large_star(links))))
+    while not links.isEmpty():
+        large = stored(large_star(links))
+        fresh = stored(small_star(large))
+        # both sets are distinct: they are equal if as many, and none is new
+        done = fresh.count() == links.count() and fresh.join(links, ["a", "b"], "left_anti").isEmpty()
+        dropped(large), dropped(links)
+        links = fresh
+        if done:
+            break
     return links.select(F.col("a").alias("node"), F.col("b").alias("component"))

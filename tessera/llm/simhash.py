@@ -3,8 +3,8 @@
 A fingerprint's 64 bits are cut into segments. Fingerprints that differ in ``DISTANCE`` bits at most differ in at most
 DISTANCE // segments bits of some segment; so each is filed by each of its segments' values and looked up under all values
 of the small Hamming ball around them, and the full distance of those that meet is verified. Of two that differ in a
-segment only the one with the smaller value looks the other up. The number of segments falls as fingerprints become many
-(segments of about log2(n) bits, so that a lookup meets a few others): three up to 2**22 fingerprints, two beyond.
+segment only the one with the smaller value looks the other up. The plan is the same at every size: three segments of 21 or
+22 bits and balls of radius 1, which file a fingerprint 35 times on average; with n fingerprints a lookup meets n / 2**21.
 
 Equal fingerprints are one node. Buckets in which over ``BLOCK`` are filed are cut into blocks that are buckets of their
 own, and lookups pass in chunks, so a task holds one block of a bucket at a time.
@@ -33,6 +33,8 @@ from tessera.llm.words import LOWER, ODD, joined, mix, word_bounds
 
 SEED = 42
 BLOCK = 20_000
+#: Segments of a fingerprint.
+SEGMENTS = 3
 #: Bytes of text hashed at once.
 SLICE = 8 << 20
 #: Of similar_groups: shingles that are listed as common.
@@ -101,9 +103,9 @@ def with_fingerprints(docs: DataFrame, shingle: int, key: str = "doc_id", text:
     return _batches(docs, shingle, key, text, 1, "long", lambda fp: pa.array(fp[:, 0].view(np.int64)))
 
 
-def segments(n: int) -> list[tuple[int, int]]:
-    """(shift, bits) of each segment for ``n`` fingerprints."""
-    cuts = [0, 22, 43, 64] if n <= 1 << 22 else [0, 32, 64]
+def segments(count: int) -> list[tuple[int, int]]:
+    """(shift, bits) of ``count`` segments of 64 bits."""
+    cuts = [-(-64 * i // count) for i in range(count + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
@@ -140,7 +142,7 @@ def meet(entries: DataFrame, distance: int, decode: Callable[[pa.Array], np.ndar
 
 def links(nodes: DataFrame, distance: int = 4) -> DataFrame:
     """a and b: pairs of ``nodes``' distinct fp at ``distance`` bits or fewer, as many as connect what such pairs connect."""
-    cuts = segments(nodes.count())
+    cuts = segments(SEGMENTS)
     values = [(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << bits) - 1)), bits) for shift, bits in cuts]
     return meet(filed(nodes, "fp", values, distance // len(cuts)), distance, lambda column: column.to_numpy().view(np.uint64)[:, None])
 

@@ -42,7 +42,7 @@ def keys(text: np.ndarray) -> np.ndarray:
     out = np.zeros(len(text), np.uint64)
     for i in range(KEY):
         np.left_shift(out, np.uint64(9), out=out)
-        np.bitwise_or(out[: len(text) - i], text[i:], out=out[: len(text) - i])
+        np.bitwise_or(out[: max(len(text) - i, 0)], text[i:], out=out[: max(len(text) - i, 0)])
     return out
 
 
