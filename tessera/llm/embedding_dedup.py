@@ -10,8 +10,9 @@ even where their vectors met in no table, and no group gives all its pairs.
 Cells in which over ``HOMES`` vectors are at home are cut into blocks that are buckets of their own, so a task holds one block.
 
 Equal vectors are one node with a weight. Defined cases: vectors that are null, empty, zero or hold null or non-finite
-components link with nothing and are their own component; shorter vectors count as filled up with zeros; rows of equal ids
-are vectors of their own; a null id's row is kept.
+components link with nothing and are their own component; shorter vectors count as filled up with zeros; components of any
+finite size count; rows of equal ids are vectors of their own; a null id's row is kept, and is the least of a component only
+where all its ids are null; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.buckets import connect, dealt
-from tessera.llm.common import stored
+from tessera.llm.common import raw, stored
 from tessera.llm.components import components
 from tessera.llm.words import mix
 
@@ -84,40 +86,55 @@ def filings(vectors: np.ndarray, tables: int, lookups: int, scale: float) -> tup
     return out, home
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of doubles from vectors as bytes."""
-    return np.stack([np.frombuffer(x, np.float64) for x in column.to_pylist()]) if len(column) else np.zeros((0, 1))
+def _matrix(column: pa.Array, kind: str) -> np.ndarray:
+    """Rows of doubles from vectors as bytes of ``kind`` numbers."""
+    data, _ = raw(column)
+    return data.view(kind).reshape(len(column), -1).astype(np.float64) if len(column) else np.zeros((0, 1))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by the largest component first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def number_kind(vectors: DataFrame, vector: str) -> str:
+    """How components travel: as they are if floats, else as doubles."""
+    return "f4" if vectors.schema[vector].dataType == T.ArrayType(T.FloatType()) or vectors.schema[vector].dataType == T.ArrayType(T.FloatType(), False) else "f8"
+
+
 def clean(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """id and vec (doubles as bytes; null for what can't link) of each row."""
-    kind = vectors.schema[key].dataType.simpleString()
+    """id and vec (numbers of number_kind as bytes; null for what can't link) of each row."""
+    id_type, kind = vectors.schema[key].dataType.simpleString(), number_kind(vectors, vector)
     width = vectors.agg(F.max(F.size(vector)).alias("n")).first()["n"] or 0
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for x in batch.column(1):
-                values = x.values.to_numpy(zero_copy_only=False).astype(np.float64) if x.is_valid and len(x.values) else np.zeros(0)
-                norm = float((values * values).sum()) if len(values) else 0.0
-                out.append(np.append(values + 0.0, np.zeros(width - len(values))).tobytes() if np.isfinite(norm) and norm > 0 else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "vec"])
-
-    return vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(work, f"id {kind}, vec binary")
-
-
-def file_cells(nodes: DataFrame, tables: int, lookups: int, scale: float) -> DataFrame:
+            for a in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(a, CHUNK)
+                lists = part.column(1)
+                offsets = lists.offsets.to_numpy()
+                sizes = np.where(lists.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), 0)
+                flat = lists.values.to_numpy(zero_copy_only=False)  # null components become NaN
+                rows = np.repeat(np.arange(len(sizes)), sizes)
+                places = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                out = np.zeros((len(sizes), max(width, 1)), kind)
+                out[rows, places] = flat[np.repeat(offsets[:-1], sizes) + places] + 0.0
+                good = np.isfinite(out).all(1) & (out != 0).any(1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() if g else None for x, g in zip(out, good, strict=True)], pa.binary())], names=["id", "vec"])
+
+    kept = F.col(vector) if kind == "f4" else F.col(vector).cast("array<double>")
+    return vectors.select(F.col(key).alias("id"), kept.alias("v")).mapInArrow(work, f"id {id_type}, vec binary")
+
+
+def file_cells(nodes: DataFrame, kind: str, tables: int, lookups: int, scale: float) -> DataFrame:
     """``nodes`` (node, vec) in their cells: bucket, home, id, data."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 rows = batch.slice(a, 500)
-                cells, home = filings(_unit(_matrix(rows.column(1))), tables, lookups, scale)
+                cells, home = filings(_unit(_matrix(rows.column(1), kind)), tables, lookups, scale)
                 each = pa.array(np.repeat(np.arange(rows.num_rows), cells[0].size))
                 yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), pa.array(home.ravel()), rows.column(0).take(each), rows.column(1).take(each)], names=["bucket", "home", "id", "data"])
 
@@ -131,7 +148,7 @@ def near_vectors(threshold: float):
     return near
 
 
-def count_links(grouped: DataFrame, threshold: float) -> DataFrame:
+def count_links(grouped: DataFrame, kind: str, threshold: float) -> DataFrame:
     """node and links: by node of ``grouped`` (component, node, vec, weight), the weights of the others at the threshold in its component."""
     sizes = grouped.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -146,7 +163,7 @@ def count_links(grouped: DataFrame, threshold: float) -> DataFrame:
         new = np.any([k[1:] != k[:-1] for k in keys], axis=0)
         heads = np.append(np.flatnonzero(np.append(True, new)), len(node))
         for a, b in zip(heads[:-1], heads[1:], strict=True):
-            unit = _unit(_matrix(vec.slice(a, b - a)))
+            unit = _unit(_matrix(vec.slice(a, b - a), kind))
             if keys[1][a] == keys[2][a]:
                 near = unit @ unit.T >= threshold
                 np.fill_diagonal(near, False)
@@ -178,18 +195,18 @@ def count_links(grouped: DataFrame, threshold: float) -> DataFrame:
 
 def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``key``, n_links (other vectors linked), component_id (smallest id reached) and kept (whether that is its own) of each row."""
-    rows = clean(vectors, key, vector)
+    rows, kind = clean(vectors, key, vector), number_kind(vectors, vector)
     usable = rows.where(F.col("vec").isNotNull())
     # written, so that the numbers given here hold
     nodes = stored(usable.groupBy("vec").agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("first")).withColumn("node", F.monotonically_increasing_id()))
     tables, lookups, scale = PLAN
     # at most tables * vectors / HOMES cells
-    crowded = F.broadcast(file_cells(nodes, tables, 0, scale).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOMES))
-    cells = dealt(file_cells(nodes, *PLAN), crowded, ["bucket"], HOMES)
-    found = components(connect(cells, near_vectors(threshold), lambda column: _unit(_matrix(column))))
+    crowded = F.broadcast(file_cells(nodes, kind, tables, 0, scale).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOMES))
+    cells = dealt(file_cells(nodes, kind, *PLAN), crowded, ["bucket"], HOMES)
+    found = components(connect(cells, near_vectors(threshold), lambda column: _unit(_matrix(column, kind))))
     linked = found.select("node", "component").unionByName(found.select(F.col("component").alias("node"), "component").distinct())
     grouped = stored(nodes.join(linked, "node"))
-    links = count_links(grouped, threshold)
+    links = count_links(grouped, kind, threshold)
     firsts = grouped.groupBy("component").agg(F.min("first").alias("reached"))
     known = grouped.select("node", "component").join(firsts, "component").join(links, "node").select("node", "reached", "links")
     named = nodes.join(known, "node", "left").select("vec", F.coalesce("reached", "first").alias("reached"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))

@@ -373,9 +373,11 @@ def test_embeddings(spark):
     rng = np.random.default_rng(4)
     hubs = rng.normal(size=(12, 16))
     rows = [(i, (hubs[i % 12] + rng.normal(size=16) * rng.choice([0.02, 0.12])).tolist()) for i in range(300)]
+    rows += [(500, [x * 1e200 for x in rows[1][1]]), (501, [x * 1e-170 for x in rows[1][1]])]
     rows += [(1000 + i, rows[0][1]) for i in range(40)] + [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [None] + [1.0] * 15), (2004, []), (2005, [float("inf")] * 16)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"label": F.lit(1), "vec": F.lit(2), "node": F.lit(3)}).repartition(4)
-    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if i < 2000}
+    scaled = {i: np.array(v) / max(map(abs, v)) for i, v in rows if i < 2000}
+    unit = {i: v / np.linalg.norm(v) for i, v in scaled.items()}
     ids = list(unit)
     cos = np.stack([unit[i] for i in ids]) @ np.stack([unit[i] for i in ids]).T
     where = {v: k for k, v in enumerate(ids)}
@@ -388,6 +390,14 @@ def test_embeddings(spark):
     assert E.embedding_dedup(frame.limit(0)).count() == 0
 
 
+def test_embeddings_of_repeated_and_null_ids(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (None, [1.0, 0.0]), (7, [1.0, 0.01]), (8, [0.0, 2.0])]
+    for kind in ("double", "float"):
+        got = E.embedding_dedup(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).collect()
+        assert sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in got if r.vec_id) == [(5, 1, 5, True), (5, 2, 5, True), (7, 2, 5, False), (8, 1, 5, False)]
+        assert [(r.n_links, r.component_id) for r in got if r.vec_id is None] == [(2, 5)]
+
+
 def test_crowded_cells_are_dealt_in_blocks(spark, monkeypatch):
     """A cell that holds a group is cut up, and its links are still found."""
     rng, seen = np.random.default_rng(9), []
