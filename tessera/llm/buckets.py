@@ -13,8 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import stored
+
 #: Rows of a bucket whose links are all listed; rows looked at together.
 SMALL, CHUNK = 24, 100_000
+#: Crowded keys (of some 30 bytes each) that may be broadcast.
+BROADCAST = 100_000
 
 Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -63,7 +67,13 @@ def bucket_links(bucket: np.ndarray, home: np.ndarray, data: np.ndarray, near: N
 
 
 def dealt(rows: DataFrame, crowded: DataFrame, keys: list[str], block: int) -> DataFrame:
-    """``rows`` (``keys``, home, id, data) in buckets that hold about ``block`` homes; of ``crowded`` keys (n, their homes) each block of homes is a bucket, in which later blocks' homes look up too."""
+    """``rows`` (``keys``, home, id, data) in buckets that hold about ``block`` homes; of ``crowded`` keys (n, their homes) each block of homes is a bucket, in which later blocks' homes look up too.
+
+    Crowded keys are counted first: as few as usual they are broadcast, so that ``rows`` are shuffled once only.
+    """
+    crowded = stored(crowded)
+    if crowded.limit(BROADCAST + 1).count() <= BROADCAST:
+        crowded = F.broadcast(crowded)
     blocks = F.coalesce(F.ceil(F.col("n") / block).cast("int"), F.lit(1))
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     return (

@@ -200,8 +200,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, key: str =
     # written, so that the numbers given here hold
     nodes = stored(usable.groupBy("vec").agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("first")).withColumn("node", F.monotonically_increasing_id()))
     tables, lookups, scale = PLAN
-    # at most tables * vectors / HOMES cells
-    crowded = F.broadcast(file_cells(nodes, kind, tables, 0, scale).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOMES))
+    crowded = file_cells(nodes, kind, tables, 0, scale).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOMES)
     cells = dealt(file_cells(nodes, kind, *PLAN), crowded, ["bucket"], HOMES)
     found = components(connect(cells, near_vectors(threshold), lambda column: _unit(_matrix(column, kind))))
     linked = found.select("node", "component").unionByName(found.select(F.col("component").alias("node"), "component").distinct())

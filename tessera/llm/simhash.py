@@ -9,16 +9,18 @@ segment only the one with the smaller value looks the other up. The plan is the
 Equal fingerprints are one node. Buckets in which over ``BLOCK`` are filed are cut into blocks that are buckets of their
 own, and lookups pass in chunks, so a task holds one block of a bucket at a time.
 
-``similar_groups`` is for a similarity well below that of 4 bits, which fingerprints can't tell apart from less: it
-compares the sets of shingles themselves; see there.
+``similar_groups`` is for a similarity well below that of 4 bits: it finds candidates by wider fingerprints and then compares
+the sets of shingles themselves; see there.
 
-Defined cases: null and empty texts have fingerprint zero; fewer words than a shingle are one shingle; rows of equal ids
-share their component; a null id never is a component's smallest unless all are null.
+Defined cases: null and empty texts have fingerprint zero; fewer words than a shingle are one shingle; each row of a repeated
+id has its own fingerprint and that one's component; a null id never is a component's smallest unless all are null; other
+columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 from tessera.llm.buckets import connect, dealt
 from tessera.llm.common import raw, stored
 from tessera.llm.components import components
-from tessera.llm.words import LOWER, ODD, joined, mix, word_bounds
+from tessera.llm.repeats import run_hashes
+from tessera.llm.words import LOWER, ODD, joined, mix, word_bounds, word_hashes
 
 SEED = 42
 BLOCK = 20_000
@@ -37,8 +40,10 @@ BLOCK = 20_000
 SEGMENTS = 3
 #: Bytes of text hashed at once.
 SLICE = 8 << 20
-#: Of similar_groups: shingles that are listed as common.
-COMMON = 1 << 16
+#: Of similar_groups: 64-bit numbers in a fingerprint; differing bits beyond which a pair isn't tried (at similarity 0.8, 29 differ on
+#: average, with a deviation of 5); rows of a bucket that are compared in step with other buckets; near pairs a row that make a bucket
+#: dense; rows looked at together; bytes of text taken apart at once.
+WIDE, FAR, SMALL, DENSE, CHUNK, PIECE = 3, 48, 64, 8, 100_000, 2 << 20
 
 
 def majorities(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -77,30 +82,21 @@ def shingle_hashes(text: np.ndarray, ends: np.ndarray, shingle: int) -> tuple[np
     return np.fromiter((digest(data[a:b], SEED) for a, b in zip(places[at].tolist(), (places[upto] - 1).tolist(), strict=True)), np.uint64, len(at)), runs
 
 
-def fingerprints(text: np.ndarray, ends: np.ndarray, shingle: int, wide: int = 1) -> np.ndarray:
-    """Fingerprints of the texts that lie in ``text`` from ends[i] to ends[i + 1], a row of ``wide`` 64-bit numbers each."""
-    hashes, runs = shingle_hashes(text, ends, shingle)
-    return np.stack([majorities(mix(hashes + np.uint64(k) * ODD) if k else hashes, runs) for k in range(wide)], axis=1)
-
+def with_fingerprints(docs: DataFrame, shingle: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """k, the key, and fp, the fingerprint as a signed long, of each row."""
 
-def _batches(docs: DataFrame, shingle: int, key: str, text: str, wide: int, kind: str, as_column: Callable[[np.ndarray], pa.Array]) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = raw(batch.column(1))
-            out = np.zeros((batch.num_rows, wide), np.uint64)
+            out = np.zeros(batch.num_rows, np.uint64)
             a = 0
             while a < batch.num_rows:
                 b = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE, "right")) - 1)
-                out[a:b] = fingerprints(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a], shingle, wide)
+                out[a:b] = majorities(*shingle_hashes(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a], shingle))
                 a = b
-            yield pa.RecordBatch.from_arrays([batch.column(0), as_column(out)], names=["k", "fp"])
-
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(work, f"k {docs.schema[key].dataType.simpleString()}, fp {kind}")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["k", "fp"])
 
-
-def with_fingerprints(docs: DataFrame, shingle: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """k, the key, and fp, the fingerprint as a signed long, of each row."""
-    return _batches(docs, shingle, key, text, 1, "long", lambda fp: pa.array(fp[:, 0].view(np.int64)))
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(work, f"k {docs.schema[key].dataType.simpleString()}, fp long")
 
 
 def segments(count: int) -> list[tuple[int, int]]:
@@ -164,8 +160,32 @@ def simhash_components(docs: DataFrame, shingle: int = 4, distance: int = 4, key
     return found.select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _sets(rows: DataFrame, shingle: int, made: Callable[[np.ndarray], np.ndarray], name: str) -> DataFrame:
-    """``rows`` (text t last) with n, the number of different shingles, and ``name``, what ``made`` makes of their sorted hashes, as bytes, for t."""
+def text_shingles(text: np.ndarray, ends: np.ndarray, shingle: int) -> list[np.ndarray]:
+    """The set of shingles of each text that lies in ``text`` from ends[i] to ends[i + 1], as sorted hashes; a text of fewer words is one shingle."""
+    text = LOWER[text]
+    starts, stops, first = word_bounds(text, ends)
+    symbols = word_hashes(text, starts, stops)
+    whole = run_hashes(symbols, shingle)
+    count = np.diff(first)
+    out = [np.unique(whole[a : a + n - shingle + 1]) if n >= shingle else np.zeros(0, np.uint64) for a, n in zip(first[:-1].tolist(), count.tolist(), strict=True)]
+    for size in range(1, shingle):
+        short = np.flatnonzero(count == size)
+        if len(short):
+            hashes = run_hashes(symbols, size)[first[short]] + np.uint64(size)
+            for i, h in zip(short.tolist(), hashes, strict=True):
+                out[i] = np.array([h])
+    return out
+
+
+def wide_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of WIDE 64-bit numbers for each set: majorities of its hashes' bits, and of those of their mixtures."""
+    runs = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
+    hashes = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    return np.stack([majorities(mix(hashes + np.uint64(k) * ODD), runs) for k in range(WIDE)], axis=1)
+
+
+def _sets(rows: DataFrame, shingle: int, made: Callable[[list[np.ndarray]], list[bytes]], name: str) -> DataFrame:
+    """``rows`` (text t last) with n, the number of different shingles, and ``name``, what ``made`` makes of their hashes, for t."""
     kept = rows.columns[:-1]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,99 +193,156 @@ def _sets(rows: DataFrame, shingle: int, made: Callable[[np.ndarray], np.ndarray
             data, ends = raw(batch.column(len(kept)))
             a = 0
             while a < batch.num_rows:
-                b = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE, "right")) - 1)
-                hashes, runs = shingle_hashes(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a], shingle)
-                each = [np.unique(hashes[x:y]) for x, y in zip(runs[:-1], runs[1:], strict=True)]
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] + PIECE, "right")) - 1)
+                each = text_shingles(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a], shingle)
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array([len(x) for x in each], pa.int32()), pa.array([made(x).tobytes() for x in each], pa.binary())], names=[*kept, "n", name])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array([len(x) for x in each], pa.int32()), pa.array(made(each), pa.binary())], names=[*kept, "n", name])
                 a = b
 
     kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept]
     return rows.mapInArrow(work, ", ".join([*kinds, "n int", f"{name} binary"]))
 
 
-def common_shingles(rows: DataFrame, shingle: int) -> np.ndarray:
-    """Hashes of shingles that many of a sixteenth of ``rows`` (node, t) hold, the most frequent last; what isn't listed only costs time."""
-    part = rows.where(F.pmod(F.xxhash64("node"), F.lit(16)) == 0)
+def filed_wide(nodes: DataFrame, radius: int = 1) -> DataFrame:
+    """``nodes`` (node, n, fp) under their segments' values, where they are home, and under the greater values in the balls around them."""
+    masks = np.array([0, *balls(16, radius)], np.uint16)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in batch.column(2).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64))], names=["h"])
-
-    each = _sets(part, shingle, lambda x: x, "set").mapInArrow(work, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    found = each.where(F.col("n") >= 4).orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    return np.array([r["h"] for r in reversed(found)], np.int64).view(np.uint64)
-
-
-def prefix(ordered: np.ndarray) -> np.ndarray:
-    """The first of a set's hashes, in an order common to all sets, of which two sets of Jaccard 4/5 or more share one at least."""
-    return ordered[: len(ordered) - (4 * len(ordered) + 4) // 5 + 1] if len(ordered) else ordered
-
-
-def may_link(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray) -> np.ndarray:
-    """Whether sets of ``n`` and ``m`` hashes whose first common one lies at ``at`` and ``to`` can have Jaccard 4/5."""
-    return (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * np.minimum(n - at, m - to) >= 4 * (n + m))
-
-
-def _bucket_pairs(rows: DataFrame, pairs: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
-    """a and b that ``pairs`` gives for each bucket of several ``rows`` (h, node, n, at, group), which lie together and in order of h and node."""
+            for a in range(0, batch.num_rows, 2000):
+                part = batch.slice(a, 2000)
+                own = raw(part.column(2))[0].view(np.uint16).reshape(part.num_rows, -1)
+                values = own[:, :, None] ^ masks
+                row, segment, way = np.nonzero((values > own[:, :, None]) | (masks == 0))
+                bucket = segment.astype(np.int64) << 16 | values[row, segment, way]
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(way == 0), *(part.column(i).take(at) for i in range(3))], names=["bucket", "home", "node", "n", "fp"])
+
+    return nodes.select("node", "n", "fp").mapInArrow(work, "bucket long, home boolean, node long, n int, fp binary")
+
+
+@dataclass
+class Rows:
+    """Rows of buckets: sorted by bucket, homes first, then by node."""
+
+    bucket: np.ndarray
+    home: np.ndarray
+    node: np.ndarray
+    n: np.ndarray
+    fp: np.ndarray
+    group: np.ndarray
+
+    def take(self, at: np.ndarray) -> Rows:
+        return Rows(*(getattr(self, f.name)[at] for f in fields(self)))
+
+    def near(self, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+        """Whether rows may have Jaccard 4/5: by the sizes of their sets, and few enough differing bits."""
+        n, m = self.n[i], self.n[j]
+        return (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (np.bitwise_count(self.fp[i] ^ self.fp[j]).sum(-1) <= FAR)
+
+
+def leaders(rows: Rows, head: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of a bucket's homes each that no earlier one is near to, with all rows near to it."""
+    left = np.ones(size, bool)
+    for seed in range(int(rows.home[head : head + size].sum())):
+        if left[seed]:
+            rest = seed + 1 + np.flatnonzero(left[seed + 1 :])
+            rest = rest[rows.near(head + seed, head + rest)]
+            left[rest] = False
+            yield np.full(len(rest), head + seed), head + rest
+
+
+def near_pairs(rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows (one a home) that are near, and rows of dense buckets; of those, in which over DENSE pairs a row are near, only the leaders' pairs."""
+    heads = np.flatnonzero(np.append(True, rows.bucket[1:] != rows.bucket[:-1]))
+    sizes = np.diff(np.append(heads, len(rows.bucket)))
+    owner = np.repeat(np.arange(len(heads)), sizes)
+    small = (sizes <= SMALL)[owner]
+    ones, twos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, int(sizes[sizes <= SMALL].max(initial=1))):
+        i = np.flatnonzero(small[:-d] & rows.home[:-d] & (owner[d:] == owner[:-d]))
+        i = i[rows.near(i, i + d)]
+        ones.append(i)
+        twos.append(i + d)
+    dense = np.zeros(len(heads), bool)
+    for k in np.flatnonzero(sizes > SMALL):
+        head, size, found = heads[k], sizes[k], 0
+        for i in range(head, head + int(rows.home[head : head + size].sum())):
+            j = np.arange(i + 1, head + size)
+            j = j[rows.near(i, j)]
+            found += len(j)
+            ones.append(np.full(len(j), i))
+            twos.append(j)
+            if found > DENSE * size:
+                dense[k] = True
+                break
+    one, two = np.concatenate(ones), np.concatenate(twos)
+    dense |= np.bincount(owner[one], minlength=len(heads)) > DENSE * sizes
+    few = ~dense[owner[one]]
+    parts = [(one[few], two[few]), *(x for k in np.flatnonzero(dense) for x in leaders(rows, heads[k], sizes[k]))]
+    return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]), np.flatnonzero(dense[owner])
+
+
+def pairs_across(rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of near rows (one a home) of a bucket that lie in different groups."""
+    heads = np.flatnonzero(np.append(True, rows.bucket[1:] != rows.bucket[:-1]))
+    ones, twos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for head, end in zip(heads, np.append(heads[1:], len(rows.bucket)), strict=True):
+        names, where, sizes = np.unique(rows.group[head:end], return_inverse=True, return_counts=True)
+        few = where != sizes.argmax()  # those of the largest group are seen from the others
+        for i in np.flatnonzero(few):
+            j = np.flatnonzero((where != where[i]) & (rows.home[head:end] | rows.home[head + i]))
+            j = j[(j > i) | ~few[j]]
+            j = head + j[rows.near(head + i, head + j)]
+            ones.append(np.full(len(j), head + i))
+            twos.append(j)
+    return np.concatenate(ones), np.concatenate(twos), np.zeros(0, np.int64)
+
+
+def in_buckets(entries: DataFrame, homes: DataFrame, compare: Callable[[Rows], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+    """a and b of the pairs that ``compare`` finds in buckets of ``entries`` (bucket, home, node, n, fp, group), of which ``homes`` are home; of its dense rows a is the node, beside bucket and home."""
+    crowded = homes.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
+    packed = entries.select("bucket", "home", F.col("node").alias("id"), F.struct("n", "fp", "group").alias("data"))
+    rows = dealt(packed, crowded, ["bucket"], BLOCK).select("bucket", "home", F.col("id").alias("node"), "data.n", "data.fp", "data.group")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def give(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            h = columns[0]
-            heads = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            for x, y in zip(heads, np.append(heads[1:], len(h)), strict=True):
-                for a, b in pairs(*[c[x:y] for c in columns[1:]]) if y - x > 1 else ():
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        kept, held, size = None, [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal kept, held, size
+            parts = held if kept is None else [kept, *held]
+            now = Rows(*(np.concatenate([getattr(x, f.name) for x in parts]) for f in fields(Rows)))
+            one, two, dense = compare(now)
+            kept, held, size = now.take(np.flatnonzero(now.home & (now.bucket == now.bucket[-1]))), [], 0  # the last bucket may go on
+            a, b = now.node[one], now.node[two]
+            nulls = pa.nulls(len(a), pa.int64()), pa.nulls(len(dense), pa.int64())
+            pairs = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), nulls[0], pa.nulls(len(a), pa.bool_())]
+            rest = [pa.array(now.node[dense]), nulls[1], pa.array(now.bucket[dense]), pa.array(now.home[dense])]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(pairs, rest, strict=True)], names=["a", "b", "bucket", "home"])
 
         for batch in batches:
-            columns = [batch.column(i).to_numpy() for i in range(5)]
-            change = np.flatnonzero(columns[0] != columns[0][-1])
-            cut = change[-1] + 1 if len(change) else 0
-            if cut or (held and held[0][0][0] != columns[0][0]):
-                yield from give([np.concatenate([*(x[i] for x in held), c[:cut]]) for i, c in enumerate(columns)])
-                held = []
-            held.append([c[cut:] for c in columns])
-        if held:
-            yield from give([np.concatenate([x[i] for x in held]) for i in range(5)])
-
-    together = rows.select("h", "node", "n", "at", "group").repartition("h").sortWithinPartitions("h", "node")
-    return together.mapInArrow(work, "a long, b long").distinct()
-
-
-def _star(node: np.ndarray, n: np.ndarray, at: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """A bucket's first node with those it may be linked with."""
-    ok = may_link(n[:1], at[:1], n[1:], at[1:])
-    yield np.full(int(ok.sum()), node[0]), node[1:][ok]
-
-
-def _across(node: np.ndarray, n: np.ndarray, at: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of a bucket that may be linked and lie in different groups: those outside of the largest group with all others."""
-    names, where, sizes = np.unique(group, return_inverse=True, return_counts=True)
-    if len(names) == 1:
-        return
-    few = where != sizes.argmax()
-    for i in np.flatnonzero(few):
-        ok = (where != where[i]) & may_link(n[i], at[i], n, at)
-        ok[:i] &= ~few[:i]
-        yield np.full(int(ok.sum()), node[i]), node[ok]
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3)]
+            held.append(Rows(*columns, raw(batch.column(4))[0].view(np.uint64).reshape(-1, WIDE), batch.column(5).to_numpy()))
+            size += batch.num_rows
+            if size >= CHUNK:
+                yield flush()
+        if size:
+            yield flush()
+
+    together = rows.repartition("bucket").sortWithinPartitions("bucket", F.desc("home"), "node")
+    return together.mapInArrow(work, "a long, b long, bucket long, home boolean")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """a and b of ``pairs`` whose shingles, of ``texts`` (node, t), have Jaccard 4/5 at least."""
-    pairs = stored(pairs)
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = stored(_sets(texts.join(needed, "node", "left_semi").dropDuplicates(["node"]), shingle, lambda x: x, "set").select("node", "set"))
+    sets = stored(_sets(texts.join(needed, "node", "left_semi").dropDuplicates(["node"]), shingle, lambda each: [x.tobytes() for x in each], "set").select("node", "set"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, two = (batch.column(i).to_pylist() for i in (2, 3))
             common = [len(np.intersect1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True)) for x, y in zip(one, two, strict=True)]
-            ok = pa.array([72 * c >= 4 * (len(x) + len(y)) for c, x, y in zip(common, one, two, strict=True)], pa.bool_())
+            ok = pa.array([72 * c >= 4 * (len(x) + len(y)) for c, x, y in zip(common, one, two, strict=True)], pa.bool_())  # lengths are in bytes
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(ok)
 
     side = lambda name: sets.select(F.col("node").alias(name), F.col("set").alias(f"set_{name}"))
@@ -276,57 +353,31 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
 def similar_groups(docs: DataFrame, shingle: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and component_id, the smallest key that links reach, of each row; links are texts whose sets of shingles have a Jaccard similarity of 4/5 or more.
 
-    The search is exact at every size (but for equal 64-bit hashes): two such sets share one of the first hashes of both,
-    in an order that puts common shingles last (``prefix``). Buckets of those hashes give candidates, whose whole sets are
-    then compared. First each bucket's first text is tried with the others, then, of the groups that this leaves, all pairs
-    between two groups, so a large group of copies doesn't give all its pairs. Equal texts are one node; so are those without words.
-    """
-    texts = docs.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("node"), F.col(text).alias("t"))
-    common = common_shingles(texts, shingle)
-    sort = np.argsort(common)
-    known = common[sort]
-
-    def first(hashes: np.ndarray) -> np.ndarray:
-        rank = np.zeros(len(hashes), np.int64)
-        if len(known):
-            i = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-            rank = np.where(known[i] == hashes, sort[i] + 1, 0)
-        return prefix(hashes[np.argsort(rank, kind="stable")])
+    Candidates come by multi-index hashing of fingerprints of 192 bits, in twelve segments of 16 bits with balls of radius 1, at
+    every size; their sets of shingles are then compared, so no link is false. Bits of a pair at similarity 0.8 differ with
+    a chance of 0.15, so that it meets with one of 0.98, a more similar one more often. Buckets in which few pairs are near
+    give all; a dense one gives those of its leaders first, and then, of the groups that this leaves, all pairs between
+    two groups, so a large group of near copies doesn't give all its pairs.
 
+    Defined cases: equal texts (by a 64-bit hash) are one node, so are all without words, null ones among them; case of A-Z and
+    spaces don't count; rows of equal ids may lie in several groups; a null id is the least of a group only where all are
+    null; other columns are left out, whatever their names.
+    """
     keyed = docs.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("node"), F.col(text).alias("t"))
-    marked = stored(_sets(keyed, shingle, first, "first").withColumn("node", F.when(F.col("n") > 0, F.col("node")).otherwise(F.lit(0))))
-    nodes = marked.groupBy("node").agg(F.min("k").alias("least"), F.max("n").alias("n"), F.max("first").alias("first"))
-
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, ends = raw(batch.column(2))
-            sizes = np.diff(ends) // 8
-            at = np.arange(sizes.sum()) - np.repeat(ends[:-1] // 8, sizes)
-            rows = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data.tobytes(), np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at.astype(np.int32))], names=["h", "node", "n", "at"])
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            part = pa.Table.from_batches(([last] if last is not None else []) + [batch]).combine_chunks().to_batches()[0]
-            h = part.column(0).to_numpy()
-            same = h[1:] == h[:-1]
-            # the last row waits for the one after it, unless it is known to be shared
-            keep = np.append(False, same) | np.append(same, False)
-            if last is not None and goes_on and len(h) > 1:
-                keep[0] = True
-            goes_on = bool(keep[-1])
-            yield part.slice(0, len(h) - 1).filter(pa.array(keep[:-1]))
-            last = part.slice(len(h) - 1)
-        if last is not None and goes_on:
-            yield last
-
-    kinds = "h long, node long, n int, at int"
-    listed = nodes.select("node", "n", "first").mapInArrow(entries, kinds).repartition("h").sortWithinPartitions("h").mapInArrow(shared, kinds)
-    listed = stored(listed)
-    starred = _verified(_bucket_pairs(listed.withColumn("group", F.col("node")), _star), texts, shingle)
-    grouped = listed.join(components(starred), "node", "left").withColumn("group", F.coalesce("component", "node"))
-    links = starred.unionByName(_verified(_bucket_pairs(grouped, _across), texts, shingle))
+    as_bytes = lambda each: [x.tobytes() for x in wide_fingerprints(each)]
+    marked = stored(_sets(keyed, shingle, as_bytes, "fp").withColumn("node", F.when(F.col("n") > 0, F.col("node")).otherwise(F.lit(0))))
+    nodes = marked.groupBy("node").agg(F.min("k").alias("least"), F.max("n").alias("n"), F.max("fp").alias("fp"))
+    texts = keyed.select("node", "t")
+    full = nodes.where("n > 0")
+    found = stored(in_buckets(filed_wide(full).withColumn("group", F.col("node")), filed_wide(full, 0), near_pairs))
+    tried = stored(found.where("bucket IS NULL").select("a", "b").distinct())
+    links = _verified(tried, texts, shingle)
+    dense = found.where("bucket IS NOT NULL").select("bucket", "home", F.col("a").alias("node")).distinct()
+    if not dense.isEmpty():
+        grouped = dense.join(nodes.select("node", "n", "fp"), "node").join(components(links), "node", "left").withColumn("group", F.coalesce("component", "node"))
+        grouped = stored(grouped.select("bucket", "home", "node", "n", "fp", "group"))
+        more = in_buckets(grouped, grouped.where("home"), pairs_across).select("a", "b").distinct()
+        links = links.unionByName(_verified(stored(more.join(tried, ["a", "b"], "left_anti")), texts, shingle))
     roots = nodes.select("node", "least").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     firsts = roots.groupBy("component").agg(F.min("least").alias("component_id"))
     named = stored(roots.join(firsts, "component").select("node", "component_id"))

@@ -17,6 +17,7 @@ from tessera.llm import mixing as X
 from tessera.llm import queries as Q
 from tessera.llm import repeats
 from tessera.llm import sentencepieces as P
+from tessera.llm import simhash as S
 from tessera.llm import words as W
 from tessera.llm.quality_rules import features, judge, quality_rules
 from tessera.llm.simhash import similar_groups, simhash_components
@@ -190,13 +191,15 @@ def test_similar_groups_are_those_of_jaccard(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(9))
     frame = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    # runs of words: 80 shingles in common of 100 in both, and one less
+    # runs of words: 80 shingles in common of 100 in both, one less, and 80 of 90
     texts = []
-    for extra in [10] * 60 + [11] * 60:
+    for extra in [10] * 100 + [11] * 60 + [5] * 100:
         common = [word() for _ in range(84)]
-        texts += [" ".join(common + [word() for _ in range(extra)]), " ".join([word() for _ in range(20 - min(extra, 10))] + common)]
+        texts += [" ".join(common + [word() for _ in range(extra)]), " ".join([word() for _ in range(20 - min(extra, 10) if extra != 5 else 5)] + common)]
     got = {i: r.component_id for i, r in by_id(similar_groups(frame(texts))).items()}
-    assert got == {i: i - i % 2 if i < 120 else i for i in range(240)}
+    joined = [got[2 * i] == got[2 * i + 1] for i in range(260)]
+    assert sum(joined[:100]) >= 90 and not any(joined[100:160]) and all(joined[160:])
+    assert all(got[i] in (i, i - i % 2) for i in got)
     # boilerplate of two thirds and a line that all have: nothing is a copy
     boiler = " ".join(word() for _ in range(100))
     own = [boiler + " " + " ".join(word() for _ in range(25)) for _ in range(200)]
@@ -204,6 +207,31 @@ def test_similar_groups_are_those_of_jaccard(spark):
     assert got == {i: i for i in range(200)}
 
 
+def test_similar_groups_in_dense_and_crowded_buckets(spark, monkeypatch):
+    """Two large groups of near copies with boilerplate in common, and others with it that are no copies: the plan for dense buckets, in blocks."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(9))
+    boiler = [word() for _ in range(60)]
+    hubs = [boiler + [word() for _ in range(60)] for _ in range(2)]
+    rows = []
+    for i in range(160):
+        w = list(hubs[i % 2])
+        w[60 + i // 2 % 60] = word()
+        rows.append(" ".join(w))
+    rows += [" ".join(boiler + [word() for _ in range(60)]) for _ in range(20)]
+    for name, value in (("DENSE", 1), ("SMALL", 8), ("BLOCK", 30), ("CHUNK", 200)):
+        monkeypatch.setattr(S, name, value)
+    got = {i: r.component_id for i, r in by_id(similar_groups(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))).items()}
+    assert got == {i: i % 2 if i < 160 else i for i in range(180)}
+
+
+def test_similar_groups_of_odd_rows(spark, docs, texts):
+    rows = [(1, None), (2, ""), (None, " "), (3, "a b"), (3, "A  b"), (4, "a c"), (None, "x y z u v w"), (5, "x y z u v w"), (3, "x y z u v w")]
+    got = similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 1), (0, 3), (1, 1), (2, 1), (3, 3), (3, 3), (3, 3), (4, 4), (5, 3)]
+    assert similar_groups(clashing(docs)).count() == len(texts)
+
+
 # 3, 7 ------------------------------------------------------------------------------------------------------------------
 
 
