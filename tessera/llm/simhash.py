@@ -43,7 +43,7 @@ SLICE = 8 << 20
 #: Of similar_groups: 64-bit numbers in a fingerprint; differing bits beyond which a pair isn't tried (at similarity 0.8, 29 differ on
 #: average, with a deviation of 5); rows of a bucket that are compared in step with other buckets; near pairs a row that make a bucket
 #: dense; rows looked at together; bytes of text taken apart at once.
-WIDE, FAR, SMALL, DENSE, CHUNK, PIECE = 3, 48, 64, 8, 100_000, 2 << 20
+WIDE, FAR, SMALL, DENSE, CHUNK, PIECE = 3, 48, 64, 2, 100_000, 2 << 20
 
 
 def majorities(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -242,13 +242,16 @@ class Rows:
 
 
 def leaders(rows: Rows, head: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of a bucket's homes each that no earlier one is near to, with all rows near to it."""
-    left = np.ones(size, bool)
-    for seed in range(int(rows.home[head : head + size].sum())):
+    """Of a bucket's homes each that no earlier one is near to, with all homes near to it and the first other row; the others meet homes of their own elsewhere."""
+    homes = int(rows.home[head : head + size].sum())
+    left = np.ones(homes, bool)
+    for seed in range(homes):
         if left[seed]:
             rest = seed + 1 + np.flatnonzero(left[seed + 1 :])
             rest = rest[rows.near(head + seed, head + rest)]
             left[rest] = False
+            others = np.arange(homes, size)
+            rest = np.append(rest, others[rows.near(head + seed, head + others)][:1])
             yield np.full(len(rest), head + seed), head + rest
 
 
@@ -279,8 +282,11 @@ def near_pairs(rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     one, two = np.concatenate(ones), np.concatenate(twos)
     dense |= np.bincount(owner[one], minlength=len(heads)) > DENSE * sizes
     few = ~dense[owner[one]]
+    # rows of small buckets that are near to none are left out
+    alone = small.copy()
+    alone[one] = alone[two] = False
     parts = [(one[few], two[few]), *(x for k in np.flatnonzero(dense) for x in leaders(rows, heads[k], sizes[k]))]
-    return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]), np.flatnonzero(dense[owner])
+    return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]), np.flatnonzero(dense[owner] & ~alone)
 
 
 def pairs_across(rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -336,7 +342,8 @@ def in_buckets(entries: DataFrame, homes: DataFrame, compare: Callable[[Rows], t
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """a and b of ``pairs`` whose shingles, of ``texts`` (node, t), have Jaccard 4/5 at least."""
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = stored(_sets(texts.join(needed, "node", "left_semi").dropDuplicates(["node"]), shingle, lambda each: [x.tobytes() for x in each], "set").select("node", "set"))
+    # as many texts are shuffled at every size
+    sets = stored(_sets(texts.join(needed.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), shingle, lambda each: [x.tobytes() for x in each], "set").select("node", "set"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,7 +363,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, key: str = "doc_id", text:
     Candidates come by multi-index hashing of fingerprints of 192 bits, in twelve segments of 16 bits with balls of radius 1, at
     every size; their sets of shingles are then compared, so no link is false. Bits of a pair at similarity 0.8 differ with
     a chance of 0.15, so that it meets with one of 0.98, a more similar one more often. Buckets in which few pairs are near
-    give all; a dense one gives those of its leaders first, and then, of the groups that this leaves, all pairs between
+    give all; a dense one gives those of its leaders and homes first, and then, of the groups that this leaves, all pairs between
     two groups, so a large group of near copies doesn't give all its pairs.
 
     Defined cases: equal texts (by a 64-bit hash) are one node, so are all without words, null ones among them; case of A-Z and
