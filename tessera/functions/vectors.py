@@ -91,3 +91,29 @@ def put_rows(rows: Column, places: Column, vectors: Column) -> Column:
     """``rows`` with ``vectors`` at ``places``; an error if their counts differ."""
     swapped = F.transform(rows, lambda r, i: F.coalesce(F.get(vectors, F.array_position(places, i).cast("int") - 1), r))
     return F.when(F.size(places) == F.size(vectors), swapped).otherwise(F.raise_error(F.lit("as many vectors as places are needed")))
+
+
+def unit(v: Column) -> Column:
+    """``v`` at length 1, or null where it has none."""
+    size = norm(v)
+    return F.when(size > 0, F.transform(_double(v), lambda x: x / size))
+
+
+def random_direction(like: Column, key: Column, seed: int) -> Column:
+    """A direction of normally distributed components from hashes of ``key``, with the norm of ``like``."""
+    def part(i: Column, k: int) -> Column:
+        return (F.pmod(F.xxhash64(key, i, F.lit(seed), F.lit(k)), F.lit(1 << 30)) + 1).cast("double") / float((1 << 30) + 1)
+
+    drawn = F.transform(F.sequence(F.lit(1), F.size(like)), lambda i: F.sqrt(-2 * F.ln(part(i, 0))) * F.cos(2 * 3.141592653589793 * part(i, 1)))
+    return rescaled(drawn, norm(like))
+
+
+def logprob_scores(logprobs: Column) -> Column:
+    """total, mean and first of a candidate's tokens; null where it has none."""
+    sums = F.struct(total(logprobs).alias("total"), (total(logprobs) / F.size(logprobs)).alias("mean"), F.get(logprobs, F.lit(0)).cast("double").alias("first"))
+    return F.when(F.size(logprobs) > 0, sums)
+
+
+def calibrated(scores: Column, baseline: Column) -> Column:
+    """Scores less those of the same candidates without the case."""
+    return F.zip_with(_double(scores), _double(baseline), lambda a, b: a - b)

@@ -91,8 +91,15 @@ def context_first(context: Column, prompt: Column) -> Column:
     return F.concat(F.when(c.rlike("[.!?]$"), c).otherwise(F.concat(c, F.lit("."))), F.lit(" "), prompt)
 
 
-def inserted_sentence(original: Column, changed: Column) -> Column:
-    """What ``changed`` has before or behind ``original``; an error if it isn't one of them with something added."""
-    return F.when(F.startswith(changed, original), F.btrim(F.substring(changed, F.length(original) + 1, F.length(changed)))).when(
-        F.endswith(changed, original), F.btrim(F.substring(changed, F.lit(1), F.length(changed) - F.length(original)))
-    ).otherwise(F.raise_error(F.lit("nothing was inserted at an end")))
+def inserted_sentence(original: Column, changed: Column, marker: Column | None = None) -> Column:
+    """What ``changed`` has between the sentences of ``original`` and its closing question, or at an end, else its sentence with ``marker``; an error if none fits."""
+    question = F.btrim(F.substring_index(original, ".", -1))
+    prefix = F.btrim(F.substring(original, F.lit(1), F.length(original) - F.length(F.substring_index(original, ".", -1))))
+    between = F.btrim(F.substring(changed, F.length(prefix) + 1, F.length(changed) - F.length(prefix) - F.length(question)))
+    behind = F.btrim(F.substring(changed, F.length(original) + 1, F.length(changed)))
+    before = F.btrim(F.substring(changed, F.lit(1), F.length(changed) - F.length(original)))
+    out = F.when(F.startswith(changed, original), behind).when(F.endswith(changed, original), before).when((question != "") & F.startswith(changed, prefix) & F.endswith(changed, question), between)
+    if marker is not None:
+        found = F.filter(F.transform(F.split(changed, r"\."), lambda s: F.btrim(s)), lambda s: (s != "") & F.contains(F.lower(s), F.lower(marker)))
+        out = F.coalesce(out, F.concat(F.get(found, F.lit(0)), F.lit(".")))
+    return F.coalesce(out, F.raise_error(F.lit("no sentence was inserted")).cast("string"))
