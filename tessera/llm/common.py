@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
 
@@ -51,6 +52,14 @@ def dropped(frame: DataFrame) -> None:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def give_back() -> None:
+    """Give free memory back to the system; a Python worker waits for its next task with it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def group_count(frame: DataFrame, text: Column, group_mb: float) -> int:
     """How many groups of about ``group_mb`` MB the texts make; one pass over the column's lengths."""
     total = frame.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0

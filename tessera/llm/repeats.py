@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import group_count, raw
+from tessera.llm.common import give_back, group_count, raw
 from tessera.llm.words import cut_out, joined, mix, same_slices, word_bounds, word_hashes
 
 #: MB of text in a group; occurrences of an anchor over which it is crowded.
@@ -116,6 +116,7 @@ class Kind:
 
 
 def load(table: pa.Table, kind: Kind) -> Group:
+    give_back()  # what the group before left
     table = table.sort_by([("id", "ascending"), ("text", "ascending")])
     text, ends = raw(table.column("text"))
     ids = table.column("id").fill_null(LAST).to_numpy()
@@ -327,6 +328,7 @@ def find_repeats(
         return pa.table({"bucket": pa.array(full, pa.int32()), "group": pa.array([number] * len(full), pa.int32())} | {k: pa.array(v, pa.binary()) for k, v in blobs.items()})
 
     def answer(table: pa.Table) -> pa.Table:
+        give_back()
         table = table.sort_by("group")
         text, _ = raw(table.column("text"))
         sizes = raw(table.column("sizes"))[0].view(np.uint32).astype(np.int64)

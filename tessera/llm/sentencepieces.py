@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessera.llm.common import raw
+from tessera.llm.common import give_back, raw
 from tessera.llm.words import ODD, mix
 
 MARK = "▁"
@@ -344,6 +344,7 @@ def encode(frame: DataFrame, path: str, text: str = "text", ids: str = "ids", ad
             found = known.encode(batch.column(at))
             more = [found, known.decode(found)] if decoded else [found]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=schema.names)
+        give_back()
 
     return frame.mapInArrow(work, schema)
 

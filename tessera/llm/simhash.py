@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.buckets import connect, dealt
-from tessera.llm.common import raw, stored
+from tessera.llm.common import give_back, raw, stored
 from tessera.llm.components import components
 from tessera.llm.repeats import run_hashes
 from tessera.llm.words import LOWER, ODD, joined, mix, word_bounds, word_hashes
@@ -95,6 +95,7 @@ def with_fingerprints(docs: DataFrame, shingle: int, key: str = "doc_id", text:
                 out[a:b] = majorities(*shingle_hashes(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a], shingle))
                 a = b
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["k", "fp"])
+        give_back()
 
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(work, f"k {docs.schema[key].dataType.simpleString()}, fp long")
 
@@ -198,6 +199,7 @@ def _sets(rows: DataFrame, shingle: int, made: Callable[[list[np.ndarray]], list
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array([len(x) for x in each], pa.int32()), pa.array(made(each), pa.binary())], names=[*kept, "n", name])
                 a = b
+        give_back()
 
     kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept]
     return rows.mapInArrow(work, ", ".join([*kinds, "n int", f"{name} binary"]))
@@ -334,16 +336,14 @@ def in_buckets(entries: DataFrame, homes: DataFrame, compare: Callable[[Rows], t
                 yield flush()
         if size:
             yield flush()
+        give_back()
 
     together = rows.repartition("bucket").sortWithinPartitions("bucket", F.desc("home"), "node")
     return together.mapInArrow(work, "a long, b long, bucket long, home boolean")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """a and b of ``pairs`` whose shingles, of ``texts`` (node, t), have Jaccard 4/5 at least."""
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    # as many texts are shuffled at every size
-    sets = stored(_sets(texts.join(needed.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), shingle, lambda each: [x.tobytes() for x in each], "set").select("node", "set"))
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a and b of ``pairs`` whose ``sets`` (node, set) of shingles have Jaccard 4/5 at least."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -378,13 +378,16 @@ def similar_groups(docs: DataFrame, shingle: int = 5, key: str = "doc_id", text:
     full = nodes.where("n > 0")
     found = stored(in_buckets(filed_wide(full).withColumn("group", F.col("node")), filed_wide(full, 0), near_pairs))
     tried = stored(found.where("bucket IS NULL").select("a", "b").distinct())
-    links = _verified(tried, texts, shingle)
+    # the sets of all that may be compared, from one shuffle of texts, as large at every size
+    needed = found.select(F.explode(F.array("a", "b")).alias("node")).where("node IS NOT NULL").distinct().hint("merge")
+    sets = stored(_sets(texts.join(needed, "node", "left_semi").dropDuplicates(["node"]), shingle, lambda each: [x.tobytes() for x in each], "set").select("node", "set"))
+    links = _verified(tried, sets)
     dense = found.where("bucket IS NOT NULL").select("bucket", "home", F.col("a").alias("node")).distinct()
     if not dense.isEmpty():
         grouped = dense.join(nodes.select("node", "n", "fp"), "node").join(components(links), "node", "left").withColumn("group", F.coalesce("component", "node"))
         grouped = stored(grouped.select("bucket", "home", "node", "n", "fp", "group"))
         more = in_buckets(grouped, grouped.where("home"), pairs_across).select("a", "b").distinct()
-        links = links.unionByName(_verified(stored(more.join(tried, ["a", "b"], "left_anti")), texts, shingle))
+        links = links.unionByName(_verified(stored(more.join(tried, ["a", "b"], "left_anti")), sets))
     roots = nodes.select("node", "least").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     firsts = roots.groupBy("component").agg(F.min("least").alias("component_id"))
     named = stored(roots.join(firsts, "component").select("node", "component_id"))
