@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,9 @@ SEGMENTS = 3
 SLICE = 8 << 20
 #: Of similar_groups: 64-bit numbers in a fingerprint; differing bits beyond which a pair isn't tried (at similarity 0.8, 29 differ on
 #: average, with a deviation of 5); rows of a bucket that are compared in step with other buckets; near pairs a row that make a bucket
-#: dense; rows looked at together; bytes of text taken apart at once.
-WIDE, FAR, SMALL, DENSE, CHUNK, PIECE = 3, 48, 64, 2, 100_000, 2 << 20
+#: dense; rows looked at together; bytes of text taken apart at once; rows of a bucket by which central ones are told;
+#: partners that a row of another group tries first.
+WIDE, FAR, SMALL, DENSE, CHUNK, PIECE, LOOKED_AT, NEAREST = 3, 48, 64, 2, 100_000, 2 << 20, 64, 4
 
 
 def majorities(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -243,16 +245,23 @@ class Rows:
         return (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (np.bitwise_count(self.fp[i] ^ self.fp[j]).sum(-1) <= FAR)
 
 
+def central(rows: Rows, head: int, size: int, homes: int) -> np.ndarray:
+    """A bucket's homes in order of their mean distance from some of its rows: what copies were made of lies nearer to them than they to each other."""
+    some = rows.fp[head + np.unique(np.linspace(0, size - 1, LOOKED_AT).astype(int))]
+    far = [np.bitwise_count(rows.fp[head + a : head + min(a + 1000, homes), None] ^ some).sum(-1, dtype=np.int64).sum(1) for a in range(0, homes, 1000)]
+    return np.argsort(np.concatenate(far), kind="stable")
+
+
 def leaders(rows: Rows, head: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of a bucket's homes each that no earlier one is near to, with all homes near to it and the first other row; the others meet homes of their own elsewhere."""
+    """Of a bucket's homes each that no more central one is near to, with all homes near to it and the first other row; the others meet homes of their own elsewhere."""
     homes = int(rows.home[head : head + size].sum())
-    left = np.ones(homes, bool)
-    for seed in range(homes):
+    left, others = np.ones(homes, bool), np.arange(homes, size)
+    for seed in central(rows, head, size, homes):
         if left[seed]:
-            rest = seed + 1 + np.flatnonzero(left[seed + 1 :])
+            left[seed] = False
+            rest = np.flatnonzero(left)
             rest = rest[rows.near(head + seed, head + rest)]
             left[rest] = False
-            others = np.arange(homes, size)
             rest = np.append(rest, others[rows.near(head + seed, head + others)][:1])
             yield np.full(len(rest), head + seed), head + rest
 
@@ -291,8 +300,8 @@ def near_pairs(rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]), np.flatnonzero(dense[owner] & ~alone)
 
 
-def pairs_across(rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of near rows (one a home) of a bucket that lie in different groups."""
+def pairs_across(rows: Rows, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of near rows (one a home) of a bucket that lie in different groups; with ``most`` only each row's nearest ones."""
     heads = np.flatnonzero(np.append(True, rows.bucket[1:] != rows.bucket[:-1]))
     ones, twos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for head, end in zip(heads, np.append(heads[1:], len(rows.bucket)), strict=True):
@@ -302,6 +311,8 @@ def pairs_across(rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             j = np.flatnonzero((where != where[i]) & (rows.home[head:end] | rows.home[head + i]))
             j = j[(j > i) | ~few[j]]
             j = head + j[rows.near(head + i, head + j)]
+            if most is not None and len(j) > most:
+                j = j[np.argsort(np.bitwise_count(rows.fp[head + i] ^ rows.fp[j]).sum(-1), kind="stable")[:most]]
             ones.append(np.full(len(j), head + i))
             twos.append(j)
     return np.concatenate(ones), np.concatenate(twos), np.zeros(0, np.int64)
@@ -363,8 +374,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, key: str = "doc_id", text:
     Candidates come by multi-index hashing of fingerprints of 192 bits, in twelve segments of 16 bits with balls of radius 1, at
     every size; their sets of shingles are then compared, so no link is false. Bits of a pair at similarity 0.8 differ with
     a chance of 0.15, so that it meets with one of 0.98, a more similar one more often. Buckets in which few pairs are near
-    give all; a dense one gives those of its leaders and homes first, and then, of the groups that this leaves, all pairs between
-    two groups, so a large group of near copies doesn't give all its pairs.
+    give all; a dense one gives those of its leaders and homes first, then, of the groups that this leaves, each row's nearest in
+    other groups, and at last all pairs between two groups that are left, so a large group of near copies doesn't give all its pairs.
 
     Defined cases: equal texts (by a 64-bit hash) are one node, so are all without words, null ones among them; case of A-Z and
     spaces don't count; rows of equal ids may lie in several groups; a null id is the least of a group only where all are
@@ -384,10 +395,14 @@ def similar_groups(docs: DataFrame, shingle: int = 5, key: str = "doc_id", text:
     links = _verified(tried, sets)
     dense = found.where("bucket IS NOT NULL").select("bucket", "home", F.col("a").alias("node")).distinct()
     if not dense.isEmpty():
-        grouped = dense.join(nodes.select("node", "n", "fp"), "node").join(components(links), "node", "left").withColumn("group", F.coalesce("component", "node"))
-        grouped = stored(grouped.select("bucket", "home", "node", "n", "fp", "group"))
-        more = in_buckets(grouped, grouped.where("home"), pairs_across).select("a", "b").distinct()
-        links = links.unionByName(_verified(stored(more.join(tried, ["a", "b"], "left_anti")), sets))
+        dense = stored(dense.join(nodes.select("node", "n", "fp"), "node"))
+        # nearest ones first: what they link needs no more pairs; then all that is left
+        for most in (NEAREST, None):
+            grouped = dense.join(components(links), "node", "left").withColumn("group", F.coalesce("component", "node"))
+            grouped = stored(grouped.select("bucket", "home", "node", "n", "fp", "group"))
+            more = in_buckets(grouped, grouped.where("home"), partial(pairs_across, most=most)).select("a", "b").distinct()
+            fresh = stored(more.join(tried, ["a", "b"], "left_anti"))
+            links, tried = links.unionByName(_verified(fresh, sets)), tried.unionByName(fresh)
     roots = nodes.select("node", "least").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     firsts = roots.groupBy("component").agg(F.min("least").alias("component_id"))
     named = stored(roots.join(firsts, "component").select("node", "component_id"))
