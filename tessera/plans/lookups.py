@@ -98,10 +98,10 @@ def sharded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.shard(table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id"), "doc_id", 4, 1)
 
 
-@query("union_shards", "SELECT doc_id, lang FROM documents WHERE doc_id % 3 IN (0, 2)")
+@query("union_shards", "SELECT doc_id, lang FROM documents")
 def union_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return R.union_all([docs.where("doc_id % 3 = 0"), docs.where("doc_id % 3 = 2")])
+    return R.union_all([docs.where(F.pmod("doc_id", F.lit(3)) == i) for i in range(3)])
 
 
 @query("first_spelling", "SELECT lower(p_type) AS key, arg_min(p_type, p_partkey) AS spelling, count(*) AS n FROM part GROUP BY 1")
@@ -117,14 +117,14 @@ def top_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "agreement_buckets",
-    r"""WITH t AS (SELECT a.conv_id, a.turn, regexp_replace(lower(left(a.text, 3)), '[^a-z0-9]+', ' ', 'g') AS x, regexp_replace(lower(b.text), '[^a-z0-9]+', ' ', 'g') AS y, length(b.text) > 200 AS good FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
+    r"""WITH t AS (SELECT a.conv_id, a.turn, regexp_replace(lower(a.text), '[^a-z0-9]+', ' ', 'g') AS x, regexp_replace(lower(b.text), '[^a-z0-9]+', ' ', 'g') AS y, length(b.text) > 200 AS good FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
 n AS (SELECT *, trim(x) AS k, trim(y) AS m FROM t), g AS (SELECT CASE WHEN k IS NULL OR m IS NULL OR k = '' OR m = '' THEN 'unknown' WHEN contains(k, m) OR contains(m, k) THEN 'agree' ELSE 'disagree' END AS bucket, good FROM n)
 SELECT bucket, count(*) AS n, coalesce(avg(good::INT::DOUBLE), 0) AS accuracy FROM g GROUP BY bucket""",
 )
 def agreement_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
-    agree = same_answer(F.substring("text", 1, 3), F.col("next"))
+    agree = same_answer(F.col("text"), F.col("next"))
     rows = turns.join(after, ["conv_id", "turn"], "left").select(F.when(agree.isNull(), "unknown").when(agree, "agree").otherwise("disagree").alias("bucket"), (F.length("next") > 200).alias("good"))
     return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.col("good").cast("double")), F.lit(0.0)).alias("accuracy"))
 
@@ -173,10 +173,10 @@ def rescaled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "vector_softmax",
-    "WITH t AS (SELECT vec_id, unnest(embedding[1:8])::DOUBLE AS x FROM embeddings), e AS (SELECT vec_id, exp(x - max(x) OVER (PARTITION BY vec_id)) AS e FROM t), p AS (SELECT vec_id, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM e) SELECT vec_id, round(max(p), 6) AS top, round(-sum(p * ln(p)), 6) AS entropy FROM p GROUP BY vec_id",
+    "WITH t AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings), e AS (SELECT vec_id, exp(x - max(x) OVER (PARTITION BY vec_id)) AS e FROM t), p AS (SELECT vec_id, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM e) SELECT vec_id, round(max(p), 6) AS top, round(-sum(p * ln(p)), 6) AS entropy FROM p GROUP BY vec_id",
 )
 def vector_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shares = table(spark, sf_dir, "embeddings").select("vec_id", V.softmax(F.slice(F.col("embedding").cast("array<double>"), 1, 8)).alias("p"))
+    shares = table(spark, sf_dir, "embeddings").select("vec_id", V.softmax(F.col("embedding").cast("array<double>")).alias("p"))
     return shares.select("vec_id", F.round(F.array_max("p"), 6).alias("top"), F.round(V.entropy(F.col("p")), 6).alias("entropy"))
 
 
