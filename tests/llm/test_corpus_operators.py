@@ -225,6 +225,24 @@ def test_similar_groups_in_dense_and_crowded_buckets(spark, monkeypatch):
     assert got == {i: i % 2 if i < 160 else i for i in range(180)}
 
 
+def test_odd_sketches_lose_no_pair():
+    """Sketches differ in no more bits than the sets in shingles, at every size; at a difference of a ninth of both sizes no pair goes."""
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 9, 90, 900, 9000):
+        for other in (0, 1, size // 10, size):
+            common, one, two = (rng.integers(0, 2**64, n, np.uint64) for n in (size, other, size // 10))
+            x, y = np.concatenate([common, one]), np.concatenate([common, two])
+            bits = [np.frombuffer(S.odd_sketch(h), np.uint64) for h in (x, y)]
+            assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(one) + len(two)
+            fp = np.stack([np.concatenate([np.zeros(S.WIDE, np.uint64), b]) for b in bits])
+            rows = S.Rows(np.zeros(2), np.ones(2, bool), np.arange(2), np.array([len(x), len(y)], np.int32), fp, np.arange(2))
+            assert rows.near(0, np.array([1]))[0] or 9 * len(common) < 4 * (len(x) + len(y))
+    # at Jaccard 0.7 of 500 shingles a pair is told
+    common, one, two = (rng.integers(0, 2**64, n, np.uint64) for n in (412, 88, 88))
+    bits = [np.frombuffer(S.odd_sketch(np.concatenate([common, x])), np.uint64) for x in (one, two)]
+    assert 9 * np.bitwise_count(bits[0] ^ bits[1]).sum() > 1000
+
+
 def test_similar_groups_of_odd_rows(spark, docs, texts):
     rows = [(1, None), (2, ""), (None, " "), (3, "a b"), (3, "A  b"), (4, "a c"), (None, "x y z u v w"), (5, "x y z u v w"), (3, "x y z u v w")]
     got = similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
