@@ -330,6 +330,16 @@ def pieces(path: str, additive: bool = False) -> Pieces:
     return _LOADED[path, additive]
 
 
+def in_slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about SLICE bytes of text in column ``at``, at least a row each, so that little is held at once on either side."""
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy().astype(np.int64))])
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE, "right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def encode(frame: DataFrame, path: str, text: str = "text", ids: str = "ids", additive: bool = False, decoded: str | None = None) -> DataFrame:
     """``frame`` with a column ``ids`` of the pieces of ``text``, and with ``decoded`` one of their texts, from the same pass; rows stay where they are. Columns of these names are replaced."""
     frame = frame.drop(ids, *([decoded] if decoded else []))
@@ -341,9 +351,10 @@ def encode(frame: DataFrame, path: str, text: str = "text", ids: str = "ids", ad
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pieces(path, additive)
         for batch in batches:
-            found = known.encode(batch.column(at))
-            more = [found, known.decode(found)] if decoded else [found]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=schema.names)
+            for part in in_slices(batch, at):
+                found = known.encode(part.column(at))
+                more = [found, known.decode(found)] if decoded else [found]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=schema.names)
         give_back()
 
     return frame.mapInArrow(work, schema)
