@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.collocations import collocations
 from tessera.llm.common import table
 from tessera.llm.embedding_dedup import embedding_dedup
 from tessera.llm.hard_negatives import hard_negatives
@@ -148,3 +149,37 @@ FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 100 * s.score BETW
 WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id)
 QUALIFY row_number() OVER w <= 3
 """
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), least=100, longest=5, share=100, first=2000)
+
+
+QUERIES["op12_collocations"] = op12_collocations
+ORACLES["op12_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), worded AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM pieces
+), total AS (
+  SELECT lang, sum(len(words)) AS n FROM worded GROUP BY lang
+), grams AS (
+  SELECT lang, m, list_slice(words, i, i + m - 1) AS p, count(*) AS f
+  FROM (SELECT lang, words, m, unnest(range(1, len(words) - m + 2)) AS i FROM worded, (SELECT unnest(range(1, 6)) AS m) WHERE len(words) >= m)
+  GROUP BY ALL HAVING count(*) >= 100
+), cuts AS (
+  SELECT g.lang, g.p, g.m, g.f AS a, k, le.f AS l, ri.f AS r, n, CAST(1000::HUGEINT * g.f * n // (le.f::HUGEINT * ri.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM grams WHERE m > 1) g
+  JOIN grams le ON le.lang = g.lang AND le.p = list_slice(g.p, 1, k) JOIN grams ri ON ri.lang = g.lang AND ri.p = list_slice(g.p, k + 1, g.m)
+  JOIN total ON total.lang = g.lang
+), weakest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+), around AS (
+  SELECT lang, list_slice(p, i, i + s - 1) AS p, max(f) AS most
+  FROM (SELECT *, unnest(range(1, m - s + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS s FROM grams WHERE m > 2)) GROUP BY ALL
+)
+SELECT w.lang, row_number() OVER o AS rank, array_to_string(w.p, ' ') AS phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM weakest w LEFT JOIN around u ON u.lang = w.lang AND u.p = w.p WHERE coalesce(100 * u.most < 100 * a, true)
+WINDOW o AS (PARTITION BY w.lang ORDER BY score DESC, a DESC, encode(array_to_string(w.p, ' ')))
+QUALIFY row_number() OVER o <= 2000
+"""
