@@ -14,6 +14,7 @@ from tessera.llm.hard_negatives import hard_negatives
 from tessera.llm.language_id import held_out, identify, learn
 from tessera.llm.mixing import Plan, mix_sources
 from tessera.llm.mixing import oracle as mixing_oracle
+from tessera.llm.packing import best_fit, token_pieces
 from tessera.llm.quality_rules import oracle as quality_oracle
 from tessera.llm.quality_rules import features, judge
 from tessera.llm.sentencepieces import MARK, encode
@@ -183,3 +184,12 @@ FROM weakest w LEFT JOIN around u ON u.lang = w.lang AND u.p = w.p WHERE coalesc
 WINDOW o AS (PARTITION BY w.lang ORDER BY score DESC, a DESC, encode(array_to_string(w.p, ' ')))
 QUALIFY row_number() OVER o <= 2000
 """
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_pieces(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), capacity=2048, end=0)
+    digested = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return best_fit(digested, capacity=2048)
+
+
+QUERIES["op13_packing"] = op13_packing
