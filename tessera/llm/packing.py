@@ -36,7 +36,9 @@ CAPACITY = 2048
 #: Groups of large lengths; small is at most one part of so many of the capacity; steps of the linear program, of which each leaves a right solution.
 GROUPS, SMALL, STEPS = 256, 4, 4000
 #: Words, and their ids, that a worker keeps.
-KEEP, KEEP_IDS = 400_000, 4_000_000
+KEEP, KEEP_IDS = 800_000, 8_000_000
+#: Bytes of text coded at a time.
+SLICE = 4_000_000
 #: Bytes that can't begin white space: one of these after a space starts a word for the tokenizer, whatever stands before.
 STARTS = np.zeros(256, bool)
 STARTS[[*range(0x21, 0x7F), *range(0xC3, 0xE1), *range(0xE4, 0xF5)]] = True
@@ -44,6 +46,9 @@ STARTS[[*range(0x21, 0x7F), *range(0xC3, 0xE1), *range(0xE4, 0xF5)]] = True
 ALNUM, MARKS = np.zeros(256, bool), np.zeros(256, bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 MARKS[[*b".,;:!?"]] = True
+#: White space after one of these begins a word, and a line end between one of these and a start is a word of its own.
+SIGNS, BLANKS = ALNUM | MARKS, np.zeros(256, bool)
+BLANKS[[*b" \t\n\r"]] = True
 
 Bin = tuple[tuple[int, int], ...]
 
@@ -59,7 +64,7 @@ class Words:
         with open(path) as file:
             told = json.load(file)
         before = told["pre_tokenizer"] or {}
-        # a byte-level tokenizer's pattern begins a word at the last space before a sign, and at a mark after a letter, so texts may be cut there; others code whole texts
+        # a byte-level tokenizer's pattern begins a word at the last space before a sign, and at a mark or white space after a letter, so texts may be cut there; others code whole texts
         self.cut = told["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.cut = self.cut and not any(" " in x["content"] or x["lstrip"] or x["rstrip"] for x in told["added_tokens"])
         self.clear()
@@ -85,12 +90,16 @@ class Words:
         if self.cut and len(text):
             first[:-2] = (text[:-1] == 32) & STARTS[text[1:]]
             first[ends[ends > 0] - 1] = False  # what follows is another text's
-            first[1:-1] |= ALNUM[text[:-1]] & MARKS[text[1:]]
+            first[1:-1] |= ALNUM[text[:-1]] & MARKS[text[1:]] | SIGNS[text[:-1]] & BLANKS[text[1:]]
+            line = np.flatnonzero(text == 10)
+            line = line[(line > 0) & (line < len(text) - 1)]
+            first[line[SIGNS[text[line - 1]] & STARTS[text[line + 1]]] + 1] = True
         first[ends] = True
         starts = np.flatnonzero(first)
         starts, stops = starts[:-1], starts[1:]
         words = word_numbers(text, starts, stops)
-        _, one = np.unique(words, return_index=True)
+        one = np.zeros(int(words.max(initial=-1)) + 1, np.int64)
+        one[words] = np.arange(len(words))  # a place of each word
         data = text.tobytes()
         if len(self.known) + len(one) > KEEP or len(self.flat) > KEEP_IDS:
             self.clear()
@@ -118,7 +127,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(path)
         for batch in batches:
-            for part in in_slices(batch, 1):
+            for part in in_slices(batch, 1, SLICE):
                 ids, at = words.encode(*raw(part.column(1)))
                 size = np.diff(at) + 1
                 whole = np.full(len(ids) + len(size), end, "<u4")

@@ -258,7 +258,7 @@ class Pieces:
         text, ends = raw(pc.replace_substring(column, MARK, " "))
         parts, a = [], 0
         while a < len(column):
-            b = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE, "right")) - 1)
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + size, "right")) - 1)
             parts.append(self._encode(text[ends[a] : ends[b]], ends[a : b + 1] - ends[a]))
             a = b
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
@@ -330,12 +330,12 @@ def pieces(path: str, additive: bool = False) -> Pieces:
     return _LOADED[path, additive]
 
 
-def in_slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about SLICE bytes of text in column ``at``, at least a row each, so that little is held at once on either side."""
+def in_slices(batch: pa.RecordBatch, at: int, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``size`` bytes of text in column ``at``, at least a row each, so that little is held at once on either side."""
     ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy().astype(np.int64))])
     a = 0
     while a < batch.num_rows:
-        b = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + size, "right")) - 1)
         yield batch.slice(a, b - a)
         a = b
 
