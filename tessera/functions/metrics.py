@@ -1,7 +1,7 @@
 """Metrics of scored and labelled rows, as plans that sum up before they order.
 
 Each takes rows (by columns, label boolean, score double) and gives a row a group. Ranks are found on the different scores of a
-group, so what is ordered is that much smaller, and groups are partitions of the window.
+group, by ranges of them, so that neither many rows nor many different scores of a group meet in a task.
 """
 
 from __future__ import annotations
@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.values import ratio
+from tessera.operators.ranking import placed
 
 
 def auroc(rows: DataFrame, by: list[str], label: str = "label", score: str = "score") -> DataFrame:
     """``by``, n, positives, auroc: the chance that a positive has the greater score, ties counting half; null if one class is missing. Null labels and scores don't count."""
     known = rows.where(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score))
     steps = known.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    steps = steps.withColumn("lower", F.coalesce(F.sum(F.col("n") - F.col("pos")).over(below), F.lit(0)))
+    steps = placed(steps, by, [F.asc(score)], before={"lower": F.col("n") - F.col("pos")})
     # twice the wins: whole numbers, so the order of adding doesn't matter
     wins = F.col("pos") * (2 * F.col("lower") + F.col("n") - F.col("pos"))
     sums = steps.groupBy(*by).agg(F.sum(wins).alias("wins"), F.sum("pos").alias("positives"), F.sum("n").alias("n"))
@@ -28,9 +28,8 @@ def auroc(rows: DataFrame, by: list[str], label: str = "label", score: str = "sc
 def average_precision(rows: DataFrame, by: list[str], order: str, label: str = "label", score: str = "score") -> DataFrame:
     """``by``, average_precision: mean precision at the positives in order of falling score, ties in order of ``order``; null without positives."""
     known = rows.where(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score))
-    upto = Window.partitionBy(*by).orderBy(F.desc(score), order).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = known.withColumn("_hits", F.sum(F.col(label).cast("long")).over(upto)).withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), order)))
-    return ranked.groupBy(*by).agg(F.avg(F.when(F.col(label), F.col("_hits").cast("double") / F.col("_rank"))).alias("average_precision"))
+    ranked = placed(known, by, [F.desc(score), F.asc(order)], place="_rank", before={"_hits": F.col(label).cast("long")})
+    return ranked.groupBy(*by).agg(F.avg(F.when(F.col(label), (F.col("_hits") + 1).cast("double") / F.col("_rank"))).alias("average_precision"))
 
 
 def confusion(rows: DataFrame, by: list[str], label: Column, predicted: Column) -> DataFrame:
@@ -54,8 +53,7 @@ def nearest_rank(values: Column, share: float) -> Column:
 def profile(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """``by``, n, least, greatest, mean and one column a share, by nearest rank. Places are found on the different values with their counts."""
     steps = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    steps = steps.withColumn("upto", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
+    steps = placed(steps, by, [F.asc("v")], before={"lower": F.col("c")}, sums={"n": F.col("c")}).withColumn("upto", F.col("lower") + F.col("c"))
     at = lambda share: F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(share)))
     cuts = [F.min(F.when(F.col("upto") > at(share), F.col("v"))).alias(name) for name, share in shares.items()]
     return steps.groupBy(*by).agg(F.sum("c").alias("n"), F.min("v").alias("least"), F.max("v").alias("greatest"), (F.sum(F.col("v") * F.col("c")).cast("double") / F.sum("c")).alias("mean"), *cuts)

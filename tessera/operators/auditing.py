@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.rows import first_k
+
 
 def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """key, rule: a row for each rule a row breaks; null counts as kept."""
@@ -15,9 +17,9 @@ def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame
 def gate(found: DataFrame, most: int = 40) -> DataFrame:
     """rule, n_violations and the first keys: what a report of a failed gate shows."""
     key = found.columns[0]
-    order = Window.partitionBy("rule").orderBy(key)
-    shown = found.withColumn("_i", F.row_number().over(order)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("rule"))).where(F.col("_i") <= most)
-    return shown.groupBy("rule").agg(F.max("_n").alias("n_violations"), F.array_sort(F.collect_list(key)).alias("first_keys"))
+    counts = found.groupBy("rule").agg(F.count(F.lit(1)).alias("n_violations"))
+    shown = first_k(found, "rule", [key], most).groupBy("rule").agg(F.array_sort(F.collect_list(key)).alias("first_keys"))
+    return counts.join(shown, "rule")
 
 
 def must_pass(found: DataFrame) -> None:

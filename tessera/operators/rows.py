@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import placed
+from tessera.sources.scratch import written
+
 
 def last_by(frame: DataFrame, key: str, order: str) -> DataFrame:
     """One row a key, the last in order; summed up before the shuffle."""
@@ -56,11 +59,11 @@ def with_mismatched_donor(frame: DataFrame, key: str, group: str, seed: str) ->
     """``frame`` with donor, the key of a row of another group, chosen by hash; null if there is one group only.
 
     Rows are numbered group after group, so the rows of other groups are two ranges of numbers; the hash picks a number
-    there and one equi-join finds its row. Numbering needs counts a group and ranks within one, not all rows in one place.
+    there and one equi-join finds its row. Each group's first number and size come from sums over the group, by task first.
     """
-    sizes = frame.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
-    spans = sizes.withColumn("_from", F.coalesce(F.sum("_size").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_size").over(Window.partitionBy()))
-    numbered = frame.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1).join(spans, group).withColumn("_number", F.col("_from") + F.col("_rank"))
+    numbered = placed(frame, [], [F.asc(group), F.asc(key)], place="_number", size="_all").withColumn("_number", F.col("_number") - 1)
+    spans = numbered.groupBy(F.col(group).alias("_g")).agg(F.min("_number").alias("_from"), F.count(F.lit(1)).alias("_size"))
+    numbered = numbered.join(written(spans), F.col(group).eqNullSafe(F.col("_g")))
     others = F.col("_all") - F.col("_size")
     h = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
     step = F.when(others > 0, F.pmod(h, others))
@@ -83,8 +86,5 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def shard(frame: DataFrame, order: str, shards: int, index: int) -> DataFrame:
-    """Rows whose place in order, modulo ``shards``, is ``index``. Places come from counts of ranges and ranks within one."""
-    ranges = frame.withColumn("_r", F.floor(F.col(order) / 4096))
-    sizes = ranges.groupBy("_r").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = ranges.join(sizes, "_r").withColumn("_place", F.col("_before") + F.row_number().over(Window.partitionBy("_r").orderBy(order)) - 1)
-    return placed.where(F.pmod("_place", F.lit(shards)) == index).select(frame.columns)
+    """Rows whose place in order, modulo ``shards``, is ``index``. """
+    return placed(frame, [], [F.asc(order)], place="_place").where(F.pmod(F.col("_place") - 1, F.lit(shards)) == index).select(frame.columns)

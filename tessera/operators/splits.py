@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import placed
+
 
 def seeded(seed: str, *keys: str) -> Column:
     """A place for each key: md5 of seed and key, which other engines give too."""
@@ -26,10 +28,10 @@ def stratified(frame: DataFrame, group: str, case: str, seed: str, train: float
 
 
 def cut(cases: DataFrame, group: str, case: str, seed: str, train: float, val: float) -> DataFrame:
-    placed = cases.withColumn("_i", F.row_number().over(Window.partitionBy(group).orderBy(seeded(seed, case), case))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(group)))
+    ranked = placed(cases, [group], [seeded(seed, case), F.asc(case)], place="_i", size="_n")
     t, v = cut_sizes(F.col("_n"), train, val)
     split = F.when(F.col("_i") <= t, "train").when(F.col("_i") <= t + v, "val").otherwise("test")
-    return placed.select(case, group, split.alias("split"))
+    return ranked.select(case, group, split.alias("split"))
 
 
 def held_out_groups(frame: DataFrame, group: str, case: str, seed: str, n_held: int, train: float = 0.8, val: float = 0.1) -> DataFrame:
@@ -63,7 +65,8 @@ def unseen(train: DataFrame, test: DataFrame, value: str) -> DataFrame:
 
 def folds(frame: DataFrame, group: str, key: str, k: int, seed: str) -> DataFrame:
     """``frame`` with fold: dealt in turn within each group, in order of hash."""
-    return frame.withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy(group).orderBy(seeded(seed, key), key)) - 1, F.lit(k)).cast("int"))
+    ranked = placed(frame, [group], [seeded(seed, key), F.asc(key)], place="_i")
+    return ranked.withColumn("fold", F.pmod(F.col("_i") - 1, F.lit(k)).cast("int")).drop("_i")
 
 
 def leaks(split: DataFrame, case: str) -> DataFrame:

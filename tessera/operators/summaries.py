@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import answer_key, candidate_key
 from tessera.functions.values import ratio
+from tessera.operators.ranking import placed
 from tessera.operators.splits import seeded
 
 # filters ----------------------------------------------------------------------------------------------------------------
@@ -96,16 +97,16 @@ def ordered_samples(samples: DataFrame, key: str, order: str, answer: str) -> Da
 def group_folds(frame: DataFrame, group: str, k: int, seed: str) -> DataFrame:
     """``frame`` with fold: whole groups are dealt in turn, in order of hash."""
     groups = frame.select(group).distinct()
-    dealt = groups.withColumn("fold", F.pmod(F.row_number().over(Window.orderBy(seeded(seed, group), group)) - 1, F.lit(k)).cast("int"))  # a row a group
+    dealt = placed(groups, [], [seeded(seed, group), F.asc(group)], place="_i").select(group, F.pmod(F.col("_i") - 1, F.lit(k)).cast("int").alias("fold"))
     return frame.join(dealt, group)
 
 
 def held_out_bases(frame: DataFrame, base: str, seed: str, share: float) -> DataFrame:
     """``frame`` with split: the first ``share`` of its bases by hash (one at least) are val, with all their rows."""
     bases = frame.select(base).distinct()
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    cut = bases.withColumn("split", F.when(F.row_number().over(Window.orderBy(seeded(seed, base), base)) <= F.greatest(F.lit(1), F.floor(n * share)), "val").otherwise("train"))  # a row a base
-    return frame.join(cut, base)
+    ranked = placed(bases, [], [seeded(seed, base), F.asc(base)], place="_i", size="_n")
+    cut = F.when(F.col("_i") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share)), "val").otherwise("train")
+    return frame.join(ranked.select(base, cut.alias("split")), base)
 
 
 # counts and rates -------------------------------------------------------------------------------------------------------
