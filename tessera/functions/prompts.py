@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import cut_chain, escape
+from tessera.functions.text import cut_chain, stripped
 
 #: Role, what ends an answer, what is asked.
 ROLE = "You are an expert physician."
@@ -19,7 +19,7 @@ INSTRUCTIONS = {"direct": DIRECT, "cot": REASONED}
 def descriptor(age: Column, sex: Column) -> Column:
     """"A 34-year-old woman" from an age and a sex (first letter M or F), each of which may be missing or odd."""
     years = F.when(age.cast("string").try_cast("double").isNotNull(), age.cast("string").try_cast("double").cast("int"))
-    code = F.coalesce(F.substring(F.upper(F.btrim(sex)), 1, 1), F.lit(""))
+    code = F.coalesce(F.substring(F.upper(stripped(sex)), 1, 1), F.lit(""))
     young = F.coalesce(years < 18, F.lit(False))
     noun = (
         F.when(code == "M", F.when(young, "boy").otherwise("man")).when(code == "F", F.when(young, "girl").otherwise("woman"))
@@ -36,7 +36,7 @@ def findings(cues: Column, age: Column, sex: Column) -> Column:
 
 def as_written(text: Column) -> Column:
     """A presentation as prose."""
-    return F.concat(F.lit(f"{ROLE} A patient presents as follows:\n\n"), F.btrim(text))
+    return F.concat(F.lit(f"{ROLE} A patient presents as follows:\n\n"), stripped(text))
 
 
 def _known(condition: Column, choices: dict[str, Column]) -> Column:
@@ -66,16 +66,3 @@ def asked(prompt: Column, mode: Column) -> Column:
 def surface(prefix: Column, name: Column) -> Column:
     """A candidate as it follows ``prefix``: a space before it unless that is empty or ends in one."""
     return F.when((F.coalesce(prefix, F.lit("")) == "") | prefix.rlike(r"\s$"), name).otherwise(F.concat(F.lit(" "), name))
-
-
-def prose_target(cues: Column, label: Column) -> Column:
-    return F.concat(F.lit("The findings are "), F.array_join(cues, "; "), F.lit(". The most likely diagnosis is "), label, F.lit("."))
-
-
-def tagged_target(cues: Column, label: Column) -> Column:
-    """Cues and answer between tags, signs of mark-up escaped."""
-    return F.concat(F.lit("<observed>"), escape(F.array_join(cues, "; ")), F.lit("</observed><answer>"), escape(label), F.lit("</answer>"))
-
-
-def cue_first_target(cues: Column, label: Column) -> Column:
-    return F.concat(F.array_join(F.transform(cues, lambda c: F.concat(F.lit("- "), c)), "\n"), F.lit("\nAnswer: "), label)

@@ -25,6 +25,11 @@ def collapse(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
 
 
+def stripped(x: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+
+
 def label_key(x: Column) -> Column:
     """Collapsed, without quotes around it, lower case."""
     return F.lower(collapse(F.btrim(F.btrim(x), F.lit("\"'"))))
@@ -66,8 +71,8 @@ def _compatible(x: pd.Series) -> pd.Series:
 
 
 def plain_signs(x: Column) -> Column:
-    """Compatible forms, straight quotes, hyphens, single spaces. Python only sees texts that aren't ASCII."""
-    wide = F.when(x.rlike(r"[^\x00-\x7F]"), _compatible(x)).otherwise(x)
+    """Compatible forms, straight quotes, hyphens, single spaces. Python is given null for texts in ASCII."""
+    wide = F.coalesce(_compatible(F.when(x.rlike(r"[^\x00-\x7F]"), x)), x)
     return collapse(F.translate(wide, "’‘“”–—", "''\"\"--"))
 
 
@@ -79,8 +84,8 @@ def _unescaped(x: pd.Series) -> pd.Series:
 
 
 def unescape(x: Column) -> Column:
-    """HTML entities as signs, then collapsed. Python only sees texts with an ampersand."""
-    return collapse(F.when(F.contains(x, F.lit("&")), _unescaped(x)).otherwise(x))
+    """HTML entities as signs, then collapsed. Python is given null for texts without an ampersand."""
+    return collapse(F.coalesce(_unescaped(F.when(F.contains(x, F.lit("&")), x)), x))
 
 
 def escape(x: Column) -> Column:
@@ -136,10 +141,13 @@ def place_in(list_: Column, gold: Column) -> Column:
     return F.when(at > 0, at)
 
 
+#: How an answer is stated, up to a period or the text's end. In all but the answer, white space is of any kind.
+STATED = r"(?dU)[Tt]he\s+answer\s+is\s+(.+?)\s*(?:\.|$)"
+
+
 def stated_answer(x: Column) -> Column:
-    """What follows "the answer is" up to a period; null if that isn't said."""
-    found = collapse(F.regexp_extract(x, r"(?is)the answer is:?\s*([^.\n]*)", 1))
-    return F.when(found != "", found)
+    """What is stated as the answer, collapsed; null if none is."""
+    return F.when(x.rlike(STATED), collapse(F.regexp_extract(x, STATED, 1)))
 
 
 def chosen_option(answer: Column, options: Column) -> Column:
@@ -334,11 +342,14 @@ def shortened(x: Column, most: int) -> Column:
 
 
 def cut_chain(x: Column, share: Column) -> Column:
-    """The first ``share`` of a text, back to its last end mark if there is one."""
-    head = F.substring(x, F.lit(1), F.floor(F.length(x) * share).cast("int"))
-    whole = F.regexp_extract(head, r"(?s)^(.*[.!?])", 1)
-    ok = F.when(whole != "", whole).otherwise(head)
-    return F.when(share.between(0, 1), ok).otherwise(F.raise_error(F.lit("share must lie between 0 and 1")))
+    """The first ``share`` of a text, back to the last sentence end before which something stands: a period before a space or a line end, or another end mark before a space. Nothing is cut of a whole text; null is empty."""
+    text = F.coalesce(x, F.lit(""))
+    most = F.floor(F.length(text) * share).cast("int")
+    head = F.substring(text, F.lit(1), most)
+    ended = F.regexp_extract(head, r"(?s)^(.+(?:\.(?=[ \n])|[!?](?= )))", 1)
+    cut = F.regexp_replace(F.when(ended != "", ended).otherwise(head), r"(?U)\s+$", "")
+    part = F.when(most >= F.length(text), text).otherwise(cut)
+    return F.when(share.between(0, 1), part).otherwise(F.raise_error(F.lit("share must lie between 0 and 1")).cast("string"))
 
 
 def cjk_share(x: Column) -> Column:

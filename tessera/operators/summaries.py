@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.metrics import answer_spread, auroc, average_precision
 from tessera.functions.text import answer_key, candidate_key
 from tessera.functions.values import ratio
 from tessera.operators.ranking import placed
@@ -94,6 +95,25 @@ def ordered_samples(samples: DataFrame, key: str, order: str, answer: str) -> Da
     return samples.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, answer))), lambda s: s[answer]).alias("answers"))
 
 
+def sample_summary(samples: DataFrame, key: str, answer: str, order: str, parsed: Column, hit: Column, recall: Column) -> DataFrame:
+    """How much a case's samples differ (as answer_spread), the share of different answers, and the rates of parsed and of right samples and the mean recall, null where none is known."""
+    rate = lambda ok: F.avg(F.coalesce(ok, F.lit(False)).cast("double"))
+    rates = samples.groupBy(key).agg(rate(parsed).alias("parsed_rate"), rate(hit).alias("hit_rate"), F.avg(recall).alias("mean_recall"))
+    spread = answer_spread(samples, key, answer, order).withColumn("unique_share", F.col("unique_answers").cast("double") / F.col("n_samples"))
+    return spread.join(rates, key)
+
+
+#: Signals of unstable answers, and whether a greater value speaks for an error.
+STABILITY = {"entropy": ("entropy", 1), "low_top_share": ("top_share", -1), "unique_share": ("unique_share", 1), "low_parsed_rate": ("parsed_rate", -1), "low_mean_recall": ("mean_recall", -1)}
+
+
+def stability(cases: DataFrame, key: str, label: str) -> DataFrame:
+    """signal, n, auroc and average_precision of each signal of ``sample_summary`` rows against ``label``; a signal's missing values don't count, ties are in order of ``key``. Values count to nine places."""
+    each = F.array(*[F.struct(F.lit(name).alias("signal"), (sign * F.round(column, 9)).alias("score")) for name, (column, sign) in STABILITY.items()])
+    rows = cases.select(key, F.col(label).alias("label"), F.explode(each).alias("s")).select(key, "label", "s.*")
+    return auroc(rows, ["signal"]).select("signal", "n", "auroc").join(average_precision(rows, ["signal"], key), "signal")
+
+
 def group_folds(frame: DataFrame, group: str, k: int, seed: str) -> DataFrame:
     """``frame`` with fold: whole groups are dealt in turn, in order of hash."""
     groups = frame.select(group).distinct()

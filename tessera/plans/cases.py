@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import cues as C
 from tessera.functions import prompts as P
 from tessera.functions import text as X
+from tessera.operators import targets as T
 from tessera.operators import variants as V
 from tessera.operators.generate import context_first, inserted_sentence
 from tessera.plans.catalogue import query, table
@@ -132,14 +133,54 @@ def answer_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", P.asked(text, mode).alias("asked"), P.as_written(text).alias("prose"), F.concat(text, P.surface(text, F.col("role"))).alias("followed"))
 
 
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as cases: their sentences are the cues, the role names the label."""
+    turns = table(spark, sf_dir, "conversations")
+    return turns.select("conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("role").alias("diagnosis_name"), F.split("text", "[.!?]").alias("cue_targets"), F.element_at(F.split("text", "[ \n]"), 1).alias("target_text"))
+
+
+_CUES = """WITH t AS (SELECT conv_id, turn, conv_id || '-' || turn AS id, role, trim(regexp_replace(string_split_regex(text, '[ \\n]')[1], '\\s+', ' ', 'g')) AS target,
+  list_filter(list_transform(string_split_regex(text, '[.!?]'), lambda c: trim(regexp_replace(c, '\\s+', ' ', 'g'))), lambda c: c <> '') AS cues FROM conversations)"""
+_SAFE = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
 @query(
     "training_targets",
-    """WITH c AS (SELECT p_partkey, replace(replace(replace(p_name || '; ' || p_brand, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS safe, p_name, p_brand, p_type FROM part)
-SELECT p_partkey, 'The findings are ' || p_name || '; ' || p_brand || '. The most likely diagnosis is ' || p_type || '.' AS prose, '<observed>' || safe || '</observed><answer>' || p_type || '</answer>' AS tagged, '- ' || p_name || chr(10) || '- ' || p_brand || chr(10) || 'Answer: ' || p_type AS cue_first FROM c""",
+    _CUES
+    + """, s AS (SELECT *, CASE WHEN target <> '' AND NOT list_contains(cues, target) THEN [target] || cues ELSE cues END AS said FROM t),
+p AS (SELECT *, CASE WHEN len(said) = 0 THEN 'the clinical cues in the prompt' WHEN len(said) = 1 THEN said[1] ELSE array_to_string(said[1:least(len(said), 6) - 1], ', ') || ', and ' || said[least(len(said), 6)] END AS summary FROM s)
+SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '<explanation>The activation represents an integrated clinical diagnosis state for ' || role || '. It combines the patient cues, including ' || summary || ', toward that diagnosis.</explanation>'
+  ELSE '<explanation>The activation reflects clinical cues such as ' || summary || '. Together, these cues support the most likely diagnosis: ' || role || '.</explanation>' END AS target FROM p""",
 )
 def training_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cues, label = F.array("p_name", "p_brand"), F.col("p_type")
-    return table(spark, sf_dir, "part").select("p_partkey", P.prose_target(cues, label).alias("prose"), P.tagged_target(cues, label).alias("tagged"), P.cue_first_target(cues, label).alias("cue_first"))
+    style = F.when(F.pmod("turn", F.lit(2)) == 0, "diagnosis_first").otherwise("cue_then_diagnosis")
+    return _sentences(spark, sf_dir).select("conv_id", "turn", T.prose_target(style, F.col("diagnosis_name"), F.col("cue_targets"), F.col("target_text"), 6).alias("target"))
+
+
+@query(
+    "structured_targets",
+    _CUES
+    + f""", d AS (SELECT *, list_filter(cues, lambda c, i: list_position(cues, c) = i) AS few FROM t), s AS (SELECT *, (CASE WHEN target <> '' AND NOT list_contains(few, target) THEN [target] || few ELSE few END)[1:8] AS said FROM d)
+SELECT id, id AS base_id, 'train' AS split, role AS diagnosis_name, '<explanation>' || chr(10) || '<readout>' || chr(10) || '  <task_type>diagnosis</task_type>' || chr(10) || '  <answer>' || role || '</answer>' || chr(10) || '  <supporting_cues>' ||
+  CASE WHEN len(said) = 0 THEN 'the clinical cues in the prompt' ELSE array_to_string(list_transform(said, lambda c: {_SAFE.format('c')}), '; ') END || '</supporting_cues>' || chr(10) || '</readout>' || chr(10) || '</explanation>' AS target_text FROM s""",
+)
+def structured_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.training_rows(_sentences(spark, sf_dir), F.lit("train"), 8).select("id", "base_id", "split", "diagnosis_name", "target_text")
+
+
+@query(
+    "cue_first_targets",
+    _CUES
+    + f""", d AS (SELECT *, list_filter(cues, lambda c, i: list_position(list_transform(cues, lambda x: lower(x)), lower(c)) = i) AS few FROM t WHERE len(cues) > 0),
+o AS (SELECT *, list_transform(list_sort(list_transform(few, lambda c: {{'at': md5('17:' || id || ':' || c), 'c': c}})), lambda x: '- ' || {_SAFE.format('x.c')})[1:12] AS shown FROM d)
+SELECT id, '<explanation>' || chr(10) || '<readout>' || chr(10) || '<observed>' || chr(10) || array_to_string(shown, chr(10)) || chr(10) || '</observed>' || CASE WHEN turn % 2 = 0 THEN '' ELSE chr(10) || '<assessment>Findings most consistent with ' || role || '.</assessment>' END
+  || chr(10) || '</readout>' || chr(10) || '</explanation>' AS target FROM o""",
+)
+def cue_first_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = _sentences(spark, sf_dir).withColumn("few", T.different(F.col("cue_targets"))).where("size(few) > 0")
+    ordered = T.by_hash(F.col("few"), 17, F.col("id"))
+    plain, assessed = (T.cue_first_target(ordered, 12, F.col("id"), x) for x in (None, F.col("diagnosis_name")))
+    return cases.select("id", F.when(F.pmod("turn", F.lit(2)) == 0, plain).otherwise(assessed).alias("target"))
 
 
 @query(

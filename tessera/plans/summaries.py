@@ -112,17 +112,32 @@ def most_unstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "stability_signals",
-    _SPREAD + """, r AS (SELECT s.*, e.bad FROM s JOIN (SELECT user_id, max(value) > 180 AS bad FROM events GROUP BY user_id) e USING (user_id)),
-x AS (SELECT 'entropy' AS signal, round(entropy, 9) AS score, bad FROM r UNION ALL SELECT 'unique', u, bad FROM r UNION ALL SELECT 'top_share', -round(top, 9), bad FROM r UNION ALL SELECT 'n', n, bad FROM r UNION ALL SELECT 'disagree', (u > 4)::INT, bad FROM r)
-SELECT a.signal, avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END::DOUBLE) AS auroc FROM x a JOIN x b ON a.signal = b.signal AND a.bad AND NOT b.bad GROUP BY a.signal""",
+    _SPREAD + """, r AS (SELECT s.*, bad, parsed, recall FROM s JOIN (SELECT user_id, max(value) > 180 AS bad, avg((value >= 20)::INT::DOUBLE) AS parsed, avg(value / 500) FILTER (event_type IN ('click', 'view')) AS recall FROM events GROUP BY user_id) e USING (user_id)),
+x AS (SELECT user_id, 'entropy' AS signal, round(entropy, 9) AS score, bad FROM r UNION ALL SELECT user_id, 'low_top_share', -round(top, 9), bad FROM r UNION ALL SELECT user_id, 'unique_share', round(u / n::DOUBLE, 9), bad FROM r
+  UNION ALL SELECT user_id, 'low_parsed_rate', -round(parsed, 9), bad FROM r UNION ALL SELECT user_id, 'low_mean_recall', -round(recall, 9), bad FROM r WHERE recall IS NOT NULL),
+k AS (SELECT *, row_number() OVER w AS i, sum(bad::INT) OVER w AS hits FROM x WINDOW w AS (PARTITION BY signal ORDER BY score DESC, user_id ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT signal, count(*) AS n, round(avg(hits / i::DOUBLE) FILTER (bad), 9) AS average_precision FROM k GROUP BY signal),
+w AS (SELECT a.signal, round(avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END::DOUBLE), 9) AS auroc FROM x a JOIN x b ON a.signal = b.signal AND a.bad AND NOT b.bad GROUP BY a.signal)
+SELECT signal, n, auroc, average_precision FROM p LEFT JOIN w USING (signal)""",
 )
 def stability_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five signals of how much samples differ, against whether a case is bad."""
     events = _events(spark, sf_dir)
-    spread = answer_spread(events, "user_id", "event_type", "event_id").join(events.groupBy("user_id").agg((F.max("value") > 180).alias("label")), "user_id")
-    signals = {"entropy": F.round("entropy", 9), "unique": F.col("unique_answers").cast("double"), "top_share": -F.round("top_share", 9), "n": F.col("n_samples").cast("double"), "disagree": (F.col("unique_answers") > 4).cast("double")}
-    rows = spread.select("label", F.explode(F.array(*[F.struct(F.lit(n).alias("signal"), x.alias("score")) for n, x in signals.items()])).alias("s")).select("label", "s.*")
-    return auroc(rows, ["signal"]).select("signal", "auroc").where("auroc IS NOT NULL")
+    recall = F.when(F.col("event_type").isin("click", "view"), F.col("value") / 500)
+    spread = S.sample_summary(events, "user_id", "event_type", "event_id", F.col("value") >= 20, F.col("value") > 100, recall)
+    cases = spread.join(events.groupBy("user_id").agg((F.max("value") > 180).alias("label")), "user_id")
+    found = S.stability(cases, "user_id", "label")
+    return found.select("signal", "n", F.round("auroc", 9).alias("auroc"), F.round("average_precision", 9).alias("average_precision"))
+
+
+@query(
+    "sample_summary",
+    """SELECT user_id, count(*) AS n_samples, round(count(DISTINCT event_type) / count(*)::DOUBLE, 9) AS unique_share, round(avg((value >= 20)::INT::DOUBLE), 9) AS parsed_rate, round(avg((value > 100)::INT::DOUBLE), 9) AS hit_rate, round(avg(value / 500) FILTER (event_type IN ('click', 'view')), 9) AS mean_recall FROM events GROUP BY user_id""",
+)
+def sample_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recall = F.when(F.col("event_type").isin("click", "view"), F.col("value") / 500)
+    found = S.sample_summary(_events(spark, sf_dir), "user_id", "event_type", "event_id", F.col("value") >= 20, F.col("value") > 100, recall)
+    return found.select("user_id", "n_samples", *[F.round(c, 9).alias(c) for c in ("unique_share", "parsed_rate", "hit_rate", "mean_recall")])
 
 
 @query("reason_histogram", "SELECT CASE WHEN value < 20 THEN 'small' ELSE 'KEPT(' || CASE WHEN user_id % 2 = 0 THEN 'positive' ELSE 'negative' END || ')' END AS reason, count(*) AS n FROM events GROUP BY 1")

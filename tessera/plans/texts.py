@@ -95,9 +95,27 @@ def shortened_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", X.shortened(F.col("text"), 120).alias("short"))
 
 
-@query("cut_chains", r"SELECT item_id, CASE WHEN regexp_matches(h, '[.!?]') THEN regexp_extract(h, '(?s)^(.*[.!?])', 1) ELSE h END AS head FROM (SELECT item_id, left(text, floor(length(text) * 0.6::DOUBLE)::INT) AS h FROM benchmark)")
+@query(
+    "cut_chains",
+    """WITH t AS (SELECT doc_id, coalesce(text, '') AS text, (doc_id % 5) / 4::DOUBLE AS share FROM documents), h AS (SELECT *, left(text, floor(length(text) * share)::INT) AS head FROM t),
+m AS (SELECT *, list_max(list_transform(['. ', '.' || chr(10), '! ', '? '], lambda m: CASE WHEN contains(head, m) THEN length(head) - length(m) - strpos(reverse(head), reverse(m)) + 1 ELSE -1 END)) AS mark FROM h)
+SELECT doc_id, md5(CASE WHEN length(head) >= length(text) THEN text WHEN mark > 0 THEN rtrim(left(head, mark + 1), ' ' || chr(9) || chr(10) || chr(13)) ELSE rtrim(head, ' ' || chr(9) || chr(10) || chr(13)) END) AS head FROM m""",
+)
 def cut_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", X.cut_chain(F.col("text"), F.lit(0.6)).alias("head"))
+    share = F.pmod("doc_id", F.lit(5)) / 4.0
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.cut_chain(F.col("text"), share).cast("binary")).alias("head"))
+
+
+@query(
+    "stated_answers",
+    """SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN role WHEN 1 THEN NULL WHEN 2 THEN ': ' || role WHEN 3 THEN NULL ELSE role || ' of ' || turn END AS stated FROM conversations""",
+)
+def stated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that end by stating an answer: up to a period, in capitals, with a colon, with another line behind, and up to the end."""
+    role, turn = F.col("role"), F.col("turn").cast("string")
+    ends = [F.concat(F.lit(" The answer is "), role, F.lit(". Yes.")), F.concat(F.lit(" THE ANSWER IS "), role), F.concat(F.lit(" the  answer is : "), role, F.lit(".")), F.concat(F.lit(" The answer is "), role, F.lit("\nmore")), F.concat(F.lit(" The answer\nis "), role, F.lit("  of "), turn, F.lit(" \n"))]
+    said = F.concat("text", F.get(F.array(*ends), F.pmod("turn", F.lit(5)).cast("int")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.stated_answer(said).alias("stated"))
 
 
 @query("escaped", "SELECT page_id, replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages")
