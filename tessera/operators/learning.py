@@ -1,49 +1,76 @@
-"""Models over small feature sets: cross-validated logistic regression and a linear softmax probe."""
+"""Models: cross-validated logistic regression and linear softmax probes."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def gradient_step_logistic(x: np.ndarray, y: np.ndarray, epochs: int, rate: float, penalty: float) -> tuple[np.ndarray, float]:
-    """Weights and bias by full gradient steps from zero; the bias isn't penalised."""
-    w, b = np.zeros(x.shape[1]), 0.0
-    for _ in range(epochs):
-        gap = 1 / (1 + np.exp(-np.clip(x @ w + b, -40, 40))) - y
-        w -= rate * (x.T @ gap / len(y) + penalty * w)
-        b -= rate * gap.mean()
-    return w, b
+from tessera.operators.gradients import Softmax, fit_logistic, fit_softmax
 
 
-def out_of_fold_scores(rows: DataFrame, features: list[str], label: str, fold: str, key: str, n_folds: int, epochs: int = 2000, rate: float = 0.1, penalty: float = 1e-3) -> DataFrame:
-    """key, label, fold, score: each fold's rows scored by a model of the others, standardised by those (population deviation, 1 where it is tiny). Rows with a missing feature are left out.
-
-    A fold's model is one task with the other folds' feature columns (numbers only); for more rows than a task holds take ``native_probe``.
+def out_of_fold_scores(rows: DataFrame, sets: dict[str, list[str]], label: str, fold: str, key: str, n_folds: int, epochs: int = 2000, rate: float = 0.1, penalty: float = 1e-3) -> DataFrame:
+    """features, key, label, fold, score: for each named set of features each fold's rows, scored by a logistic model of the others; rows that lack a label or a feature of the set are left out. All models are fitted in the same passes."""
+    names = list(dict.fromkeys(c for features in sets.values() for c in features))
+    known = rows.where(F.col(label).isNotNull() & F.col(fold).isNotNull()).select(
+        F.col(key).alias("k"), F.col(label).cast("int").alias("y"), F.col(fold).cast("int").alias("fold"), F.array(*[F.col(c).cast("double") for c in names]).alias("x")
+    )
+    weights, bias, mean, spread = fit_logistic(known, len(names), [[names.index(c) for c in features] for features in sets.values()], n_folds, epochs, rate, penalty)
+    models = [
+        (s, f, [int(i) for i in (names.index(c) for c in sets[s])], (weights / spread)[m].tolist(), float(bias[m]), mean[m].tolist())
+        for m, (s, f) in enumerate((s, f) for s in sets for f in range(n_folds))
+    ]
+    shown = rows.sparkSession.createDataFrame(models, "features string, fold int, used array<int>, slope array<double>, bias double, mean array<double>")
+    each = known.join(F.broadcast(shown), "fold")  # a row for each set and fold
+    z = F.aggregate("used", F.col("bias"), lambda a, i: a + (F.get("x", i) - F.get("mean", i)) * F.get("slope", i))
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), z))))
+    return each.where(F.forall("used", lambda i: F.get("x", i).isNotNull())).select("features", F.col("k").alias(key), F.col("y").alias(label), F.col("fold").alias(fold), score.alias("score"))
+
+
+def trained_probe(rows: DataFrame, group: str, split: str, vector: str, label: str, key: str, classes: int, epochs: int = 80, rate: float = 1e-3, decay: float = 1e-2, batch: int = 512, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+    """Scored rows (group, split, key, label, predicted, gold_rank, gold_share, top5 with their shares) and a report (group, split, n, loss, accuracy, accuracy_at_5, chance, best_epoch) of a linear softmax probe for each group.
+
+    Splits are train, val and test; ``key`` is a long; ranks are in order of share, ties by class.
     """
-    known = rows.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"), F.col(fold).alias("f"), *[F.col(c).cast("double").alias(c) for c in features]).dropna()
-    each = known.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
-
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("k")
-        test = (part.f == part.model).to_numpy()
-        x, y = part[features].to_numpy(float), part.y.to_numpy(float)
-        out = part[test][["k", "y", "f"]].copy()
-        if test.all() or not test.any():
-            out["score"] = 0.5
-            return out
-        mean, std = x[~test].mean(0), x[~test].std(0)
-        x = (x - mean) / np.where(std < 1e-8, 1.0, std)
-        w, b = gradient_step_logistic(x[~test], y[~test], epochs, rate, penalty)
-        out["score"] = 1 / (1 + np.exp(-np.clip(x[test] @ w + b, -40, 40)))
-        return out
-
-    found = each.groupBy("model").applyInPandas(fit, "k long, y int, f int, score double")
-    return found.select(F.col("k").alias(key), F.col("y").alias(label), F.col("f").alias(fold), "score")
+    names = [r[0] for r in rows.select(group).distinct().orderBy(group).collect()]  # a model for each: as many as the caller asks for
+    size = rows.agg(F.max(F.size(vector)).alias("n")).first()["n"] or 1
+    part = F.when(F.col(split) == "train", 0).when(F.col(split) == "val", 1).otherwise(2)
+    number = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(group)) - 1 if names else F.lit(0)
+    known = rows.select(number.cast("int").alias("group"), F.col(label).cast("int").alias("label"), F.col(vector).cast("array<double>").alias("x"), part.alias("part"), F.col(key).cast("long").alias("number"))
+    model = fit_softmax(known.where("part < 2"), size, classes, len(names), epochs, rate, decay, batch, seed)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group, label, split, number = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4))
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            shares = np.zeros((len(group), classes))
+            for g in np.unique(group):
+                i = np.flatnonzero(group == g)
+                shares[i] = Softmax.shares(Softmax.logits((x[i] - model["mean"][g]) / model["spread"][g], model["weights"][g], model["bias"][g]))
+            order = np.argsort(-shares, axis=1, kind="stable")
+            rank = (order == label[:, None]).argmax(1) + 1
+            top = order[:, :5]
+            five = [[{"label": int(c), "share": float(s)} for c, s in zip(a, b, strict=True)] for a, b in zip(top, np.take_along_axis(shares, top, 1), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(group), pa.array(split), pa.array(number), pa.array(label), pa.array(order[:, 0].astype(np.int32)), pa.array(rank.astype(np.int32)), pa.array(shares[np.arange(len(label)), label]), pa.array(five, pa.list_(pa.struct([("label", pa.int32()), ("share", pa.float64())])))],
+                names=["group", "part", "number", "label", "predicted", "gold_rank", "gold_share", "top5"],
+            )
+
+    scored = known.mapInArrow(score, "group int, part int, number long, label int, predicted int, gold_rank int, gold_share double, top5 array<struct<label:int,share:double>>")
+    name = F.get(F.array(*[F.lit(n) for n in names]), F.col("group")) if names else F.lit(None)
+    side = F.get(F.array(*[F.lit(s) for s in ("train", "val", "test")]), F.col("part"))
+    found = scored.select(name.alias(group), side.alias(split), F.col("number").alias(key), F.col("label").alias(label), "predicted", "gold_rank", "gold_share", "top5")
+    epoch = F.get(F.array(*[F.lit(int(e)) for e in model["epoch"]]), F.array_position(F.array(*[F.lit(n) for n in names]), F.col(group)).cast("int") - 1) if names else F.lit(0)
+    at = lambda ok: F.avg(ok.cast("double"))
+    report = found.groupBy(group, split).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(-F.ln(F.greatest("gold_share", F.lit(1e-300)))).alias("loss"), at(F.col("gold_rank") == 1).alias("accuracy"), at(F.col("gold_rank") <= 5).alias("accuracy_at_5")
+    )
+    return found, report.withColumn("chance", F.lit(1 / classes)).withColumn("best_epoch", epoch)
 
 
 def native_probe(train: DataFrame, test: DataFrame, vector: str, label: str, key: str, iterations: int = 30, penalty: float = 1e-3) -> DataFrame:

@@ -9,8 +9,9 @@ from tessera.functions import metrics as M
 from tessera.functions.values import ratio
 from tessera.operators import auditing, learning, splits
 from tessera.operators.judging import cell_means
-from tessera.operators.rows import eligible, union_all
+from tessera.operators.rows import eligible
 from tessera.plans.catalogue import query, table
+from tessera.sources.scratch import written
 
 #: Signals of a document and whether a greater value speaks for the label.
 SIGNALS = (("n_chars", 1.0), ("source_number", -1.0), ("is_english", 1.0), ("id_mod", 1.0))
@@ -278,15 +279,26 @@ def probe_multinomial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.probe_metrics(learning.native_probe(rows.where("vec_id % 5 <> 0"), rows.where("vec_id % 5 = 0"), "embedding", "label", "vec_id"))
 
 
+@query("trained_probe")
+def trained_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A probe for each variant of vectors and for two of them together, split by label."""
+    rows = table(spark, sf_dir, "embeddings")
+    variant = F.get(F.array(*[F.lit(v) for v in ("multi_cue_2", "multi_cue_3", "format")]), F.pmod("vec_id", F.lit(3)).cast("int"))
+    cases = rows.select("vec_id", "label", "embedding", variant.alias("variant")).join(splits.stratified(rows, "label", "vec_id", "p17", 0.7, 0.15).select("vec_id", "split"), "vec_id")
+    both = cases.where(F.startswith("variant", F.lit("multi_cue_"))).withColumn("variant", F.lit("multi_cue_all"))
+    _, report = learning.trained_probe(cases.unionByName(both), "variant", "split", "embedding", "label", "vec_id", 10)
+    return report.select("variant", "split", "n", *[F.round(c, 9).alias(c) for c in ("loss", "accuracy", "accuracy_at_5", "chance")], "best_epoch")
+
+
 @query("cv_logistic")
 def cv_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUROC of out-of-fold scores for three feature sets, and each one's gain over the first."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("size"), F.regexp_count("text", F.lit("[#$%&|]")).cast("double").alias("symbols"), F.regexp_count("text", F.lit("\n")).cast("double").alias("lines"))
     rows = splits.folds(table(spark, sf_dir, "labels").join(docs, "doc_id"), "quality", "doc_id", 5, "cv").withColumn("poor", (F.col("quality") == 0).cast("int"))
     sets = {"size": ["size"], "symbols": ["symbols"], "all": ["size", "symbols", "lines"]}
-    scored = [learning.out_of_fold_scores(rows, names, "poor", "fold", "doc_id", 5, epochs=300).select(F.lit(k).alias("features"), (F.col("poor") == 1).alias("label"), "score") for k, names in sets.items()]
-    found = M.auroc(union_all(scored), ["features"])
-    return found.crossJoin(found.where("features = 'size'").select(F.col("auroc").alias("_base"))).select("features", "n", "auroc", (F.col("auroc") - F.col("_base")).alias("gain"))
+    scored = learning.out_of_fold_scores(rows, sets, "poor", "fold", "doc_id", 5).withColumn("label", F.col("poor") == 1)
+    found = written(M.auroc(scored, ["features"]).join(M.average_precision(scored, ["features"], "doc_id"), "features"))
+    return found.crossJoin(found.where("features = 'size'").select(F.col("auroc").alias("_base"))).select("features", "n", "auroc", "average_precision", (F.col("auroc") - F.col("_base")).alias("gain"))
 
 
 @query("windowed_answers", "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, user_id, event_type, count(*) AS n FROM events GROUP BY ALL")

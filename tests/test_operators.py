@@ -87,7 +87,7 @@ def test_gates(spark):
 def test_logistic_scores_order_the_labels(spark):
     data = [(i, float(i), i % 5, int(i > 50)) for i in range(100)] + [(101, None, 0, 1)]
     frame = spark.createDataFrame(data, "k long, x double, fold int, y int")
-    scored = learning.out_of_fold_scores(frame, ["x"], "y", "fold", "k", 5, epochs=200)
+    scored = learning.out_of_fold_scores(frame, {"x": ["x"]}, "y", "fold", "k", 5, epochs=200)
     assert scored.count() == 100 and scored.where("(score > 0.5) <> (y = 1)").count() <= 4
 
 
