@@ -5,6 +5,8 @@ from __future__ import annotations
 import ctypes
 import math
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +37,29 @@ def goes_at_end(spark: SparkSession, place: str) -> str:
     return place
 
 
-def stored(frame: DataFrame) -> DataFrame:
-    """The frame written as Parquet in the shared folder and read again; the table goes when the application ends."""
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What is ``stored`` inside goes at the end of the block, but for what is kept."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for frame in _SCOPES.pop():
+            dropped(frame)
+
+
+def stored(frame: DataFrame, keep: bool = False) -> DataFrame:
+    """The frame written as Parquet in the shared folder and read again; the table goes when the application ends, or with the ``scratch`` block around it unless it is to ``keep``."""
     spark = frame.sparkSession
     place = goes_at_end(spark, f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}")
     frame.write.parquet(place)
-    return spark.read.schema(frame.schema).parquet(place)
+    found = spark.read.schema(frame.schema).parquet(place)
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(found)
+    return found
 
 
 def dropped(frame: DataFrame) -> None:

@@ -400,21 +400,23 @@ def similar_groups(docs: DataFrame, shingle: int = 5, key: str = "doc_id", text:
     Pairs across groups are left out beforehand where odd sketches of 1,024 bits show that the sets differ in more shingles than
     similarity 0.8 allows. That loses no link; it tells nearly all other pairs of up to 500 shingles, and fewer of longer texts.
 
-    Defined cases: equal texts (by a 64-bit hash) are one node, so are all without words, null ones among them; case of A-Z and
+    Defined cases: equal texts (by their md5) are one node, so are all without words, null ones among them; case of A-Z and
     spaces don't count; rows of equal ids may lie in several groups; a null id is the least of a group only where all are
     null; other columns are left out, whatever their names.
     """
-    keyed = docs.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("node"), F.col(text).alias("t"))
+    keyed = docs.select(F.col(key).alias("k"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).alias("hash"), F.col(text).alias("t"))
     as_bytes = lambda each: [x.tobytes() for x in wide_fingerprints(each)]
-    marked = stored(_sets(keyed, shingle, as_bytes, "fp").withColumn("node", F.when(F.col("n") > 0, F.col("node")).otherwise(F.lit(0))))
-    nodes = marked.groupBy("node").agg(F.min("k").alias("least"), F.max("n").alias("n"), F.max("fp").alias("fp"))
-    texts = keyed.select("node", "t")
+    marked = stored(_sets(keyed, shingle, as_bytes, "fp").withColumn("hash", F.when(F.col("n") > 0, F.col("hash")).otherwise(F.lit(b""))))
+    # written, so that the numbers given here hold
+    nodes = stored(marked.groupBy("hash").agg(F.min("k").alias("least"), F.max("n").alias("n"), F.max("fp").alias("fp")).withColumn("node", F.monotonically_increasing_id()))
+    texts = keyed.select("hash", "t")
     full = nodes.where("n > 0")
     found = stored(in_buckets(filed_wide(full).withColumn("group", F.col("node")), filed_wide(full, 0), near_pairs))
     tried = stored(found.where("bucket IS NULL").select("a", "b").distinct())
     # the sets of all that may be compared, from one shuffle of texts, as large at every size
-    needed = found.select(F.explode(F.array("a", "b")).alias("node")).where("node IS NOT NULL").distinct().hint("merge")
-    sets = stored(_sets(texts.join(needed, "node", "left_semi").dropDuplicates(["node"]), shingle, lambda each: [x.tobytes() for x in each], "set").select("node", "set"))
+    needed = found.select(F.explode(F.array("a", "b")).alias("node")).where("node IS NOT NULL").distinct()
+    needed = needed.join(nodes.select("node", "hash"), "node").hint("merge")
+    sets = stored(_sets(texts.join(needed, "hash").dropDuplicates(["hash"]).select("node", "t"), shingle, lambda each: [x.tobytes() for x in each], "set").select("node", "set"))
     links = _verified(tried, sets)
     dense = found.where("bucket IS NOT NULL").select("bucket", "home", F.col("a").alias("node")).distinct()
     if not dense.isEmpty():
@@ -427,7 +429,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, key: str = "doc_id", text:
             more = in_buckets(grouped, grouped.where("home"), partial(pairs_across, most=most), WIDE + ODD_BITS // 64).select("a", "b").distinct()
             fresh = stored(more.join(tried, ["a", "b"], "left_anti"))
             links, tried = links.unionByName(_verified(fresh, sets)), tried.unionByName(fresh)
-    roots = nodes.select("node", "least").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    roots = nodes.select("node", "hash", "least").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     firsts = roots.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = stored(roots.join(firsts, "component").select("node", "component_id"))
-    return marked.select("k", "node").join(named, "node").select(F.col("k").alias(key), "component_id")
+    named = stored(roots.join(firsts, "component").select("hash", "component_id"))
+    return marked.select("k", "hash").join(named, "hash").select(F.col("k").alias(key), "component_id")
