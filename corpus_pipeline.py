@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, table
+from tessera.llm.common import dropped, scratch, stored, table
 from tessera.llm.mixing import mixture
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.queries import MIXTURE, tokenizer
@@ -66,9 +66,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        with scratch():  # what a stage writes on its way goes once its rows are written
+            docs = stored(stage(spark, docs, sf_dir), keep=True)
+        if before is not None:
+            dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
