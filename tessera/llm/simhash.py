@@ -414,7 +414,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, key: str = "doc_id", text:
     found = stored(in_buckets(filed_wide(full).withColumn("group", F.col("node")), filed_wide(full, 0), near_pairs))
     tried = stored(found.where("bucket IS NULL").select("a", "b").distinct())
     # the sets of all that may be compared, from one shuffle of texts, as large at every size
-    needed = found.select(F.explode(F.array("a", "b")).alias("node")).where("node IS NOT NULL").distinct()
+    ends = [tried.select(F.col(c).alias("node")) for c in ("a", "b")]
+    needed = found.where("bucket IS NOT NULL").select(F.col("a").alias("node")).unionByName(ends[0]).unionByName(ends[1]).distinct()
     needed = needed.join(nodes.select("node", "hash"), "node").hint("merge")
     sets = stored(_sets(texts.join(needed, "hash").dropDuplicates(["hash"]).select("node", "t"), shingle, lambda each: [x.tobytes() for x in each], "set").select("node", "set"))
     links = _verified(tried, sets)
