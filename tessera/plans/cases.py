@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import cues as C
@@ -13,71 +13,76 @@ from tessera.operators import variants as V
 from tessera.operators.generate import context_first, inserted_sentence
 from tessera.plans.catalogue import query, table
 
-#: Questions with what becomes of them: statement, verb behind the subject, without do, negation. Worked out by hand from the rules.
-RENDERED = (
-    ("Do you have a cough?", "a cough", "they do have a cough", "they have a cough", "does not have a cough"),
-    ("Is your skin dry?", "is their skin dry", "their skin is dry", None, "is not skin dry"),
-    ("Have you traveled out of the country?", "traveled out of the country", "they have traveled out of the country", None, "has not traveled out of the country"),
-    ("Are there any lesions?", "are there any lesions", "there are lesions", None, None),
-    ("Do you feel like you are choking?", "they feel like they are choking", "they do feel like they are choking", "they feel like they are choking", "does not feel like the patient are choking"),
-    ("Is the rash swollen right now?", "is the rash swollen", "the rash is swollen", None, None),
-    ("Where is the pain located?", "where is the pain located", None, None, None),
-    ("Did something keep you from sleeping?", "did something keep them from sleeping", "something did keep them from sleeping", "something keep them from sleeping", None),
-    ("Have you been in contact with someone who, like you, had a fever currently?", "in contact with someone who, like them, had a fever", "they have been in contact with someone who, like them, had a fever", None, "has not been in contact with someone who, like the patient, had a fever"),
-)
-#: Questions, answers, the answer within the statement, and the kind of answer.
-FOLDED = (
-    ("Where is the swelling located?", "iliac wing(R)", "the swelling is located in the iliac wing(R)", "plain"),
-    ("Where is the pain?", "the chest", "the pain is in the chest", "plain"),
-    ("What color is the rash?", "red", "the rash color is red", "plain"),
-    ("How severe is the itching?", "2", "the itching rated 2 for severity", "numeric"),
-    ("How dark is your urine?", "7", "their urine rated 7", "numeric"),
-    ("How long is the scar?", "very", "the scar is very", "plain"),
-    ("Do you smoke?", "Negative", None, "negative"),
-    ("Do you smoke?", "-", None, "uninformative"),
-    ("Do you smoke?", "positive", None, "affirmative"),
-    ("Do you smoke?", "V_29", None, "opaque"),
-    ("Do you smoke?", "nowhere", None, "negative"),
-)
-
-
 def _sql(x: str | None) -> str:
     return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
 
 
-def _values(rows: tuple) -> str:
-    return ", ".join(f"({i}, " + ", ".join(map(_sql, r)) + ")" for i, r in enumerate(rows))
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as what a questionnaire asks about: what a thing is and how."""
+    name = F.split("p_name", " ")
+    return table(spark, sf_dir, "part").select("p_partkey", F.get(name, F.lit(0)).alias("how"), F.element_at(name, -1).alias("thing"), "p_name", "p_brand", "p_type", "p_size")
+
+
+def _one_of(key: str, *columns: Column) -> Column:
+    """The column that the key's remainder picks."""
+    out = columns[-1]
+    for k in range(len(columns) - 2, -1, -1):
+        out = F.when(F.pmod(key, F.lit(len(columns))) == k, columns[k]).otherwise(out)
+    return out
 
 
-def _asked(spark: SparkSession, sf_dir: str, rows: tuple, names: tuple[str, ...]) -> DataFrame:
-    """Each event's question by its user, rendered once a question and counted."""
-    used = table(spark, sf_dir, "events").groupBy(F.pmod("user_id", F.lit(len(rows))).cast("int").alias("q")).agg(F.count(F.lit(1)).alias("n"))
-    pick = lambda k: F.get(F.array(*[F.lit(r[k]) for r in rows]), F.col("q"))
-    return used.withColumns({name: pick(k) for k, name in enumerate(names)})
+def _told(*parts: str) -> Column:
+    """Columns, and texts that start or end with a space or a quote sign, put together."""
+    return F.concat(*[F.lit(p[1:]) if p.startswith("'") else F.col(p) for p in parts])
+
+
+_THINGS = "WITH p AS (SELECT *, string_split(p_name, ' ')[1] AS how, string_split(p_name, ' ')[-1] AS thing FROM part)"
 
 
 @query(
     "question_phrases",
-    f"SELECT v.question, v.statement, v.uninverted, v.without_do, v.negation, count(*) AS n FROM events JOIN (VALUES {_values(RENDERED)}) v(q, question, statement, uninverted, without_do, negation) ON user_id % {len(RENDERED)} = v.q GROUP BY ALL",
+    _THINGS
+    + """ SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'a ' || p_name WHEN 1 THEN 'is the ' || thing || ' ' || how WHEN 2 THEN 'they noticed that their ' || thing || ' is ' || how ELSE 'did ' || thing || ' keep them from it' END AS statement,
+ CASE p_partkey % 4 WHEN 0 THEN 'they do have a ' || p_name WHEN 1 THEN 'the ' || thing || ' is ' || how WHEN 2 THEN 'they have noticed that their ' || thing || ' is ' || how ELSE thing || ' did keep them from it' END AS uninverted,
+ CASE p_partkey % 4 WHEN 0 THEN 'they have a ' || p_name WHEN 3 THEN thing || ' keep them from it' END AS without_do, CASE p_partkey % 4 WHEN 0 THEN 'does not have a ' || p_name WHEN 2 THEN 'has not noticed that their ' || thing || ' is ' || how END AS negation FROM p""",
 )
 def question_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.col("question")
-    rows = _asked(spark, sf_dir, RENDERED, ("question",))
-    return rows.select("question", C.statement(q).alias("statement"), C.uninverted(q).alias("uninverted"), C.without_do(q).alias("without_do"), C.negation(q).alias("negation"), "n")
+    asked = _one_of("p_partkey", _told("'Do you have a ", "p_name", "'?"), _told("'Is the ", "thing", "' ", "how", "'?"), _told("'Have you noticed that your ", "thing", "' is ", "how", "'?"), _told("'Did ", "thing", "' keep you from it currently?"))
+    rows, q = _parts(spark, sf_dir).select("p_partkey", asked.alias("q")), F.col("q")
+    return rows.select("p_partkey", C.statement(q).alias("statement"), C.uninverted(q).alias("uninverted"), C.without_do(q).alias("without_do"), C.negation(q).alias("negation"))
 
 
 @query(
     "folded_values",
-    f"SELECT v.question, v.value, v.folded, v.kind, count(*) AS n FROM events JOIN (VALUES {_values(FOLDED)}) v(q, question, value, folded, kind) ON user_id % {len(FOLDED)} = v.q GROUP BY ALL",
+    _THINGS
+    + """ SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'the ' || thing || ' is located in the ' || p_brand WHEN 1 THEN 'the ' || thing || ' size is ' || p_type WHEN 2 THEN 'the ' || thing || ' rated ' || p_size || ' for severity' WHEN 3 THEN 'their ' || thing || ' radiates to any ' || p_type END AS folded,
+ CASE WHEN p_partkey % 5 = 2 THEN CASE WHEN p_size = 1 THEN 'affirmative' ELSE 'numeric' END WHEN p_partkey % 5 = 4 THEN 'opaque' ELSE 'plain' END AS kind FROM p""",
 )
 def folded_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _asked(spark, sf_dir, FOLDED, ("question", "value"))
-    return rows.select("question", "value", C.value_folded(F.col("question"), F.col("value")).alias("folded"), C.value_kind(F.col("value")).alias("kind"), "n")
+    asked = _one_of("p_partkey", _told("'Where is the ", "thing", "' located?"), _told("'What size is the ", "thing", "'?"), _told("'How bad is the ", "thing", "'?"), _told("'Does your ", "thing", "' radiate to another location?"), _told("'Do you own a ", "p_name", "'?"))
+    value = _one_of("p_partkey", F.col("p_brand"), F.col("p_type"), F.col("p_size").cast("string"), _told("'any ", "p_type"), F.concat(F.lit("V_"), F.col("p_size").cast("string")))
+    rows = _parts(spark, sf_dir).select("p_partkey", asked.alias("q"), value.alias("v"))
+    return rows.select("p_partkey", C.value_folded(F.col("q"), F.col("v")).alias("folded"), C.value_kind(F.col("v")).alias("kind"))
+
+
+@query(
+    "merged_values",
+    """WITH o AS (SELECT DISTINCT l_orderkey, l_returnflag AS item, l_linenumber AS i, l_linestatus || l_linenumber || 'x' AS label FROM lineitem WHERE l_linenumber <= 5),
+g AS (SELECT l_orderkey, item, list(label ORDER BY i, label) AS labels, min(i) AS first FROM o GROUP BY ALL)
+SELECT l_orderkey, item, count(*) AS cues, max(CASE WHEN item = 'N' THEN 'the ache radiates to the ' || CASE len(labels) WHEN 1 THEN labels[1] WHEN 2 THEN labels[1] || ' and ' || labels[2] ELSE array_to_string(labels[1:len(labels) - 1], ', ') || ', and ' || labels[-1] END ELSE NULL END) AS told
+FROM (SELECT l_orderkey, item, labels, unnest(CASE WHEN item = 'N' THEN labels[1:1] ELSE labels END) FROM g) GROUP BY l_orderkey, item""",
+)
+def merged_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's lines as answers to one question for each flag, of which one question takes several values in."""
+    question = F.when(F.col("l_returnflag") == "N", "Does the ache radiate to another location?").otherwise("Do you have it?")
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber <= 5").select("l_orderkey", F.col("l_returnflag").alias("item"), F.col("l_linenumber").alias("i"), F.concat("l_linestatus", F.col("l_linenumber").cast("string"), F.lit("x")).alias("value_label"), question.alias("question")).distinct()
+    cues = C.merged_values(lines.withColumn("cue_text", C.value_folded(F.col("question"), F.col("value_label"))), "l_orderkey", "item", "i")
+    return cues.groupBy("l_orderkey", "item").agg(F.count(F.lit(1)).alias("cues"), F.max("cue_text").alias("told"))
 
 
 @query(
     "evidence_lists",
-    """WITH r AS (SELECT event_id, event_type AS t, user_id AS u FROM events) SELECT event_id, CASE u % 4 WHEN 0 THEN t || '|' || u WHEN 1 THEN t || '|b' WHEN 2 THEN t ELSE t || '|x y|' || u END AS entries FROM r""",
+    """WITH r AS (SELECT event_id, event_type AS t, user_id AS u FROM events) SELECT event_id, CASE u % 4 WHEN 0 THEN t || '|' || u WHEN 1 THEN t || '|b' WHEN 2 THEN t ELSE t || '|x y ,' || u END AS entries FROM r""",
 )
 def evidence_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, u, m = F.col("event_type"), F.col("user_id").cast("string"), F.pmod("user_id", F.lit(4))
