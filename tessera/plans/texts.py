@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import cues as C
 from tessera.functions import text as X
 from tessera.operators.judging import first_class, scored_readouts
+from tessera.operators.terms import term_matches as matches
 from tessera.plans.catalogue import query, table
 
 #: Terms looked for: single words stand alone, several words anywhere.
@@ -38,6 +39,21 @@ def term_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.terms_in(F.col("text"), _terms()), "|").alias("hits"))
 
 
+@query(
+    "term_matches",
+    """WITH t AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS term FROM benchmark UNION SELECT DISTINCT array_to_string(string_split_regex(lower(text), '\\s+')[2:3], ' ') FROM benchmark),
+w AS (SELECT DISTINCT event_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS term FROM (SELECT conv_id * 1000 + turn AS event_id, text FROM conversations))
+SELECT event_id AS turn_id, term FROM w JOIN t USING (term) WHERE term <> '' UNION ALL SELECT c.conv_id * 1000 + c.turn, t.term FROM conversations c JOIN t ON contains(t.term, ' ') AND contains(lower(c.text), t.term)""",
+)
+def term_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, and pairs of words, of the benchmark in turns."""
+    benchmark = table(spark, sf_dir, "benchmark")
+    words = benchmark.select(F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("term"))
+    pairs = benchmark.select(F.array_join(F.slice(F.split(F.lower("text"), r"\s+"), 2, 2), " ").alias("term"))
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text")
+    return matches(turns, "turn_id", "text", words.unionByName(pairs), "term")
+
+
 @query(
     "new_terms",
     "SELECT a.conv_id, a.turn, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(b.text), '(^|[^a-z0-9_]){t}($|[^a-z0-9_])') AND NOT regexp_matches(lower(a.text), '(^|[^a-z0-9_]){t}($|[^a-z0-9_])') THEN '{t}' END" for t in TERMS[:3]) + "], lambda x: x IS NOT NULL), '|') AS fresh FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user'",
