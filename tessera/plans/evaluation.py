@@ -130,12 +130,12 @@ def hit_rates_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "rate_differences",
     """WITH t AS (SELECT d.source, count(*) FILTER (l.quality = 1) - count(*) FILTER (l.toxic = 1) AS diff FROM documents d JOIN labels l USING (doc_id) GROUP BY d.source)
-SELECT 'high' AS tail, source, diff FROM (SELECT * FROM t ORDER BY diff DESC, source DESC LIMIT 5) UNION ALL SELECT 'low', source, diff FROM (SELECT * FROM t ORDER BY diff, source LIMIT 5)""",
+SELECT 'high' AS tail, source, diff FROM (SELECT * FROM t ORDER BY diff DESC, source DESC LIMIT 20) UNION ALL SELECT 'low', source, diff FROM (SELECT * FROM t ORDER BY diff, source LIMIT 20)""",
 )
 def rate_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id")
     diff = rows.groupBy("source").agg((F.count_if(F.col("quality") == 1) - F.count_if(F.col("toxic") == 1)).alias("diff"))
-    high, low = diff.orderBy(F.desc("diff"), F.desc("source")).limit(5), diff.orderBy("diff", "source").limit(5)
+    high, low = diff.orderBy(F.desc("diff"), F.desc("source")).limit(20), diff.orderBy("diff", "source").limit(20)
     return high.select(F.lit("high").alias("tail"), "source", "diff").unionByName(low.select(F.lit("low").alias("tail"), "source", "diff"))
 
 

@@ -1,4 +1,4 @@
-"""Row generators over the driver tables: cues of a document are its first lines."""
+"""Row generators over the driver tables: cues of a document are its lines."""
 
 from __future__ import annotations
 
@@ -11,16 +11,20 @@ from tessera.operators.judging import counterfactual_rates
 from tessera.plans.catalogue import query, table
 
 
+#: Cues of a case whose swaps are asked for: a case gives four rows for each, with its whole prompt.
+MOST = 4
+
+
 def _first_lines(n: int | None) -> Column:
     lines = F.filter(F.transform(F.split("text", "\n"), lambda s: F.btrim(s)), lambda s: s != "")
     return lines if n is None else F.slice(lines, 1, n)
 
 
-def _cases(spark: SparkSession, sf_dir: str, n: int | None = 4) -> DataFrame:
+def _cases(spark: SparkSession, sf_dir: str, n: int | None = None) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", _first_lines(n).alias("cues"))
 
 
-_CASES = "SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: s <> '')[1:4] AS cues FROM documents"
+_CASES = "SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: s <> '') AS cues FROM documents"
 
 
 @query(
@@ -30,7 +34,7 @@ _CASES = "SELECT doc_id, text, list_filter(list_transform(string_split(text, chr
 SELECT doc_id, r.variant AS variant, r.position_mode AS position_mode, r.target_text AS target_text FROM r""",
 )
 def variant_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.cue_and_format_rows(_cases(spark, sf_dir), "cues", 4).select("doc_id", "variant", "position_mode", "target_text")
+    return G.cue_and_format_rows(_cases(spark, sf_dir), "cues", 2**31 - 1).select("doc_id", "variant", "position_mode", "target_text")
 
 
 @query(
@@ -55,7 +59,7 @@ def position_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("position_rows_all")
 def position_rows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of all lines, each sought from where the one before it ended."""
-    return G.position_rows(_cases(spark, sf_dir, None), "text", "cues").select("doc_id", "cue_index", "start", "end", "occurrence")
+    return G.position_rows(_cases(spark, sf_dir), "text", "cues").select("doc_id", "cue_index", "start", "end", "occurrence")
 
 
 @query("prompt_lists", f"WITH c AS ({_CASES}) SELECT doc_id, CASE WHEN len(cues) <= 2 THEN array_to_string(cues, ' and ') ELSE array_to_string(cues[1:len(cues) - 1], ', ') || ', and ' || cues[-1] END AS joined, array_to_string(list_transform(range(1, len(cues) + 1), lambda i: i || '. ' || cues[i]), chr(10)) AS options FROM c")
@@ -65,7 +69,7 @@ def prompt_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _counterfactuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = table(spark, sf_dir, "benchmark").select(F.substring_index("text", ".", 1).alias("replacement"))
-    return G.counterfactual_rows(G.with_replacement(_cases(spark, sf_dir), "doc_id", "cues", other), "doc_id", "cues", "replacement")
+    return G.counterfactual_rows(G.with_replacement(_cases(spark, sf_dir, MOST), "doc_id", "cues", other), "doc_id", "cues", "replacement")
 
 
 @query("counterfactual_rows")

@@ -56,12 +56,12 @@ def term_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "new_terms",
-    "SELECT a.conv_id, a.turn, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(b.text), '(^|[^a-z0-9_]){t}($|[^a-z0-9_])') AND NOT regexp_matches(lower(a.text), '(^|[^a-z0-9_]){t}($|[^a-z0-9_])') THEN '{t}' END" for t in TERMS[:3]) + "], lambda x: x IS NOT NULL), '|') AS fresh FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user'",
+    "SELECT a.conv_id, a.turn, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(b.text), '(^|[^a-z0-9_]){t}($|[^a-z0-9_])') AND NOT regexp_matches(lower(a.text), '(^|[^a-z0-9_]){t}($|[^a-z0-9_])') THEN '{t}' END" for t in TERMS) + "], lambda x: x IS NOT NULL), '|') AS fresh FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user'",
 )
 def new_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("output"))
-    fresh = X.new_terms(F.col("output"), F.col("text"), F.slice(_terms(), 1, 3))
+    fresh = X.new_terms(F.col("output"), F.col("text"), _terms())
     return turns.where("role = 'user'").join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.array_join(fresh, "|").alias("fresh"))
 
 
