@@ -65,6 +65,20 @@ def write_lines(rows: DataFrame, folder: str, append: bool = False) -> None:
     rows.select(sorted(rows.columns)).write.mode("append" if append else "overwrite").option("ignoreNullFields", "false").json(folder)
 
 
+def append_new(rows: DataFrame, folder: str, key: str) -> None:
+    """Append, as line JSON, the rows whose ``key`` the folder doesn't hold, one for each key; so a run that ended half-way, or one that is repeated, leaves each key once.
+
+    What is there stays as it is, a null key is a key, and only keys are read of what is there. Two runs at the same time may both write a key.
+    """
+    spark = rows.sparkSession
+    fresh = rows.dropDuplicates([key])
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        there = spark.read.schema(T.StructType([rows.schema[key]])).json(folder).select(F.col(key).alias("_there"))
+        fresh = fresh.join(there.distinct(), F.col(key).eqNullSafe(F.col("_there")), "left_anti")
+    write_lines(fresh, folder, append=True)
+
+
 def write_table(rows: DataFrame, folder: str) -> None:
     rows.write.mode("overwrite").option("compression", "zstd").parquet(folder)
 
