@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.functions import vectors as V
 from tessera.functions.metrics import answer_spread, auroc
+from tessera.operators import aliases as A
 from tessera.operators import summaries as S
 from tessera.operators.auditing import violations
 from tessera.plans.catalogue import query, table
@@ -140,6 +141,34 @@ def sample_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", "n_samples", *[F.round(c, 9).alias(c) for c in ("unique_share", "parsed_rate", "hit_rate", "mean_recall")])
 
 
+def _named_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as a case's variants, answered by their text; even cases have aliases of their own, and all have those of their first turn."""
+    turns = table(spark, sf_dir, "conversations")
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))
+    name = F.get(F.array(*[F.lit(v) for v in ("nonspecific_alone_cue", "specific_full_nonspecific_cue", "specific_full_specific_cue_1", "specific_full_format")]), F.pmod("turn", F.lit(4)).cast("int"))
+    rows = turns.select("conv_id", "turn", "text", name.alias("variant"), F.when(F.pmod("conv_id", F.lit(2)) == 0, F.slice(words, 3, 1)).alias("specific_aliases"))
+    first = turns.where("turn = 0").select("conv_id", F.slice(words, 1, 2).alias("aliases"))
+    return A.alias_hits(A.resolved(rows, "conv_id", "specific_aliases", first, first.select("conv_id", F.slice("aliases", 1, 1).alias("aliases"))), "text", ["specific"])
+
+
+_NAMED = """WITH w AS (SELECT *, regexp_extract_all(lower(text), '[a-z]{3,}') AS words FROM conversations), f AS (SELECT conv_id, words[1:2] AS first FROM w WHERE turn = 0),
+r AS (SELECT w.conv_id, turn, text, CASE WHEN w.conv_id % 2 = 0 AND len(words) > 2 THEN words[3:3] ELSE coalesce(first, []) END || coalesce(first[1:1], []) AS names FROM w LEFT JOIN f ON f.conv_id = w.conv_id),
+h AS (SELECT *, list_filter(list_filter(names, lambda n, i: list_position(names, n) = i), lambda n: regexp_matches(lower(text), '(^|[^a-z0-9])' || n || '($|[^a-z0-9])')) AS hits FROM r)"""
+
+
+@query("alias_hits", _NAMED + " SELECT conv_id, turn, array_to_string(hits, '|') AS hits FROM h")
+def alias_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named_turns(spark, sf_dir).select("conv_id", "turn", F.array_join("specific_hits", "|").alias("hits"))
+
+
+@query(
+    "case_shifts",
+    _NAMED + " SELECT conv_id, CASE WHEN bool_or(turn % 4 = 3 AND len(hits) > 0) THEN 'format_shift' WHEN bool_or(turn % 4 = 1 AND len(hits) > 0) THEN 'nonspecific_cue_shift' WHEN bool_or(turn % 4 = 2 AND len(hits) > 0) THEN 'specific_cue_only' ELSE 'no_specific_signal' END AS shift FROM h GROUP BY conv_id",
+)
+def case_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.shifts(_named_turns(spark, sf_dir), "conv_id", "variant", "specific_hit")
+
+
 @query("reason_histogram", "SELECT CASE WHEN value < 20 THEN 'small' ELSE 'KEPT(' || CASE WHEN user_id % 2 = 0 THEN 'positive' ELSE 'negative' END || ')' END AS reason, count(*) AS n FROM events GROUP BY 1")
 def reason_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     cues = _events(spark, sf_dir).select(F.when(F.col("value") < 20, "small").otherwise("").alias("reason"), F.when(F.pmod("user_id", F.lit(2)) == 0, "positive").otherwise("negative").alias("polarity"))
