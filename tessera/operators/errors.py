@@ -9,10 +9,10 @@ from tessera.functions.metrics import auroc, average_precision, confusion
 
 #: A signal, its column, and whether a greater value speaks for an error; disagreement is the opposite of its column.
 SIGNALS = (
-    ("source_nla_disagree", "source_nla_answer_agree", -1), ("source_probe_disagree", "source_probe_answer_agree", -1), ("probe_low_top1_prob", "probe_top1_prob", -1), ("source_low_top1_prob", "source_top1_prob", -1),
+    ("source_readout_disagree", "source_readout_answer_agree", -1), ("source_probe_disagree", "source_probe_answer_agree", -1), ("probe_low_top1_prob", "probe_top1_prob", -1), ("source_low_top1_prob", "source_top1_prob", -1),
     ("source_low_top1_top2_prob_margin", "source_top1_top2_prob_margin", -1), ("source_low_top1_top2_margin", "source_top1_top2_margin", -1), ("source_entropy", "source_candidate_entropy_norm", 1),
 )
-DISAGREEMENT = ("source_nla_disagree", "source_probe_disagree")
+DISAGREEMENT = ("source_readout_disagree", "source_probe_disagree")
 
 
 def _score(signal: str, field: str, direction: int) -> Column:
@@ -35,12 +35,12 @@ def signal_report(rows: DataFrame, key: str, label: str) -> DataFrame:
 
 
 def paired_disagreement(rows: DataFrame, key: str, label: str) -> DataFrame:
-    """n, nla_auroc, probe_auroc and their difference on the rows that have a label and both agreements; no row if there are none."""
-    both = rows.where(F.col("source_nla_answer_agree").isNotNull() & F.col("source_probe_answer_agree").isNotNull())
+    """n, readout_auroc, probe_auroc and their difference on the rows that have a label and both agreements; no row if there are none."""
+    both = rows.where(F.col("source_readout_answer_agree").isNotNull() & F.col("source_probe_answer_agree").isNotNull())
     found = auroc(signal_rows(both, key, label).where(F.col("signal").isin(*DISAGREEMENT)), ["signal"])
     of = lambda s: F.max(F.when(F.col("signal") == s, F.col("auroc")))
-    one = found.groupBy().agg(F.max("n").alias("n"), of(DISAGREEMENT[0]).alias("nla_auroc"), of(DISAGREEMENT[1]).alias("probe_auroc")).where("n IS NOT NULL")
-    return one.withColumn("difference", F.col("nla_auroc") - F.col("probe_auroc"))
+    one = found.groupBy().agg(F.max("n").alias("n"), of(DISAGREEMENT[0]).alias("readout_auroc"), of(DISAGREEMENT[1]).alias("probe_auroc")).where("n IS NOT NULL")
+    return one.withColumn("difference", F.col("readout_auroc") - F.col("probe_auroc"))
 
 
 def error_rate(rows: DataFrame, label: str) -> DataFrame:

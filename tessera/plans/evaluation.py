@@ -279,9 +279,9 @@ def probe_multinomial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.probe_metrics(learning.native_probe(rows.where("vec_id % 5 <> 0"), rows.where("vec_id % 5 = 0"), "embedding", "label", "vec_id"))
 
 
-_ERRORS = """WITH r AS (SELECT d.doc_id, CASE WHEN d.doc_id % 11 > 0 THEN l.quality = 0 END AS label, CASE WHEN d.n_chars % 5 > 0 THEN d.n_chars % 3 > 0 END AS nla, CASE WHEN d.n_chars % 7 > 0 THEN l.toxic = 0 END AS probe, (d.n_chars % 97)::DOUBLE AS top, CASE WHEN d.doc_id % 4 > 0 THEN (d.doc_id % 89)::DOUBLE END AS entropy
+_ERRORS = """WITH r AS (SELECT d.doc_id, CASE WHEN d.doc_id % 11 > 0 THEN l.quality = 0 END AS label, CASE WHEN d.n_chars % 5 > 0 THEN d.n_chars % 3 > 0 END AS readout, CASE WHEN d.n_chars % 7 > 0 THEN l.toxic = 0 END AS probe, (d.n_chars % 97)::DOUBLE AS top, CASE WHEN d.doc_id % 4 > 0 THEN (d.doc_id % 89)::DOUBLE END AS entropy
   FROM labels l JOIN documents d USING (doc_id)),
-x AS (SELECT doc_id, label, 'source_nla_disagree' AS signal, (NOT nla)::INT::DOUBLE AS score FROM r UNION ALL SELECT doc_id, label, 'source_probe_disagree', (NOT probe)::INT FROM r UNION ALL SELECT doc_id, label, 'probe_low_top1_prob', -top FROM r UNION ALL SELECT doc_id, label, 'source_entropy', entropy FROM r),
+x AS (SELECT doc_id, label, 'source_readout_disagree' AS signal, (NOT readout)::INT::DOUBLE AS score FROM r UNION ALL SELECT doc_id, label, 'source_probe_disagree', (NOT probe)::INT FROM r UNION ALL SELECT doc_id, label, 'probe_low_top1_prob', -top FROM r UNION ALL SELECT doc_id, label, 'source_entropy', entropy FROM r),
 k AS (SELECT * FROM x WHERE label IS NOT NULL AND score IS NOT NULL)"""
 _WINS = "avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END::DOUBLE)"
 
@@ -290,7 +290,7 @@ def _agreements(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
     rest = lambda c, n: F.pmod(c, F.lit(n))
     return rows.select(
-        "doc_id", F.when(rest("doc_id", 11) > 0, F.col("quality") == 0).alias("is_error"), F.when(rest("n_chars", 5) > 0, rest("n_chars", 3) > 0).alias("source_nla_answer_agree"), F.when(rest("n_chars", 7) > 0, F.col("toxic") == 0).alias("source_probe_answer_agree"),
+        "doc_id", F.when(rest("doc_id", 11) > 0, F.col("quality") == 0).alias("is_error"), F.when(rest("n_chars", 5) > 0, rest("n_chars", 3) > 0).alias("source_readout_answer_agree"), F.when(rest("n_chars", 7) > 0, F.col("toxic") == 0).alias("source_probe_answer_agree"),
         rest("n_chars", 97).cast("double").alias("probe_top1_prob"), F.when(rest("doc_id", 4) > 0, rest("doc_id", 89).cast("double")).alias("source_candidate_entropy_norm"),
     )
 
@@ -311,13 +311,13 @@ def error_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "paired_disagreement",
     _ERRORS
-    + f""", b AS (SELECT label, (NOT nla)::INT AS nla, (NOT probe)::INT AS probe FROM r WHERE label IS NOT NULL AND nla IS NOT NULL AND probe IS NOT NULL),
-a AS (SELECT {_WINS.replace("a.score", "p.nla").replace("b.score", "q.nla")} AS nla, {_WINS.replace("a.score", "p.probe").replace("b.score", "q.probe")} AS probe FROM b p JOIN b q ON p.label AND NOT q.label)
-SELECT (SELECT count(*) FROM b) AS n, round(nla, 9) AS nla_auroc, round(probe, 9) AS probe_auroc, round(nla - probe, 9) AS difference FROM a""",
+    + f""", b AS (SELECT label, (NOT readout)::INT AS readout, (NOT probe)::INT AS probe FROM r WHERE label IS NOT NULL AND readout IS NOT NULL AND probe IS NOT NULL),
+a AS (SELECT {_WINS.replace("a.score", "p.readout").replace("b.score", "q.readout")} AS readout, {_WINS.replace("a.score", "p.probe").replace("b.score", "q.probe")} AS probe FROM b p JOIN b q ON p.label AND NOT q.label)
+SELECT (SELECT count(*) FROM b) AS n, round(readout, 9) AS readout_auroc, round(probe, 9) AS probe_auroc, round(readout - probe, 9) AS difference FROM a""",
 )
 def paired_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = errors.paired_disagreement(_agreements(spark, sf_dir), "doc_id", "is_error")
-    return found.select("n", *[F.round(c, 9).alias(c) for c in ("nla_auroc", "probe_auroc", "difference")])
+    return found.select("n", *[F.round(c, 9).alias(c) for c in ("readout_auroc", "probe_auroc", "difference")])
 
 
 @query("error_rate", _ERRORS + " SELECT count(label) AS n, count(*) FILTER (label) AS errors, count(*) FILTER (label)::DOUBLE / count(label) AS error_rate FROM r")

@@ -4,15 +4,15 @@ import pytest
 
 from tessera.operators import errors as E
 
-SCHEMA = "id int, is_error boolean, source_nla_answer_agree boolean, source_probe_answer_agree boolean, source_candidate_entropy_norm double"
+SCHEMA = "id int, is_error boolean, source_readout_answer_agree boolean, source_probe_answer_agree boolean, source_candidate_entropy_norm double"
 
 
 def test_signals_leave_out_what_is_missing(spark):
     rows = [(1, True, False, False, 0.9), (2, True, True, None, None), (3, False, True, True, 0.1), (4, False, None, True, 0.95), (5, None, False, False, 0.5)]
     got = {r.signal: r for r in E.signal_report(spark.createDataFrame(rows, SCHEMA), "id", "is_error").collect()}
-    assert got.keys() == {"source_nla_disagree", "source_probe_disagree", "source_entropy"}
-    nla, entropy = got["source_nla_disagree"], got["source_entropy"]
-    assert (nla.n, nla.auroc, nla.tp, nla.fp, nla.tn, nla.fn, nla.precision, nla.recall) == (3, 0.75, 1, 0, 1, 1, 1.0, 0.5)
+    assert got.keys() == {"source_readout_disagree", "source_probe_disagree", "source_entropy"}
+    readout, entropy = got["source_readout_disagree"], got["source_entropy"]
+    assert (readout.n, readout.auroc, readout.tp, readout.fp, readout.tn, readout.fn, readout.precision, readout.recall) == (3, 0.75, 1, 0, 1, 1, 1.0, 0.5)
     assert (entropy.n, entropy.auroc, entropy.tp) == (3, 0.5, None) and entropy.average_precision == pytest.approx(0.5)
 
 
