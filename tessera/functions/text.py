@@ -230,7 +230,8 @@ def cue_spans(text: Column, cues: Column) -> Column:
 def overlapping(spans: Column) -> Column:
     """Whether two of the spans share a sign."""
     by = F.array_sort(F.filter(spans, lambda s: s.isNotNull()))
-    return F.exists(F.sequence(F.lit(1), F.greatest(F.size(by), F.lit(1))), lambda i: F.coalesce(F.get(by, i)["start"] < F.get(by, i - 1)["end"], F.lit(False)))
+    first = F.struct(F.lit(False).alias("met"), F.lit(0).alias("end"))
+    return F.aggregate(by, first, lambda a, s: F.struct((a["met"] | (s["start"] < a["end"])).alias("met"), s["end"].alias("end")), lambda a: a["met"])
 
 
 def put_at(text: Column, span: Column, other: Column) -> Column:
@@ -244,6 +245,14 @@ def cut_at(text: Column, span: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(F.regexp_replace(left, r"\s+", " "), r"\s+([,.;])", "$1"), r",(?:\s*,)+", ","))
 
 
+def taken_out(text: Column, span: Column) -> Column:
+    """``text`` without the span: two spaces as one, no space before a comma or a period, one comma of two that a space parts, nothing blank at the ends; each once from the left, in this order."""
+    left = put_at(text, span, F.lit(""))
+    for found, tidy in (("  ", " "), (" ,", ","), (" .", "."), (", ,", ",")):
+        left = F.replace(left, F.lit(found), F.lit(tidy))
+    return stripped(left)
+
+
 def sentences(x: Column) -> Column:
     """Pieces between an end mark and a capital or digit; not behind an abbreviation."""
     known = F.array(*[F.lit(a) for a in ABBREVIATIONS])
@@ -289,14 +298,29 @@ def segments(x: Column, least: int, most: int, cap: int | None = None) -> Column
     return kept if cap is None else F.slice(kept, 1, cap)
 
 
+#: Words that ask, and what a question to the reader asks about.
+ASKING = ("what", "which", "how")
+ASKED_ABOUT = (r"diagnos\w*", "differential", "mechanism", "management", "next step", "work-?up")
+#: What says that all is as usual.
+FORMULAS = ("unremarkable", "within normal limits", "were normal", "was normal", "no abnormalit", "non-?contributory")
+
+
+#: A sentence with a question mark in which a word that asks comes before one that it asks about.
+QUESTION = rf"(?i)[^.!?]*\b(?:{'|'.join(ASKING)})\b[^.!?]*\b(?:{'|'.join(ASKED_ABOUT)})\b[^.!?]*\?"
+
+
 def without_questions(x: Column) -> Column:
     """Questions put to the reader go."""
-    return collapse(F.regexp_replace(x, r"(?i)[^.!?]*\b(?:what|which|how)\b[^.!?]*\b(?:diagnos\w*|differential|mechanism|management|next step|work-?up)\b[^.!?]*\?", " "))
+    return collapse(F.regexp_replace(x, QUESTION, " "))
+
+
+def asks_reader(x: Column) -> Column:
+    return x.rlike(QUESTION)
 
 
 def is_formula(x: Column) -> Column:
     """Says that all is as usual."""
-    return x.rlike(r"(?i)\b(unremarkable|within normal limits|were normal|was normal|no abnormalit|non-?contributory)\b")
+    return x.rlike(rf"(?i)\b({'|'.join(FORMULAS)})\b")
 
 
 def mentions(text: Column, label: Column) -> Column:
