@@ -70,10 +70,14 @@ def _compatible(x: pd.Series) -> pd.Series:
     return x.str.normalize("NFKC")
 
 
+def compatible(x: Column) -> Column:
+    """Compatible forms of signs. Python is given null for texts in ASCII."""
+    return F.coalesce(_compatible(F.when(x.rlike(r"[^\x00-\x7F]"), x)), x)
+
+
 def plain_signs(x: Column) -> Column:
-    """Compatible forms, straight quotes, hyphens, single spaces. Python is given null for texts in ASCII."""
-    wide = F.coalesce(_compatible(F.when(x.rlike(r"[^\x00-\x7F]"), x)), x)
-    return collapse(F.translate(wide, "’‘“”–—", "''\"\"--"))
+    """Compatible forms, straight quotes, hyphens, single spaces."""
+    return collapse(F.translate(compatible(x), "’‘“”–—", "''\"\"--"))
 
 
 @F.pandas_udf(StringType())
