@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from tessera.plans import cases, evaluation, generation, lookups, prose, quotes, summaries, texts  # noqa: E402, F401  they register their queries
+from tessera.plans import cases, evaluation, generation, lookups, patients, prose, quotes, summaries, texts  # noqa: E402, F401  they register their queries
