@@ -400,7 +400,8 @@ def odd_flags(x: Column, known: tuple[str, ...] = ()) -> Column:
     """Names of the patterns found; codes that are all known don't count."""
     names = []
     for name, pattern in ODD_PATTERNS.items():
-        found = F.regexp_extract_all(x, F.lit(f"({pattern})"), F.lit(1))
+        # letters of any alphabet are part of a word, and only a line end ends a line
+        found = F.regexp_extract_all(x, F.lit(f"(?Ud)({pattern})"), F.lit(1))
         left = F.array_except(found, F.array(*[F.lit(k) for k in known]).cast("array<string>")) if name == "uppercase_code" and known else found
         names.append(F.when(F.size(left) > 0, F.lit(name)))
     return F.filter(F.array(*names), lambda n: n.isNotNull())

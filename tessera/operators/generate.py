@@ -45,23 +45,26 @@ def joined_prompt(cues: Column) -> Column:
 
 
 def with_replacement(cases: DataFrame, base: str, cues: str, vocabulary: DataFrame) -> DataFrame:
-    """``cases`` with replacement: one of all different ones of ``vocabulary`` by hash of ``base``, and the next one as long as it is one of the case's cues in any case; cases without one are left out.
+    """``cases`` with replacement: one of all different ones of ``vocabulary`` by hash of ``base``, or the next one that is none of the case's cues in any case; cases without one are left out.
 
-    Replacements are numbered by counts of ranges of their hash and ranks within one. As many are looked up as cues can rule out, and one more.
+    Spellings that differ in case only are one, its least. They are numbered by counts of ranges of their hash and places within one; what a
+    case rules out are the numbers of its own cues, so it looks up its cues and one replacement, however large the vocabulary is.
     """
-    known = vocabulary.where("replacement IS NOT NULL").distinct().withColumn("_h", F.xxhash64("replacement")).withColumn("_r", F.shiftright("_h", 48))
+    spelt = vocabulary.where("replacement IS NOT NULL").groupBy(F.lower("replacement").alias("_low")).agg(F.min("replacement").alias("replacement"))
+    known = spelt.withColumn("_h", F.xxhash64("_low")).withColumn("_r", F.shiftright("_h", 48))
     sizes = known.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("_r").orderBy("_h", "replacement")) - 1
-    numbered = known.join(sizes, "_r").select((F.col("_before") + place).alias("_number"), "replacement")
-    # spellings of one replacement that differ in case only are ruled out together
-    spellings = known.groupBy(F.lower("replacement")).agg(F.count(F.lit(1)).alias("n"))
-    totals = spellings.agg(F.sum("n").alias("_all"), F.max("n").alias("_most")).where("_all > 0")
-    asked = cases.select(base, F.transform(F.col(cues), F.lower).alias("_cues")).distinct().crossJoin(F.broadcast(totals))
-    asked = asked.withColumn("_try", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_all") - 1, F.size("_cues") * F.col("_most")))))
-    asked = asked.withColumn("_number", F.pmod(F.xxhash64(base) + F.col("_try"), F.col("_all")))
-    free = asked.join(numbered, "_number").where(~F.array_contains("_cues", F.lower("replacement")))
-    return cases.join(free.groupBy(base).agg(F.min_by("replacement", "_try").alias("replacement")), base)
+    place = F.row_number().over(Window.partitionBy("_r").orderBy("_h", "_low")) - 1
+    numbered = known.join(sizes, "_r").select((F.col("_before") + place).alias("_number"), "_low", "replacement")
+    total = spelt.agg(F.count(F.lit(1)).alias("_all")).where("_all > 0")  # one row
+    own = cases.select(base, F.explode(F.transform(F.col(cues), F.lower)).alias("_low")).distinct()
+    taken = own.join(numbered, "_low").groupBy(base).agg(F.collect_set("_number").alias("_taken"))
+    asked = cases.select(base).distinct().join(taken, base, "left").crossJoin(F.broadcast(total))
+    none = F.array().cast("array<long>")
+    asked = asked.withColumn("_taken", F.coalesce("_taken", none)).withColumn("_tries", F.sequence(F.lit(0).cast("long"), F.least(F.col("_all") - 1, F.size("_taken"))))
+    tried = F.transform("_tries", lambda t: F.pmod(F.xxhash64(base) + t, F.col("_all")))
+    free = asked.select(base, F.get(F.array_except(tried, F.col("_taken")), F.lit(0)).alias("_number")).where("_number IS NOT NULL")
+    return cases.join(free.join(numbered.select("_number", "replacement"), "_number").select(base, "replacement"), base)
 
 
 def counterfactual_rows(cases: DataFrame, base: str, cues: str, replacement: str) -> DataFrame:

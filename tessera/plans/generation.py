@@ -11,10 +11,6 @@ from tessera.operators.judging import counterfactual_rates
 from tessera.plans.catalogue import query, table
 
 
-#: Cues of a case whose swaps are asked for: a case gives four rows for each, with its whole prompt.
-MOST = 4
-
-
 def _first_lines(n: int | None) -> Column:
     lines = F.filter(F.transform(F.split("text", "\n"), lambda s: F.btrim(s)), lambda s: s != "")
     return lines if n is None else F.slice(lines, 1, n)
@@ -56,7 +52,13 @@ def position_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.position_rows(_cases(spark, sf_dir, 1), "text", "cues").select("doc_id", "cue_index", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "occurrence")
 
 
-@query("position_rows_all")
+@query(
+    "position_rows_all",
+    f"""WITH RECURSIVE c AS ({_CASES}),
+s AS (SELECT doc_id, 0::BIGINT AS i, 1::BIGINT AS nxt, NULL::BIGINT AS pos, 0::BIGINT AS size FROM c UNION ALL
+  SELECT doc_id, i, CASE WHEN p > 0 THEN p + size ELSE nxt END, p, size FROM (SELECT s.doc_id, s.i + 1 AS i, s.nxt, length(cues[s.i + 1]) AS size, CASE WHEN strpos(substr(text, s.nxt), cues[s.i + 1]) > 0 THEN strpos(substr(text, s.nxt), cues[s.i + 1]) + s.nxt - 1 ELSE strpos(text, cues[s.i + 1]) END AS p FROM s JOIN c USING (doc_id) WHERE s.i < len(cues)))
+SELECT doc_id, (i - 1)::INT AS cue_index, (pos - 1)::INT AS start, (pos - 1 + size)::INT AS "end", ((pos - 1 - length(replace(left(text, pos - 1), cues[i], ''))) // size)::INT AS occurrence FROM s JOIN c USING (doc_id) WHERE i > 0 AND pos > 0""",
+)
 def position_rows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of all lines, each sought from where the one before it ended."""
     return G.position_rows(_cases(spark, sf_dir), "text", "cues").select("doc_id", "cue_index", "start", "end", "occurrence")
@@ -69,7 +71,7 @@ def prompt_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _counterfactuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = table(spark, sf_dir, "benchmark").select(F.substring_index("text", ".", 1).alias("replacement"))
-    return G.counterfactual_rows(G.with_replacement(_cases(spark, sf_dir, MOST), "doc_id", "cues", other), "doc_id", "cues", "replacement")
+    return G.counterfactual_rows(G.with_replacement(_cases(spark, sf_dir), "doc_id", "cues", other), "doc_id", "cues", "replacement")
 
 
 @query("counterfactual_rows")

@@ -95,10 +95,14 @@ def token_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.where("role = 'user'").join(after, ["conv_id", "turn"]).select("conv_id", "turn", X.token_recall(F.col("text"), F.col("said")).alias("recall"))
 
 
-@query("odd_phrases", r"""SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '\?') THEN 'leftover_question_mark' END, CASE WHEN regexp_matches(text, '(?i)\byou(r)?\b') THEN 'second_person' END,
-  CASE WHEN regexp_matches(text, '(?i)\bthe patient\b.*\bthe patient\b') THEN 'double_subject' END, CASE WHEN regexp_matches(text, '\b([A-Z]{2,}\d*|[A-Z]_?\d+)\b') THEN 'uppercase_code' END, CASE WHEN regexp_matches(text, '\(\s*\)') THEN 'empty_parens' END], lambda x: x IS NOT NULL), '|') AS flags FROM documents WHERE lang = 'en'""")
+@query(
+    "odd_phrases",
+    r"""SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(text, '?') THEN 'leftover_question_mark' END, CASE WHEN regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])your?($|[^\p{L}\p{N}_])') THEN 'second_person' END,
+  CASE WHEN regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])the patient[^\p{L}\p{N}_\n](.*[^\p{L}\p{N}_\n])?the patient($|[^\p{L}\p{N}_])') THEN 'double_subject' END, CASE WHEN regexp_matches(text, '(^|[^\p{L}\p{N}_])([A-Z]{2,}\d*|[A-Z]_?\d+)($|[^\p{L}\p{N}_])') THEN 'uppercase_code' END,
+  CASE WHEN regexp_matches(text, '\(\s*\)') THEN 'empty_parens' END], lambda x: x IS NOT NULL), '|') AS flags FROM documents""",
+)
 def odd_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.array_join(X.odd_flags(F.col("text")), "|").alias("flags"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.odd_flags(F.col("text")), "|").alias("flags"))
 
 
 @query("cjk_shares", "SELECT doc_id, coalesce(len(regexp_extract_all(text, '[\\x{3040}-\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{AC00}-\\x{D7AF}]'))::DOUBLE / nullif(length(text), 0), 0) AS cjk FROM documents")
@@ -159,11 +163,21 @@ def shared_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.where("role = 'user'").join(after, ["conv_id", "turn"]).select("conv_id", "turn", X.longest_shared_run(F.col("text"), F.col("said")).alias("run"))
 
 
-@query("scored_readouts")
+def _hits(text: str) -> str:
+    return f"len(list_filter([{', '.join(_has(text, t) for t in TERMS)}], lambda h: h))"
+
+
+@query(
+    "scored_readouts",
+    rf"""WITH o AS (SELECT item_id, trim(regexp_replace(split_part(text, '.', 1), '\s+', ' ', 'g')) AS ans, trim(regexp_replace(text, '\s+', ' ', 'g')) AS obs FROM benchmark),
+l AS (SELECT *, ans || '<' || obs AS whole, list_filter(list_transform(string_split_regex(obs, '[;,]'), lambda p: trim(p, ' -*•')), lambda p: length(p) >= 2) AS items FROM o)
+SELECT item_id, {_hits('ans')} > 0 AS answer_hit, {_hits('whole')} > 0 AS output_hit, {_hits('obs')} / {len(TERMS)}::DOUBLE AS cue_recall, {_hits('whole')} / {len(TERMS)}::DOUBLE AS output_cue_recall,
+  len(list_filter(items, lambda i: {' OR '.join(f"contains('{t}', lower(i)) OR contains(lower(i), '{t}')" for t in TERMS)}))::DOUBLE / nullif(len(items), 0) AS cue_precision FROM l""",
+)
 def scored_readout_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark texts dressed as readouts, scored against terms."""
-    answer = F.concat(F.lit("<readout><answer>"), F.substring("text", 1, 40), F.lit("</answer><observed>"), F.col("text"), F.lit("</observed></readout>"))
-    rows = table(spark, sf_dir, "benchmark").select("item_id", answer.alias("output"), F.slice(_terms(), 1, 3).alias("aliases"), F.slice(_terms(), 2, 4).alias("cues"))
+    """Benchmark texts dressed as readouts that answer with their first sentence, scored against all terms."""
+    answer = F.concat(F.lit("<readout><answer>"), F.substring_index("text", ".", 1), F.lit("</answer><observed>"), F.col("text"), F.lit("</observed></readout>"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", answer.alias("output"), _terms().alias("aliases"), _terms().alias("cues"))
     return scored_readouts(rows, "output", "aliases", "cues").select("item_id", "answer_hit", "output_hit", "cue_recall", "output_cue_recall", "cue_precision")
 
 
