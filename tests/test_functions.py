@@ -72,6 +72,7 @@ def texts(*words):
         (lambda: X.cut_chain(F.lit("One. Two. Three"), F.lit(0.7)), "One. Two."),
         (lambda: X.cjk_share(F.lit("漢字ab")), 0.5),
         (lambda: X.cjk_share(F.lit("")), 0.0),
+        (lambda: X.odd_flags(F.lit("äyou, üV_29 (x)")), []),
         (lambda: X.odd_flags(F.lit("You saw V_29 ( )?")), ["leftover_question_mark", "second_person", "uppercase_code", "empty_parens"]),
         (lambda: X.quotes(F.lit('said "a long quoted part" and “short”')), ["a long quoted part"]),
         (lambda: X.longest_shared_run(F.lit("the sharp chest pain"), F.lit("a sharp chest ache")), 2),

@@ -1,5 +1,6 @@
 """Cases of prose and groups of edited spans, against cases worked out by hand and a plain walk over a table."""
 
+import html
 import re
 import unicodedata
 
@@ -10,6 +11,7 @@ from tessera.functions import text as X
 from tessera.operators import prose as P
 from tessera.operators.auditing import violations
 from tessera.plans import prose as Q
+from tessera.plans import texts
 
 SF = "/root/testdata/sf0.001"
 TEXT = "A baker of 51 had a dull ache in the left heel. The ache came on after long shifts at the oven, and it faded during rest. Blood counts were normal on both visits. What is the most likely diagnosis?"
@@ -99,6 +101,11 @@ def walk(text, label):
     text = " ".join(text.split())
     if not text or not label or label.lower() in text.lower():
         return None
+    cues = clauses_of(text, 4, 25)
+    return cues if len(cues) >= 3 else None
+
+
+def clauses_of(text, least, most):
     parts, start = [], 0
     for i in range(1, len(text) - 1):
         if text[i] == " " and text[i - 1] in ".!?" and (text[i + 1].isdigit() or "A" <= text[i + 1] <= "Z"):
@@ -114,15 +121,15 @@ def walk(text, label):
             whole.append(part)
     cues = []
     for sentence in whole:
-        pieces = [sentence] if len(sentence.split()) <= 25 else [p.strip(" ,;") for p in re.split(r"; |, (?=(?:and|with|which|who|but) )", sentence)]
+        pieces = [sentence] if len(sentence.split()) <= most else [p.strip(" ,;") for p in re.split(r"; |, (?=(?:and|with|which|who|but) )", sentence)]
         for piece in pieces:
             words = piece.strip().strip(".,;:!? ").split()
-            while len(words) > 4 and words[0].lower().strip(",") in X.CONNECTIVES:
+            while len(words) > least and words[0].lower().strip(",") in X.CONNECTIVES:
                 del words[0]
             cue = " ".join(words)
-            if 4 <= len(words) <= 25 and cue in text and re.search("[A-Za-z]{3}", cue) and not any(cue.lower() in c.lower() or c.lower() in cue.lower() for c in cues):
+            if least <= len(words) <= most and cue in text and re.search("[A-Za-z]{3}", cue) and not any(cue.lower() in c.lower() or c.lower() in cue.lower() for c in cues):
                 cues.append(cue)
-    return cues if len(cues) >= 3 else None
+    return cues
 
 
 def test_cases_of_the_table(spark):
@@ -134,3 +141,19 @@ def test_cases_of_the_table(spark):
         if cues is not None:
             want[str(number)] = cues
     assert {r["case_id"]: r["cue_targets"] for r in Q.prose_cases(spark, SF).collect()} == want and want
+
+
+def test_segments_of_the_table(spark):
+    items = duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall()
+    want = {i: clauses_of(" ".join(t.split()), 4, 14) for i, t in items}
+    assert {r["item_id"]: r["segments"] for r in texts.sentence_segments(spark, SF).collect()} == want and any(want.values())
+
+
+def test_titles_of_the_table(spark):
+    def title(page):
+        found = re.search(r"<title>(.*?)</title>", page or "", re.S | re.I)
+        text = unicodedata.normalize("NFKC", html.unescape(found.group(1))) if found else None
+        return found and " ".join(text.translate(str.maketrans("’‘“”–—", "''\"\"--")).split())
+
+    pages = duckdb.sql(f"SELECT page_id, html FROM '{SF}/pages.parquet'").fetchall()
+    assert {r["page_id"]: r["title"] for r in texts.plain_titles(spark, SF).collect()} == {i: title(p) for i, p in pages}
