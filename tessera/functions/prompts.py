@@ -13,6 +13,9 @@ ANSWER_FORMAT = 'You MUST end your response with exactly "The answer is <diagnos
 ANSWER_CUE = "The answer is"
 DIRECT = f"What is the single most likely diagnosis?\n\n{ANSWER_FORMAT}"
 REASONED = f"Work through this case as a natural reasoning process.\n\nThink about:\n- What the key clinical findings suggest\n- Which diagnoses fit the presentation and which do not\n- Whether your conclusion holds up under scrutiny\n\n{ANSWER_FORMAT}"
+#: What stands before a question that is to be answered with a diagnosis, with and without a reason.
+FIRST_ANSWER = "Answer the clinical question with the most likely diagnosis or syndrome first"
+QUESTION = "\n\nQuestion: "
 INSTRUCTIONS = {"direct": DIRECT, "cot": REASONED}
 
 
@@ -57,12 +60,17 @@ def early_answer(prefix: Column, chain: Column, share: Column) -> Column:
 
 
 def asked(prompt: Column, mode: Column) -> Column:
-    """``prompt`` as it is (raw), with the answer asked for first, or with a closed question; another mode is an error."""
-    first = F.concat(prompt, F.lit("\n\nState the most likely diagnosis first, then explain."))
-    closed = F.concat(prompt, F.lit("\n\nQuestion: what is the single most likely diagnosis? Answer with its name only."))
-    return _known(mode, {"raw": prompt, "diagnosis_first": first, "closed": closed})
+    """``prompt`` as it is (raw), or as a question whose answer is to start with the diagnosis, with a reason (diagnosis_first) or without one (question); another mode is an error."""
+    reasoned = F.concat(F.lit(f"{FIRST_ANSWER}, in one short sentence. Then give one brief reason.{QUESTION}"), prompt)
+    return _known(mode, {"raw": prompt, "diagnosis_first": reasoned, "question": F.concat(F.lit(f"{FIRST_ANSWER}.{QUESTION}"), prompt)})
 
 
 def surface(prefix: Column, name: Column) -> Column:
     """A candidate as it follows ``prefix``: a space before it unless that is empty or ends in one."""
     return F.when((F.coalesce(prefix, F.lit("")) == "") | prefix.rlike(r"\s$"), name).otherwise(F.concat(F.lit(" "), name))
+
+
+def option_surface(number: Column, name: Column, style: Column) -> Column:
+    """A numbered option as an answer gives it: its number, or number and name (number_and_name); another style is an error."""
+    n = number.cast("string")
+    return _known(style, {"number": n, "number_and_name": F.concat(n, F.lit(". "), name)})

@@ -34,12 +34,27 @@ def cut(cases: DataFrame, group: str, case: str, seed: str, train: float, val: f
     return ranked.select(case, group, split.alias("split"))
 
 
-def held_out_groups(frame: DataFrame, group: str, case: str, seed: str, n_held: int, train: float = 0.8, val: float = 0.1) -> DataFrame:
-    """case, group, split: all cases of the first ``n_held`` groups by hash are heldout, those of the others are cut."""
-    groups = frame.select(group).distinct()
-    held = groups.orderBy(seeded(seed, group), group).limit(n_held).withColumn("_held", F.lit(True))
+def held_out_groups(frame: DataFrame, group: str, case: str, seed: str, n_held: int | None = None, train: float = 0.8, val: float = 0.1, named: list[str] | None = None, share: float | None = None) -> DataFrame:
+    """case, group, split: all cases of some groups are heldout, those of the others are cut.
+
+    Held out are the groups ``named``, else the first ``n_held`` by hash, else the first ``share`` of all, rounded half to even. An unknown name
+    and a number that leaves no group on either side are errors. Groups are counted first, by a job that sends a row for each.
+    """
+    groups = frame.select(group).where(F.col(group).isNotNull()).distinct()
+    if named is not None:
+        held = groups.where(F.col(group).isin(named))
+        if held.count() < len(set(named)):
+            known = {r[0] for r in held.collect()}  # at most the names given
+            raise ValueError(f"unknown groups: {sorted(set(named) - known)}")
+        n_held = len(set(named))
+    total = groups.count()
+    n = n_held if n_held is not None else round(total * (share or 0))
+    if not 0 < n < total:
+        raise ValueError(f"{n} groups to hold out of {total}")
+    if named is None:
+        held = groups.orderBy(seeded(seed, group), group).limit(n)
     cases = stratified(frame, group, case, seed, train, val)
-    return cases.join(F.broadcast(held), group, "left").select(case, group, F.when(F.col("_held"), "heldout").otherwise(F.col("split")).alias("split"))  # n_held rows
+    return cases.join(held.withColumn("_held", F.lit(True)), group, "left").select(case, group, F.when(F.col("_held"), "heldout").otherwise(F.col("split")).alias("split"))
 
 
 def aligned(frame: DataFrame, group: str, case: str, good: Column, least: int, seed: str, train: float = 0.8, val: float = 0.1) -> DataFrame:

@@ -33,15 +33,36 @@ def entity_rows(prompts: DataFrame, prompt: str, target: str, strategies: tuple[
 
 
 def distractor_rows(pairs: DataFrame) -> DataFrame:
-    """Nine rows of each pair (original_prompt, distractor_prompt, primary_target, distractor_target): the original, the distractor after and before, and a neutral sentence before."""
+    """Nine rows of each pair (original_prompt, distractor_prompt, primary_target, distractor_target): the original, the distractor after and before, and a neutral sentence before.
+
+    A pair may bring its neutral_sentence, its insertion_type, and an id, which becomes base_id and, with the variant, the rows' id.
+    """
+    own = lambda name, other: F.coalesce(F.col(name), F.lit(other)) if name in pairs.columns else F.lit(other)
     original, after = F.col("original_prompt"), F.col("distractor_prompt")
     primary, entity = F.col("primary_target"), F.col("distractor_target")
     before = context_first(inserted_sentence(original, after), original)
-    neutral = context_first(F.lit(NEUTRAL), original)
+    neutral = context_first(own("neutral_sentence", NEUTRAL), original)
     specs = [("original", "none", original, ("primary",)), ("after_distractor", "after_primary", after, ("primary", "entity", "format")), ("before_distractor", "before_primary", before, ("primary", "entity", "format")), ("before_neutral", "before_primary", neutral, ("primary", "format"))]
     target = {"primary": primary, "entity": entity, "format": None}
     rows = [_row(f"{condition}_{kind}", prompt, target[kind], condition=F.lit(condition), condition_order=F.lit(order)) for condition, order, prompt, kinds in specs for kind in kinds]
-    return _spread(pairs, F.array(*rows))
+    out = _spread(pairs.withColumn("insertion_type", own("insertion_type", "prepend_sentence")), F.array(*rows))
+    return out.withColumns({"base_id": F.col("id"), "id": F.concat(F.col("id").cast("string"), F.lit("__"), F.col("variant"))}) if "id" in pairs.columns else out
+
+
+def specificity_cases(cases: DataFrame, keys: tuple[str, ...] = ("id", "base_id")) -> DataFrame:
+    """``cases`` of either form as one: base_id is the first of ``keys`` that says something, specific_targets the list or the three specific_cue columns, diagnostic_shift "a_to_b" of nonspecific_target and specific_expected unless it is there."""
+    have = set(cases.columns)
+    said = [F.when(F.col(k).cast("string") != "", F.col(k).cast("string")) for k in keys if k in have]
+    three = F.array(*[F.col(f"specific_cue_{i}") for i in (1, 2, 3)]) if "specific_targets" not in have else F.col("specific_targets")
+    named = lambda c: F.translate(c, " ", "_")
+    shift = F.col("diagnostic_shift") if "diagnostic_shift" in have else F.concat(named(F.col("nonspecific_target")), F.lit("_to_"), named(F.col("specific_expected")))
+    return cases.withColumns({"base_id": F.coalesce(*said), "specific_targets": three, "diagnostic_shift": shift}).drop("specific_cue_1", "specific_cue_2", "specific_cue_3")
+
+
+def control_rows(rows: DataFrame, kind: str) -> DataFrame:
+    """``rows`` as controls of a kind, with where they come from: control_type, original_id, original_activation_path (null where there is no such column)."""
+    of = lambda name: F.col(name) if name in rows.columns else F.lit(None).cast("string")
+    return rows.withColumns({"control_type": F.lit(kind), "original_id": of("id"), "original_activation_path": of("activation_path")})
 
 
 def specificity_rows(cases: DataFrame) -> DataFrame:

@@ -129,13 +129,17 @@ def patient_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "answer_prompts",
-    f"""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN text || chr(10) || chr(10) || 'State the most likely diagnosis first, then explain.' ELSE text || chr(10) || chr(10) || 'Question: what is the single most likely diagnosis? Answer with its name only.' END AS asked,
+    f"""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN 'Answer the clinical question with the most likely diagnosis or syndrome first, in one short sentence. Then give one brief reason.' || chr(10) || chr(10) || 'Question: '
+  ELSE 'Answer the clinical question with the most likely diagnosis or syndrome first.' || chr(10) || chr(10) || 'Question: ' END || text AS asked, CASE turn % 2 WHEN 0 THEN conv_id::VARCHAR ELSE conv_id || '. ' || role END AS option,
  {_sql(P.ROLE)} || ' A patient presents as follows:' || chr(10) || chr(10) || trim(text) AS prose, text || CASE WHEN text = '' OR regexp_matches(text, '\\s$') THEN role ELSE ' ' || role END AS followed FROM conversations""",
 )
 def answer_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mode = F.get(F.array(*[F.lit(m) for m in ("raw", "diagnosis_first", "closed")]), F.pmod("turn", F.lit(3)).cast("int"))
+    mode = F.get(F.array(*[F.lit(m) for m in ("raw", "diagnosis_first", "question")]), F.pmod("turn", F.lit(3)).cast("int"))
+    style = F.when(F.pmod("turn", F.lit(2)) == 0, "number").otherwise("number_and_name")
     text = F.col("text")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", P.asked(text, mode).alias("asked"), P.as_written(text).alias("prose"), F.concat(text, P.surface(text, F.col("role"))).alias("followed"))
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", P.asked(text, mode).alias("asked"), P.option_surface(F.col("conv_id"), F.col("role"), style).alias("option"), P.as_written(text).alias("prose"), F.concat(text, P.surface(text, F.col("role"))).alias("followed")
+    )
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +208,7 @@ _NEUTRAL = f"{_sql(V.NEUTRAL)} || ' ' || original"
 @query(
     "distractor_rows",
     f"""WITH p AS (SELECT p_partkey, p_name AS a, p_brand AS b, 'Patient has ' || p_name || '. What is it?' AS original, 'Patient has ' || p_name || '. Also has ' || p_brand || '. What is it?' AS changed, 'Also has ' || p_brand || '.' AS extra FROM part)
-SELECT p_partkey, v.variant, v.condition, v.ord AS condition_order, CASE v.k WHEN 'primary' THEN a WHEN 'entity' THEN b END AS target_text, CASE v.condition WHEN 'original' THEN original WHEN 'after_distractor' THEN changed WHEN 'before_distractor' THEN extra || ' ' || original ELSE {_NEUTRAL} END AS prompt
+SELECT p_partkey, v.variant, v.condition, v.ord AS condition_order, CASE v.k WHEN 'primary' THEN a WHEN 'entity' THEN b END AS target_text, CASE v.condition WHEN 'original' THEN original WHEN 'after_distractor' THEN changed WHEN 'before_distractor' THEN extra || ' ' || original ELSE CASE WHEN p_partkey % 2 = 0 THEN 'Seen by ' || b || '.' || ' ' || original ELSE {_NEUTRAL} END END AS prompt, p_partkey || '__' || v.variant AS id, 'prepend_sentence' AS insertion_type
 FROM p CROSS JOIN (VALUES ('original_primary', 'original', 'none', 'primary'), ('after_distractor_primary', 'after_distractor', 'after_primary', 'primary'), ('after_distractor_entity', 'after_distractor', 'after_primary', 'entity'), ('after_distractor_format', 'after_distractor', 'after_primary', 'format'),
 ('before_distractor_primary', 'before_distractor', 'before_primary', 'primary'), ('before_distractor_entity', 'before_distractor', 'before_primary', 'entity'), ('before_distractor_format', 'before_distractor', 'before_primary', 'format'), ('before_neutral_primary', 'before_neutral', 'before_primary', 'primary'), ('before_neutral_format', 'before_neutral', 'before_primary', 'format')) v(variant, condition, ord, k)""",
 )
@@ -213,9 +217,9 @@ def distractor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     say = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
     pairs = table(spark, sf_dir, "part").select(
         "p_partkey", say("Patient has ", name, ". What is it?").alias("original_prompt"), say("Patient has ", name, ". Also has ", brand, ". What is it?").alias("distractor_prompt"),
-        name.alias("primary_target"), brand.alias("distractor_target"),
+        name.alias("primary_target"), brand.alias("distractor_target"), F.when(F.pmod("p_partkey", F.lit(2)) == 0, say("Seen by ", brand)).alias("neutral_sentence"), F.col("p_partkey").alias("id"),
     )
-    return V.distractor_rows(pairs).select("p_partkey", "variant", "condition", "condition_order", "target_text", "prompt")
+    return V.distractor_rows(pairs).select("p_partkey", "id", "variant", "condition", "condition_order", "insertion_type", "target_text", "prompt")
 
 
 @query(
