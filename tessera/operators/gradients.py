@@ -6,8 +6,10 @@ and what comes back is a sum of their size, from each task by way of a tree. The
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +20,9 @@ from pyspark.sql import functions as F
 from tessera.sources.scratch import written
 
 #: Rows of a block; partitions whose sums the driver adds up itself; bytes of blocks for a task, as a step is short; bytes of blocks that
-#: the driver goes through itself, as a job for each of thousands of steps takes longer than a few MB of sums.
-BLOCK, FEW, TASK, HERE = 4096, 64, 8_000_000, 8_000_000
+#: the driver goes through itself, as a job for each of thousands of steps takes longer than a few MB of sums; bytes of batches that a task
+#: steps through in a row; epochs after which what was dealt is let go.
+BLOCK, FEW, TASK, HERE, RUN, LET_GO = 4096, 64, 8_000_000, 8_000_000, 16_000_000, 8
 
 Block = dict[str, np.ndarray]
 
@@ -164,12 +167,41 @@ class Softmax:
         return e / e.sum(1, keepdims=True)
 
 
+@dataclass(frozen=True)
+class State:
+    """A model on its way by AdamW: weights and bias, the means and squares of their slopes, and the steps taken."""
+
+    weights: np.ndarray
+    bias: np.ndarray
+    means: tuple = (0.0, 0.0)
+    squares: tuple = (0.0, 0.0)
+    taken: int = 0
+
+    def slopes(self, x: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over rows."""
+        gap = Softmax.shares(Softmax.logits(x, self.weights, self.bias))
+        gap[np.arange(len(x)), label] -= 1
+        return gap.T @ x, gap.sum(0)
+
+    def moved(self, of_w: np.ndarray, of_b: np.ndarray, rate: float, decay: float) -> State:
+        t = self.taken + 1
+        means = tuple(0.9 * m + 0.1 * g for m, g in zip(self.means, (of_w, of_b), strict=True))
+        squares = tuple(0.999 * v + 0.001 * g**2 for v, g in zip(self.squares, (of_w, of_b), strict=True))
+        new = [p * (1 - rate * decay) - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8) for p, m, v in zip((self.weights, self.bias), means, squares, strict=True)]
+        return State(*new, means, squares, t)
+
+    def after(self, x: np.ndarray, label: np.ndarray, rate: float, decay: float) -> State:
+        """One step on a batch."""
+        return self.moved(*(g / len(x) for g in self.slopes(x, label)), rate, decay)
+
+
 def fit_softmax(rows: DataFrame, size: int, classes: int, groups: int, epochs: int = 80, rate: float = 1e-3, decay: float = 1e-2, batch: int = 512, seed: int = 17) -> dict[str, np.ndarray]:
     """A linear softmax model for each group, by AdamW over seeded batches; of all epochs the first with the most right answers on the validation rows counts.
 
     ``rows``: group and label (from 0), x (array of ``size`` doubles), part (0 train, 1 validation), number (a long that tells a group's rows apart). Features are
-    standardised by the training rows (sample deviation, at least 1e-6). An epoch takes the rows in batches of about ``batch``, for all groups in the same
-    passes; as each step is a pass over the blocks, take a batch that grows with the rows. Gives weights, bias, mean, spread and epoch (0: none was better than another) by group.
+    standardised by the training rows (sample deviation, at least 1e-6). An epoch deals the rows to runs of batches of about ``batch``; a task steps through one run
+    (about ``RUN`` bytes) of a group and hands the model on, so an epoch is one pass however many steps it has. Where a run can't hold a batch, each step is a pass
+    over all blocks. Gives weights, bias, mean, spread and epoch (0: none was better than another) by group.
     """
     data = blocks(rows.select(F.col("group").cast("int"), F.col("label").cast("int"), F.col("x").cast("array<double>"), F.col("part").cast("int"), F.col("number").cast("long")))
 
@@ -196,39 +228,76 @@ def fit_softmax(rows: DataFrame, size: int, classes: int, groups: int, epochs: i
     spread = np.maximum(np.sqrt((total(data, second) or [np.zeros((groups, size))])[0] / np.maximum(n - 1, 1)[:, None]), 1e-6)
     rng, edge = np.random.default_rng(seed), 1 / np.sqrt(size)
     weights, bias = (np.repeat(rng.uniform(-edge, edge, (1, *shape)), groups, 0) for shape in ((classes, size), (classes,)))  # all groups start alike
-    state = [np.zeros_like(weights), np.zeros_like(bias), np.zeros_like(weights), np.zeros_like(bias)]
+    states = [State(weights[g].copy(), bias[g].copy()) for g in range(groups)]
     batches = np.maximum(np.ceil(n / batch).astype(int), 1)
-    taken = np.zeros(groups, int)
+    each = max(RUN // (8 * size * max(batch, 1)), 1)  # steps of a run
+    runs = -(-batches // each)
     best, right = {"weights": weights.copy(), "bias": bias.copy(), "epoch": np.zeros(groups, int)}, np.full(groups, -1.0)
-    for epoch in range(1, epochs + 1):
-        for step in range(int(batches.max(initial=1))):
 
-            def gradient(block: Block, weights=weights, bias=bias, epoch=epoch, step=step) -> list[np.ndarray]:
+    def deal(block: Block, epoch: int) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+        """A block's training rows by run and group: steps, numbers, labels and features, in single precision where that is the same."""
+        for g, i in by_group(block, block["part"] == 0):
+            steps = batch_of(block["number"][i], seed, epoch, batches[g])
+            for r in np.unique(steps // each):
+                on = steps // each == r
+                x = block["x"][i[on]]
+                short = x.astype(np.float32)
+                yield int(r) * groups + g, (steps[on], block["number"][i[on]], block["label"][i[on]], short if np.array_equal(short, x, equal_nan=True) else x)
+
+    def through(parts: list[tuple[np.ndarray, ...]], g: int, state: State) -> State:
+        """The state after a run's steps, rows of a step in order of number."""
+        steps, number, label, x = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((number, steps))
+        for i in np.split(order, np.flatnonzero(np.diff(steps[order])) + 1):
+            state = state.after((x[i] - mean[g]) / spread[g], label[i], rate, decay)
+        return state
+
+    whole = 8 * size * batch <= RUN  # whether a task may hold a batch
+    for epoch in range(1, epochs + 1):
+        if isinstance(data, list) and whole:
+            dealt: dict[int, list] = {}
+            for block in data:
+                for key, rows_of in deal(block, epoch):
+                    dealt.setdefault(key, []).append(rows_of)
+            for key in sorted(dealt):
+                states[key % groups] = through(dealt.pop(key), key % groups, states[key % groups])
+        elif whole:
+            # each run of a group is a partition; a job goes through a run of all groups, and models go from one to the next
+            laid = data.flatMap(lambda block, epoch=epoch: deal(block, epoch)).partitionBy(int(runs.max(initial=1)) * groups, int)
+            for r in range(int(runs.max(initial=0))):
+                now = [r * groups + g for g in range(groups) if r < runs[g]]
+
+                def walk(found: Iterator, states=tuple(states)) -> Iterator[tuple[int, State]]:
+                    parts = list(found)
+                    if parts:
+                        g = parts[0][0] % groups
+                        yield g, through([p for _, p in parts], g, states[g])
+
+                for g, state in data.context.runJob(laid, walk, now):
+                    states[g] = state
+            if epoch % LET_GO == 0:
+                del laid, walk
+                gc.collect()
+                data.context._jvm.System.gc()  # Spark lets go of shuffles that nothing names any more
+        for step in range(0 if whole else int(batches.max(initial=1))):
+
+            def gradient(block: Block, states=tuple(states), epoch=epoch, step=step) -> list[np.ndarray]:
                 of_w, of_b, count = np.zeros_like(weights), np.zeros_like(bias), np.zeros(groups)
                 for g, i in by_group(block, block["part"] == 0):
                     i = i[batch_of(block["number"][i], seed, epoch, batches[g]) == step]
                     if len(i):
-                        x = (block["x"][i] - mean[g]) / spread[g]
-                        gap = Softmax.shares(Softmax.logits(x, weights[g], bias[g]))
-                        gap[np.arange(len(i)), block["label"][i]] -= 1
-                        of_w[g] += gap.T @ x
-                        of_b[g] += gap.sum(0)
+                        w, b = states[g].slopes((block["x"][i] - mean[g]) / spread[g], block["label"][i])
+                        of_w[g] += w
+                        of_b[g] += b
                         count[g] += len(i)
                 return [of_w, of_b, count]
 
             sums = total(data, gradient)
             if sums is None:
                 break
-            on = sums[2] > 0
-            taken = taken + on
-            weights, bias = weights.copy(), bias.copy()
-            for k, x in enumerate((weights, bias)):
-                g = sums[k][on] / sums[2][on].reshape(-1, *[1] * (x.ndim - 1))
-                one, two = state[k], state[k + 2]
-                one[on] = 0.9 * one[on] + 0.1 * g
-                two[on] = 0.999 * two[on] + 0.001 * g**2
-                t = taken[on].reshape(-1, *[1] * (x.ndim - 1))
-                x[on] = x[on] * (1 - rate * decay) - rate * (one[on] / (1 - 0.9**t)) / (np.sqrt(two[on] / (1 - 0.999**t)) + 1e-8)
+            for g in np.flatnonzero(sums[2]):
+                states[g] = states[g].moved(sums[0][g] / sums[2][g], sums[1][g] / sums[2][g], rate, decay)
+        weights, bias = (np.stack([getattr(s, name) for s in states]) if groups else x for name, x in (("weights", weights), ("bias", bias)))
 
         def hits(block: Block, weights=weights, bias=bias) -> list[np.ndarray]:
             out = np.zeros((2, groups))

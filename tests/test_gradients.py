@@ -107,3 +107,34 @@ def test_probe_equals_numpy(spark, where):
     assert (test.n, test.best_epoch, test.chance) == ((split == "test").sum(), at, 0.25) and len(told) == 6
     mine = split == "test"
     assert test.accuracy == pytest.approx((z[mine].argmax(1) == y[mine]).mean()) and test.loss == pytest.approx(-np.log(share[mine, y[mine]]).mean(), abs=1e-9)
+
+
+def probed(spark, batch):
+    rng = np.random.default_rng(6)
+    y = rng.integers(0, 3, 400)
+    x = rng.normal(0, 1, (400, 5)) + np.eye(3, 5)[y]
+    frame = spark.createDataFrame([(i % 2, int(y[i]), x[i].tolist(), int(i % 5 == 0), i) for i in range(400)], "group int, label int, x array<double>, part int, number long").repartition(3)
+    context = spark.sparkContext
+    context.setJobGroup(f"probe{batch}", "probe")
+    try:
+        return G.fit_softmax(frame, 5, 3, 2, epochs=3, rate=0.05, batch=batch), len(context.statusTracker().getJobIdsForGroup(f"probe{batch}"))
+    finally:
+        context.setJobGroup("", "")
+
+
+def test_an_epoch_takes_as_many_jobs_for_any_number_of_steps(spark, monkeypatch):
+    for name, value in (("HERE", 0), ("TASK", 4000), ("BLOCK", 37)):
+        monkeypatch.setattr(G, name, value)
+    (_, few), (_, many) = probed(spark, 80), probed(spark, 4)
+    assert many == few
+
+
+def test_runs_and_passes_give_the_same_model(spark, monkeypatch):
+    here, _ = probed(spark, 32)
+    for name, value in (("HERE", 0), ("TASK", 4000), ("BLOCK", 37), ("RUN", 0)):
+        monkeypatch.setattr(G, name, value)
+    passes, _ = probed(spark, 33)
+    monkeypatch.setattr(G, "RUN", 8 * 5 * 34)  # one step a run
+    runs, _ = probed(spark, 33)
+    for name in here:
+        assert np.allclose(passes[name], runs[name], atol=1e-12) and here[name].shape == runs[name].shape
