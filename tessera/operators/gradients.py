@@ -27,8 +27,8 @@ BLOCK, FEW, TASK, HERE, RUN, LET_GO = 4096, 64, 8_000_000, 8_000_000, 16_000_000
 Block = dict[str, np.ndarray]
 
 
-def blocks(frame: DataFrame) -> RDD | list[Block]:
-    """``frame``, whose columns are numbers or arrays of equally many numbers, as arrays of at most BLOCK rows by column."""
+def blocks(frame: DataFrame, heavy: int = 1) -> RDD | list[Block]:
+    """``frame``, whose columns are numbers or arrays of equally many numbers, as arrays of at most BLOCK rows by column. Where a byte is more work, ``heavy`` times fewer go to a task."""
     names = frame.columns
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +54,7 @@ def blocks(frame: DataFrame) -> RDD | list[Block]:
     size = packed.agg(F.sum(F.octet_length("block")).alias("n")).first()["n"] or 0
     if size <= HERE:
         return [unpack(row) for row in packed.collect()]
-    return packed.coalesce(math.ceil(size / TASK)).rdd.map(unpack).persist(StorageLevel.MEMORY_AND_DISK)
+    return packed.repartition(math.ceil(size * heavy / TASK)).rdd.map(unpack).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def released(data: RDD | list[Block]) -> None:
@@ -85,17 +85,13 @@ def total(data: RDD | list[Block], part: Callable[[Block], list[np.ndarray]]) ->
     return out
 
 
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-
-
 def fit_logistic(rows: DataFrame, n_features: int, sets: list[list[int]], n_folds: int, epochs: int, rate: float, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Weights, biases, means and deviations of a model for each set of features and fold, in that order, fitted on the other folds by full gradient steps from zero; the bias isn't penalised.
 
     ``rows``: x (array of doubles, null where missing), y (0 or 1), fold. A set's models leave out rows that lack one of its features; features
     are standardised by the rows that a model is fitted on (population deviation, 1 where it is tiny).
     """
-    data = blocks(rows.select(F.col("x").cast("array<double>"), F.col("y").cast("double"), F.col("fold").cast("int")))
+    data = blocks(rows.select(F.col("x").cast("array<double>"), F.col("y").cast("double"), F.col("fold").cast("int")), heavy=4)
     uses = np.zeros((len(sets) * n_folds, n_features), bool)
     for s, features in enumerate(sets):
         uses[s * n_folds : (s + 1) * n_folds, features] = True
@@ -126,22 +122,36 @@ def fit_logistic(rows: DataFrame, n_features: int, sets: list[list[int]], n_fold
     spread = np.sqrt((total(data, second) or [np.zeros(uses.shape)])[0] / n[:, None])
     spread = np.where(uses & (spread >= 1e-8), spread, 1)
     weights, bias = np.zeros(uses.shape), np.zeros(len(uses))
+
+    def ready(block: Block) -> Block:
+        """What a step needs of a block, worked out once: features from the middle, so that little is lost in the differences below, and the models' rows."""
+        x, on = seen(block)
+        x = x - middle
+        return {"x": x, "by_feature": np.ascontiguousarray(x.T), "on": np.ascontiguousarray(on.T > 0), "y": block["y"]}
+
+    rows_of = [ready(block) for block in data] if isinstance(data, list) else data.map(ready).persist(StorageLevel.MEMORY_AND_DISK)
     for _ in range(epochs):
         slope = weights / spread
         shift = bias - (slope * (mean - middle)).sum(1)
 
         def step(block: Block, slope=slope, shift=shift) -> list[np.ndarray]:
-            x, on = seen(block)
-            x = x - middle  # so that little is lost in the differences below
-            gap = (_sigmoid(x @ slope.T + shift) - block["y"][:, None]) * on
-            return [gap.T @ x, gap.sum(0)]
-
-        sums = total(data, step)
+            gap = -slope @ block["by_feature"]  # a row a model, in place from here on
+            gap -= shift[:, None]
+            np.clip(gap, -40, 40, out=gap)
+            np.exp(gap, out=gap)
+            gap += 1
+            np.reciprocal(gap, out=gap)
+            gap -= block["y"]
+            gap *= block["on"]
+            return [gap @ block["x"], gap.sum(1)]
+
+        sums = total(rows_of, step)
         if sums is None:
             break
         gradient = np.where(uses, (sums[0] - sums[1][:, None] * (mean - middle)) / spread / n[:, None], 0)
         weights = weights - rate * (gradient + penalty * weights)
         bias = bias - rate * sums[1] / n
+    released(rows_of)
     released(data)
     return weights, bias, mean, spread
 
