@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import cue_spans
+from tessera.functions.text import counted_cue_spans
 
 
 def cue_and_format_rows(cases: DataFrame, cues: str, most: int) -> DataFrame:
@@ -33,11 +33,9 @@ def by_count(cases: DataFrame, cues: str, counts: list[int | None], place: Colum
 
 def position_rows(cases: DataFrame, prompt: str, cues: str) -> DataFrame:
     """A row a cue that is in the prompt: cue_index (from 0), cue, start, end, occurrence (places of the cue before its own)."""
-    spans = cases.withColumn("_s", cue_spans(F.col(prompt), F.col(cues)))
+    spans = cases.withColumn("_s", counted_cue_spans(F.col(prompt), F.col(cues)))
     out = spans.select(*cases.columns, F.posexplode("_s").alias("cue_index", "_span")).where("_span IS NOT NULL").withColumn("cue", F.get(F.col(cues), F.col("cue_index")))
-    before = F.substring(F.col(prompt), F.lit(1), F.col("_span.start"))
-    occurrence = F.try_divide(F.length(before) - F.length(F.replace(before, F.col("cue"), F.lit(""))), F.length("cue")).cast("int")
-    return out.select(*cases.columns, "cue_index", "cue", F.col("_span.start").alias("start"), F.col("_span.end").alias("end"), F.coalesce(occurrence, F.lit(0)).alias("occurrence"))
+    return out.select(*cases.columns, "cue_index", "cue", *[F.col("_span")[n].alias(n) for n in ("start", "end", "occurrence")])
 
 
 def joined_prompt(cues: Column) -> Column:
