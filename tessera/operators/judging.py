@@ -32,8 +32,8 @@ def scored_readouts(rows: DataFrame, output: str, aliases: str, cues: str) -> Da
 
 def counterfactual_rates(rows: DataFrame, base: str, observed: str, threshold: float) -> DataFrame:
     """One row of rates over scored counterfactual rows (role, variant, slot, gold, original_cue, replacement_cue)."""
-    reads = lambda cue: F.coalesce(X.token_recall(F.col(cue), F.col(observed)), F.lit(0.0)) >= threshold
-    marked = rows.withColumns({"_gold": reads("gold"), "_orig": reads("original_cue"), "_repl": reads("replacement_cue")})
+    reads = lambda cue: F.coalesce(X.tokens_said(F.col(cue), F.col("_said")), F.lit(0.0)) >= threshold
+    marked = rows.withColumn("_said", X.content_tokens(F.col(observed))).withColumns({"_gold": reads("gold"), "_orig": reads("original_cue"), "_repl": reads("replacement_cue")})
     is_ = lambda role, variant: (F.col("role") == role) & (F.col("variant") == variant)
     share = lambda ok, among, name: ratio(F.count_if(ok & among), F.count_if(among)).alias(name)
     rates = marked.agg(
