@@ -41,9 +41,13 @@ def distinct_quotes(reasoning: Column) -> Column:
 
 def with_spans(rows: DataFrame, case: str, reasoning: str, least: int = 5) -> DataFrame:
     """``rows`` with statements, and spans: of each statement the longest run of words that the case has, null where it is shorter than ``least`` words. Texts go to one worker each, none to a group."""
-    stated = F.transform(statements(compatible(F.col(reasoning))), _plain)
-    found = rows.withColumn("statements", stated)
-    return found.withColumn("spans", longest_shared_spans(F.col("statements"), plain_signs(F.col(case)), least))
+    return _with_spans(rows, plain_signs(F.col(case)), compatible(F.col(reasoning)), least)
+
+
+def _with_spans(rows: DataFrame, case: Column, reasoning: Column, least: int) -> DataFrame:
+    """The same of a case and a reasoning that are in compatible forms already, so that no text goes to Python for them twice."""
+    found = rows.withColumn("statements", F.transform(statements(reasoning), _plain))
+    return found.withColumn("spans", longest_shared_spans(F.col("statements"), case, least))
 
 
 def quote_profile(rows: DataFrame, case: str, article: str, reasoning: str, least: int = 5) -> DataFrame:
@@ -51,9 +55,9 @@ def quote_profile(rows: DataFrame, case: str, article: str, reasoning: str, leas
 
     Records without a case or a reasoning count as records only. Rates are 0 where there is nothing to divide by.
     """
-    there = F.when((plain_signs(F.coalesce(F.col(case), F.lit(""))) != "") & (F.coalesce(F.col(reasoning), F.lit("")) != ""), compatible(F.col(reasoning)))
-    slim = rows.select(F.col(case).alias("_case"), plain_signs(F.coalesce(F.col(article), F.lit(""))).alias("_article"), there.alias("_why"))
-    full = with_spans(slim, "_case", "_why", least).withColumns({"_quotes": F.transform(quoted(F.col("_why")), F.lower), "_text": F.lower(plain_signs(F.col("_case"))), "_article": F.lower("_article")})
+    there = F.when((plain_signs(F.col(case)) != "") & (F.coalesce(F.col(reasoning), F.lit("")) != ""), compatible(F.col(reasoning)))
+    slim = rows.select(plain_signs(F.col(case)).alias("_case"), F.lower(plain_signs(F.coalesce(F.col(article), F.lit("")))).alias("_article"), there.alias("_why"))
+    full = _with_spans(slim, F.col("_case"), F.col("_why"), least).withColumns({"_quotes": F.transform(quoted(F.col("_why")), F.lower), "_text": F.lower("_case")})
     n = lambda ok: F.coalesce(F.sum(F.size(F.filter("_quotes", ok)).cast("long")), F.lit(0))
     in_case, in_article = (lambda q: F.contains("_text", q)), (lambda q: F.contains("_article", q))
     spans = F.filter("spans", lambda s: s.isNotNull())

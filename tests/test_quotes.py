@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from tessera.functions.runs import longest_run, longest_shared_spans
+from tessera.functions.runs import by_looking, by_suffixes, longest_run, longest_shared_spans
 from tessera.operators import quotes as Q
 
 
@@ -66,3 +66,22 @@ def test_profile_of_quotes(spark):
         "span_rate": 0.3333, "mean_span_words": 5.0, "mean_quotes": 0.6, "mean_statements": 0.6,
     }
     assert Q.quote_profile(frame.limit(0), "body", "paper", "why").collect()[0]["case_rate"] == 0.0
+
+
+def test_looking_and_suffixes_agree():
+    rng = random.Random(5)
+    for _ in range(600):
+        lower = "".join(rng.choice("aab ") for _ in range(rng.randint(1, 40))).split()
+        text = "".join(rng.choice("aab ") for _ in range(rng.randint(1, 60)))
+        least = rng.randint(1, 3)
+        first, count = by_suffixes(lower, text) if lower else (0, 0)
+        assert by_looking(lower, text, least) == ((first, count) if count >= least else (0, least - 1)), (lower, text, least)
+
+
+def test_python_holds_few_rows(spark):
+    """Batches of 10,000 rows of texts made a worker grow with the table; a text in compatible forms isn't sent again."""
+    frame = spark.createDataFrame([("Das Übel ﬁng hier an, so sagt man", "Übel", "1. Das Übel ﬁng hier an")], "body string, paper string, why string")
+    for found, passes in ((Q.quote_profile(frame, "body", "paper", "why", 3), 2), (Q.with_spans(frame, "body", "why", 3), 2)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "ArrowEvalPython" not in plan and plan.count("BatchEvalPython") == passes
+    assert Q.with_spans(frame, "body", "why", 3).collect()[0]["spans"] == ["Das Übel fing hier an"]
