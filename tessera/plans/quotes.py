@@ -31,7 +31,8 @@ def _reasoned(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("shared_spans", f"WITH {_REASONED} SELECT conv_id, turn, place::INT AS place, span FROM spans")
 def shared_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each statement's longest run of five words or more of the question."""
-    found = Q.with_spans(_reasoned(spark, sf_dir), "text", "why").select("conv_id", "turn", F.posexplode("spans").alias("place", "span"))
+    # outer, as Spark would otherwise find the spans once more beforehand to leave out rows without any
+    found = Q.with_spans(_reasoned(spark, sf_dir), "text", "why").select("conv_id", "turn", F.posexplode_outer("spans").alias("place", "span"))
     return found.where("span IS NOT NULL")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.runs import by_looking, by_suffixes, longest_run, longest_shared_spans
 from tessera.operators import quotes as Q
+from tessera.plans.quotes import shared_spans
 
 
 def look(said, text, least):
@@ -85,3 +86,8 @@ def test_python_holds_few_rows(spark):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert "ArrowEvalPython" not in plan and plan.count("BatchEvalPython") == passes
     assert Q.with_spans(frame, "body", "why", 3).collect()[0]["spans"] == ["Das Übel fing hier an"]
+
+
+def test_spans_are_found_once(spark):
+    plan = shared_spans(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("BatchEvalPython") == 2
