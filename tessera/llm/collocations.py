@@ -5,9 +5,13 @@ its suffixes, which end with their piece, are sorted by prefix doubling: ranks b
 share a prefix of m words (the intervals of the common-prefix lengths) are the n-grams of m words, and their lengths the counts.
 
 Two passes keep rare n-grams, nearly all of them, out of the shuffles. In the first a shard sends only 64-bit keys of its words and pairs
-of words with their counts; those that reach the least count over all shards go back to the shards that have them. In the second each piece is cut
-wherever a word or a pair is too rare, which no phrase that counts can hold, and the n-grams of what is left are sent as text
-and summed up by key. Keys that collide only let an n-gram through that its own sum then drops: counts are exact.
+of words with their counts and a check of 16 bits more; those that reach the least count over all shards go back to the shards that have them.
+In the second each piece is cut wherever a word or a pair is too rare, which no phrase that counts can hold. A word or a pair is
+sent as text by one of its shards, with the count over all. Longer n-grams are sent as windows: what is left of the piece from a word on, up to the longest phrase, each
+different one once a shard. Windows meet by their first three words, where the counts of all n-grams that begin with these are whole.
+
+If a key's checks differ, its words and pairs are sent as text by each shard and summed up by their text. So keys that collide are told, but for those that agree
+in all 80 bits.
 
 A phrase's lowest-scoring cut, its rank, and whether a longer phrase takes it in are joins and sums over the phrases that reach
 the least count. Products are exact as decimals of 38 digits.
@@ -20,15 +24,15 @@ are left out, whatever their names.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import dropped, give_back, raw, stored
-from tessera.llm.words import LOWER, cut_out, joined, mix, word_hashes, word_numbers
+from tessera.llm.words import LOWER, cut_out, joined, mix, word_checks, word_hashes, word_numbers
 
 SHARD_MB = 8
 #: Parts of a language in which the first phrases are found before those of the whole language.
@@ -43,7 +47,7 @@ GAPS[[0x20, 0x09]] = True
 
 
 class Shard:
-    """The words of a shard's texts: where they stand, a number for each word of a language, its key, and the piece."""
+    """The words of a shard's texts: where they stand, a number for each word of a language, its key and check, and the piece."""
 
     def __init__(self, table: pa.Table):
         text, ends = raw(table.column("text"))
@@ -65,16 +69,21 @@ class Shard:
         edge[:-1] |= PIECE_ENDS[self.text]
         self.piece = np.cumsum(edge[:-1])[self.starts] if len(text) else np.zeros(0, np.int64)
         names, name_ends = raw(pa.array(self.langs.dictionary.to_pylist(), pa.string()))
-        lang_keys = word_hashes(names, name_ends[:-1], name_ends[1:])
+        lang_keys, lang_checks = word_hashes(names, name_ends[:-1], name_ends[1:]), word_checks(names, name_ends[:-1], name_ends[1:])
         words = word_numbers(self.text, self.starts, self.ends)
         count = int(words.max(initial=-1)) + 1
         _, at, self.word = np.unique(self.lang.astype(np.int64) * count + words, return_index=True, return_inverse=True)
         self.keys = mix(word_hashes(self.text, self.starts[at], self.ends[at]) + mix(lang_keys[self.lang[at]] * ODD))
+        self.checks = mix(word_checks(self.text, self.starts[at], self.ends[at]) + mix(lang_checks[self.lang[at]] * ODD))
 
     def pair_keys(self, at: np.ndarray) -> np.ndarray:
         """Keys of the pairs of words that start at ``at``."""
         return mix(self.keys[self.word[at]] * ODD + self.keys[self.word[at + 1]])
 
+    def pair_checks(self, at: np.ndarray) -> np.ndarray:
+        """Checks of the pairs of words that start at ``at``."""
+        return mix(self.checks[self.word[at]] * ODD + self.checks[self.word[at + 1]])
+
 
 def suffix_array(word: np.ndarray, left: np.ndarray, longest: int) -> np.ndarray:
     """Suffixes in order of their first ``longest`` words; left: how many words each has to its piece's end."""
@@ -106,15 +115,21 @@ def common_prefixes(word: np.ndarray, left: np.ndarray, order: np.ndarray, longe
     return out
 
 
-def n_grams(word: np.ndarray, left: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each number m of words, a place of each n-gram and how often it stands there."""
-    order = suffix_array(word, left, longest)
-    shared = common_prefixes(word, left, order, longest)
-    for m in range(1, longest + 1):
-        heads = np.flatnonzero(shared < m)
-        sizes = np.diff(np.append(heads, len(order)))
-        whole = left[order[heads]] >= m
-        yield m, order[heads[whole]], sizes[whole]
+def n_grams(order: np.ndarray, shared: np.ndarray, left: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each n-gram of ``m`` words and how often it stands there."""
+    heads = np.flatnonzero(shared < m)
+    sizes = np.diff(np.append(heads, len(order)))
+    whole = left[order[heads]] >= m
+    return order[heads[whole]], sizes[whole]
+
+
+def windows(order: np.ndarray, shared: np.ndarray, left: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each different window, a place's words up to ``longest`` or to its run's end, if three or more: a place, its words and how often it stands there."""
+    size = np.minimum(left, longest)[order]
+    heads = np.flatnonzero((shared < size) | np.append(True, size[1:] != size[:-1])[: len(size)])
+    counts = np.diff(np.append(heads, len(order)))
+    long = size[heads] > 2
+    return order[heads[long]], size[heads[long]], counts[long]
 
 
 def words_left(parted: np.ndarray) -> np.ndarray:
@@ -124,56 +139,110 @@ def words_left(parted: np.ndarray) -> np.ndarray:
 
 
 def first_pass(table: pa.Table) -> pa.Table:
-    """Keys and counts of a shard's words and pairs of words."""
+    """Keys, checks and counts of a shard's words and pairs of words."""
     shard = Shard(table)
-    parted = np.append(shard.piece[1:] != shard.piece[:-1], True)[: len(shard.word)]
-    found = [(shard.keys[shard.word[at]] if m == 1 else shard.pair_keys(at), n) for m, at, n in n_grams(shard.word, words_left(parted), 2)] if len(shard.word) else []
-    keys, counts = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+    keys, checks, counts = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if len(shard.word):
+        left = words_left(np.append(shard.piece[1:] != shard.piece[:-1], True))
+        order = suffix_array(shard.word, left, 2)
+        shared = common_prefixes(shard.word, left, order, 2)
+        (one, n_one), (two, n_two) = (n_grams(order, shared, left, m) for m in (1, 2))
+        keys = np.concatenate([shard.keys[shard.word[one]], shard.pair_keys(two)])
+        checks = np.concatenate([shard.checks[shard.word[one]], shard.pair_checks(two)])
+        counts = np.concatenate([n_one, n_two])
     give_back()
-    return pa.table({"shard": pa.array(np.full(len(keys), table.column("shard")[0].as_py(), np.int32)), "key": pa.array(keys.view(np.int64)), "n": pa.array(counts.astype(np.int32))})
+    number = np.full(len(keys), table.column("shard")[0].as_py(), np.int32)
+    check = (checks >> np.uint64(48)).astype(np.uint16).view(np.int16)
+    return pa.table({"shard": pa.array(number), "key": pa.array(keys.view(np.int64)), "check": pa.array(check), "n": pa.array(counts.astype(np.int32))})
+
+
+def known_keys(keys: DataFrame, least: int) -> DataFrame:
+    """shard, key and total of the keys that stand ``least`` times or more; total: the count over all shards in the first shard, 0 in others, -1 in all if the checks differ."""
+    of_key = Window.partitionBy("key")
+    found = keys.withColumns({"total": F.sum("n").over(of_key), "owner": F.min("shard").over(of_key), "low": F.min("check").over(of_key), "high": F.max("check").over(of_key)})
+    total = F.when(F.col("low") != F.col("high"), F.lit(-1)).when(F.col("shard") == F.col("owner"), F.col("total")).otherwise(F.lit(0))
+    return found.where(F.col("total") >= least).select("shard", "key", total.cast("long").alias("total"))
 
 
 def second_pass(table: pa.Table, known: pa.Table, longest: int) -> pa.Table:
-    """lang, phrase, size and n of a shard's n-grams of which no word or pair is too rare; size 0 has a language's number of words."""
+    """lang, phrase, size and n of the words and pairs that a shard is to send, and of its windows; size 0 has a language's number of words."""
     if not table.num_rows:
         return GRAMS.empty_table()
     shard = Shard(table)
     size = len(shard.word)
-    keys = np.sort(known.column("key").to_numpy().view(np.uint64))
+    keys = known.column("key").to_numpy().view(np.uint64)
+    sort = np.argsort(keys, kind="stable")
+    keys, total = keys[sort], known.column("total").to_numpy()[sort]
     out = []
     totals = np.bincount(shard.lang, minlength=len(shard.langs.dictionary)) if size else np.zeros(0, np.int64)
     there = np.flatnonzero(totals)
-    out.append((there, pa.array([""] * len(there), pa.string()), 0, totals[there]))
+    out.append((there, pa.array([""] * len(there), pa.string()), np.zeros(len(there), np.int32), totals[there]))
     if size and len(keys):
-        has = lambda x: keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
-        often = has(shard.keys)
+
+        def sought(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+            return keys[at] == x, total[at]
+
+        often, sums = sought(shard.keys)
         kept = often[shard.word]
         linked = (shard.piece[1:] == shard.piece[:-1]) & kept[1:] & kept[:-1]
         at = np.flatnonzero(linked)
-        linked[at] = has(shard.pair_keys(at))
+        linked[at], pair_sums = sought(shard.pair_keys(at))
+        pair_sum = np.zeros(size, np.int64)
+        pair_sum[at] = pair_sums
         flat, places = joined(shard.text, shard.starts, shard.ends)
         runs = np.append(~linked, True)
         alone = runs & np.append(True, runs[:-1])
-        # words by number; longer n-grams from the suffixes of runs of two words or more
+        # words by number; pairs and windows from the suffixes of runs of two words or more
         counts = np.bincount(shard.word)
         first = np.zeros(len(counts), np.int64)
         first[shard.word[::-1]] = np.arange(size)[::-1]
-        one = np.flatnonzero(often)
-        found = [(1, first[one], counts[one])]
+        one = np.flatnonzero(often & (sums != 0))
+        found = [(first[one], np.ones(len(one), np.int64), np.where(sums[one] > 0, sums[one], counts[one]))]
         rest = np.flatnonzero(~alone)
-        if len(rest):
-            found += [(m, rest[where], n) for m, where, n in n_grams(shard.word[rest], words_left(runs[rest]), longest) if m > 1]
-        for m, where, n in found:
+        if len(rest) and longest > 1:
+            word, left = shard.word[rest], words_left(runs[rest])
+            order = suffix_array(word, left, longest)
+            shared = common_prefixes(word, left, order, longest)
+            two, n = n_grams(order, shared, left, 2)
+            sums = pair_sum[rest[two]]
+            sent = sums != 0
+            found.append((rest[two[sent]], np.full(int(sent.sum()), 2), np.where(sums > 0, sums, n)[sent]))
+            where, m, n = windows(order, shared, left, longest)
+            found.append((rest[where], m, n))
+        for where, m, n in found:
             starts, stops = places[where], places[where + m] - 1
-            ends = np.concatenate([[0], np.cumsum(stops - starts)])
-            text = pa.Array.from_buffers(pa.large_string(), len(where), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(cut_out(flat, starts, stops).tobytes())])
-            out.append((shard.lang[where], text.cast(pa.string()), m, n))
+            out.append((shard.lang[where], slices(flat, starts, stops).cast(pa.string()), m, n))
     give_back()
     return pa.concat_tables(
-        pa.table({"lang": shard.langs.dictionary.take(pa.array(lang)), "phrase": phrase, "size": pa.array(np.full(len(n), m, np.int32)), "n": pa.array(n.astype(np.int64))}, schema=GRAMS) for lang, phrase, m, n in out
+        pa.table({"lang": shard.langs.dictionary.take(pa.array(lang)), "phrase": phrase, "size": pa.array(m.astype(np.int32)), "n": pa.array(n.astype(np.int64))}, schema=GRAMS) for lang, phrase, m, n in out
     )
 
 
+def slices(flat: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.Array:
+    """The slices of ``flat`` as strings."""
+    ends = np.concatenate([[0], np.cumsum(stops - starts)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(cut_out(flat, starts, stops).tobytes())])
+
+
+def counted(table: pa.Table, least: int, longest: int) -> pa.Table:
+    """lang, phrase, size and f of what stands ``least`` times or more among words, pairs and windows, of which all that begin alike are in ``table``."""
+    lang, size, n = table.column("lang").combine_chunks(), table.column("size").to_numpy(), table.column("n").to_numpy()
+    text, ends = raw(table.column("phrase"))
+    gaps = np.append(np.flatnonzero(text == 32), len(text))
+    gap = np.searchsorted(gaps, ends[:-1])
+    out = []
+    for m in range(longest + 1):
+        # windows of m words or more begin with an n-gram of m words
+        at = np.flatnonzero((size >= m) if m > 2 else (size == m))
+        stops = np.where(size[at] > m, gaps[np.minimum(gap[at] + max(m - 1, 0), len(gaps) - 1)], ends[at + 1])
+        found = pa.table({"lang": lang.take(pa.array(at)), "phrase": slices(text, ends[at], stops), "n": n[at]}).group_by(["lang", "phrase"]).aggregate([("n", "sum")])
+        often = found.filter(pc.greater_equal(found.column("n_sum"), 0 if m == 0 else least))
+        out.append(pa.table({"lang": often.column("lang"), "phrase": often.column("phrase").cast(pa.string()), "size": pa.array(np.full(len(often), m, np.int32)), "f": often.column("n_sum")}))
+    give_back()
+    return pa.concat_tables(out)
+
+
 GRAMS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("n", pa.int64())])
 
 
@@ -186,15 +255,18 @@ def phrase_counts(docs: DataFrame, least: int, longest: int, text: str, lang: Co
     shards = max(1, math.ceil((seen.get["n"] or 0) / (shard_mb * 1e6)))
     by_shard = rows.select(F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), "lang", "text").groupBy("shard")
 
-    keys = by_shard.applyInArrow(first_pass, "shard int, key long, n int")
-    total = F.sum("n").over(Window.partitionBy("key"))
-    known = keys.withColumn("total", total).where(F.col("total") >= least).select("shard", "key")
+    keys = by_shard.applyInArrow(first_pass, "shard int, key long, check short, n int")
+    known = known_keys(keys, least)
 
     def second(table: pa.Table, known: pa.Table) -> pa.Table:
         return second_pass(table, known, longest)
 
+    def whole(table: pa.Table) -> pa.Table:
+        return counted(table, least, longest)
+
     grams = by_shard.cogroup(known.groupBy("shard")).applyInArrow(second, "lang string, phrase string, size int, n long")
-    found = stored(grams.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f")).where((F.col("f") >= least) | (F.col("size") == 0)))
+    alike = F.pmod(F.xxhash64("lang", F.substring_index("phrase", " ", 3)), F.lit(shards)).cast("int").alias("alike")
+    found = stored(grams.select(alike, "lang", "phrase", "size", "n").groupBy("alike").applyInArrow(whole, "lang string, phrase string, size int, f long"))
     dropped(rows)
     return found
 

@@ -5,10 +5,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import collocations as C
+from tessera.llm.words import word_checks, word_hashes
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -97,3 +99,50 @@ def test_prefix_doubling_orders_suffixes():
     for a, b, n in zip(order, order[1:], shared[1:], strict=False):
         x, y = key(a)[:5], key(b)[:5]
         assert n == next((m for m in range(5) if m >= len(x) or m >= len(y) or x[m] != y[m]), 5)
+
+
+def passes(spark, shards, least, longest=5):
+    """What each shard sends in the second pass, with the keys that it was given."""
+    tables = [pa.table({"shard": pa.array([i] * len(texts), pa.int32()), "lang": ["en"] * len(texts), "text": texts}) for i, texts in enumerate(shards)]
+    rows = [tuple(r.values()) for t in tables for r in C.first_pass(t).to_pylist()]
+    given = [tuple(r) for r in C.known_keys(spark.createDataFrame(rows, "shard int, key long, check short, n int"), least).collect()]
+    out = []
+    for i, t in enumerate(tables):
+        own = [r for r in given if r[0] == i]
+        out.append(C.second_pass(t, pa.table({"shard": pa.array([r[0] for r in own], pa.int32()), "key": pa.array([r[1] for r in own], pa.int64()), "total": pa.array([r[2] for r in own], pa.int64())}), longest))
+    return given, out
+
+
+def test_second_pass_sends_words_and_pairs_once_and_a_window_a_place(spark):
+    rng = random.Random(2)
+    shards = [[" ".join(rng.choice("abc") for _ in range(200)) for _ in range(3)] for _ in range(4)]
+    rows = [(0, text, "en") for texts in shards for text in texts]
+    _, sent = passes(spark, shards, 2)
+    short = [r for t in sent for r in t.to_pylist() if r["size"] in (1, 2)]
+    assert len(short) == len({r["phrase"] for r in short}) == 3 + 9
+    words = Counter(w for _, text, _ in rows for w in text.split())
+    assert {r["phrase"]: r["n"] for r in short if r["size"] == 1} == words
+    for texts, t in zip(shards, sent, strict=True):
+        places = sum(len(text.split()) - 2 for text in texts)
+        windows = [r for r in t.to_pylist() if r["size"] > 2]
+        assert sum(r["n"] for r in windows) == places
+        assert len(windows) == len({r["phrase"] for r in windows}) <= places
+    f = Counter(tuple(w[i : i + m]) for _, text, _ in rows for w in [text.split()] for m in range(1, 6) for i in range(len(w) - m + 1))
+    got = C.counted(pa.concat_tables(sent), 2, 5).to_pylist()
+    assert {r["phrase"]: r["f"] for r in got if r["size"]} == {" ".join(p): n for p, n in f.items() if n > 1}
+
+
+def test_keys_whose_checks_differ_are_counted_by_text(spark):
+    keys = spark.createDataFrame([(0, 5, 1, 3), (1, 5, 2, 4), (0, 6, 1, 3), (1, 6, 1, 4), (0, 7, 1, 1)], "shard int, key long, check short, n int")
+    assert sorted(tuple(r) for r in C.known_keys(keys, 2).collect()) == [(0, 5, -1), (0, 6, 7), (1, 5, -1), (1, 6, 0)]
+    # words of equal keys: a Thue-Morse word and its complement
+    one = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    two = one.translate(str.maketrans("ab", "ba"))
+    text = np.frombuffer((one + two).encode(), np.uint8)
+    starts, stops = np.array([0, 2048]), np.array([2048, 4096])
+    assert len(set(word_hashes(text, starts, stops).tolist())) == 1
+    assert len(set(word_checks(text, starts, stops).tolist())) == 2
+    given, _ = passes(spark, [[f"{one} z q"], [f"{two} z q {two}"]], 2)
+    assert -1 in {r[2] for r in given}
+    rows = [(i, f"{one if i % 3 else two} z q z {two} z q", "en") for i in range(24)]
+    assert found(C.collocations(spark.createDataFrame(rows, SCHEMA).repartition(3), 3, shard_mb=0.03)) == brute(rows, 3)
