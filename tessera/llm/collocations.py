@@ -139,7 +139,7 @@ def words_left(parted: np.ndarray) -> np.ndarray:
 
 
 def first_pass(table: pa.Table) -> pa.Table:
-    """Keys, checks and counts of a shard's words and pairs of words."""
+    """Keys of a shard's words and pairs of words, and their counts and checks in one number, which is the least to shuffle: 65536 times the count, and the check."""
     shard = Shard(table)
     keys, checks, counts = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if len(shard.word):
@@ -152,14 +152,15 @@ def first_pass(table: pa.Table) -> pa.Table:
         counts = np.concatenate([n_one, n_two])
     give_back()
     number = np.full(len(keys), table.column("shard")[0].as_py(), np.int32)
-    check = (checks >> np.uint64(48)).astype(np.uint16).view(np.int16)
-    return pa.table({"shard": pa.array(number), "key": pa.array(keys.view(np.int64)), "check": pa.array(check), "n": pa.array(counts.astype(np.int32))})
+    marked = counts * 65536 + (checks >> np.uint64(48)).astype(np.int64)
+    return pa.table({"shard": pa.array(number), "key": pa.array(keys.view(np.int64)), "marked": pa.array(marked)})
 
 
 def known_keys(keys: DataFrame, least: int) -> DataFrame:
     """shard, key and total of the keys that stand ``least`` times or more; total: the count over all shards in the first shard, 0 in others, -1 in all if the checks differ."""
     of_key = Window.partitionBy("key")
-    found = keys.withColumns({"total": F.sum("n").over(of_key), "owner": F.min("shard").over(of_key), "low": F.min("check").over(of_key), "high": F.max("check").over(of_key)})
+    n, check = F.shiftright("marked", 16), F.col("marked").bitwiseAND(F.lit(65535))
+    found = keys.withColumns({"total": F.sum(n).over(of_key), "owner": F.min("shard").over(of_key), "low": F.min(check).over(of_key), "high": F.max(check).over(of_key)})
     total = F.when(F.col("low") != F.col("high"), F.lit(-1)).when(F.col("shard") == F.col("owner"), F.col("total")).otherwise(F.lit(0))
     return found.where(F.col("total") >= least).select("shard", "key", total.cast("long").alias("total"))
 
@@ -255,7 +256,7 @@ def phrase_counts(docs: DataFrame, least: int, longest: int, text: str, lang: Co
     shards = max(1, math.ceil((seen.get["n"] or 0) / (shard_mb * 1e6)))
     by_shard = rows.select(F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), "lang", "text").groupBy("shard")
 
-    keys = by_shard.applyInArrow(first_pass, "shard int, key long, check short, n int")
+    keys = by_shard.applyInArrow(first_pass, "shard int, key long, marked long")
     known = known_keys(keys, least)
 
     def second(table: pa.Table, known: pa.Table) -> pa.Table:

@@ -105,7 +105,7 @@ def passes(spark, shards, least, longest=5):
     """What each shard sends in the second pass, with the keys that it was given."""
     tables = [pa.table({"shard": pa.array([i] * len(texts), pa.int32()), "lang": ["en"] * len(texts), "text": texts}) for i, texts in enumerate(shards)]
     rows = [tuple(r.values()) for t in tables for r in C.first_pass(t).to_pylist()]
-    given = [tuple(r) for r in C.known_keys(spark.createDataFrame(rows, "shard int, key long, check short, n int"), least).collect()]
+    given = [tuple(r) for r in C.known_keys(spark.createDataFrame(rows, "shard int, key long, marked long"), least).collect()]
     out = []
     for i, t in enumerate(tables):
         own = [r for r in given if r[0] == i]
@@ -133,7 +133,8 @@ def test_second_pass_sends_words_and_pairs_once_and_a_window_a_place(spark):
 
 
 def test_keys_whose_checks_differ_are_counted_by_text(spark):
-    keys = spark.createDataFrame([(0, 5, 1, 3), (1, 5, 2, 4), (0, 6, 1, 3), (1, 6, 1, 4), (0, 7, 1, 1)], "shard int, key long, check short, n int")
+    rows = [(0, 5, 1, 3), (1, 5, 65535, 4), (0, 6, 65535, 3), (1, 6, 65535, 4), (0, 7, 1, 1)]
+    keys = spark.createDataFrame([(shard, key, n * 65536 + check) for shard, key, check, n in rows], "shard int, key long, marked long")
     assert sorted(tuple(r) for r in C.known_keys(keys, 2).collect()) == [(0, 5, -1), (0, 6, 7), (1, 5, -1), (1, 6, 0)]
     # words of equal keys: a Thue-Morse word and its complement
     one = "".join("ab"[i.bit_count() % 2] for i in range(2048))
