@@ -5,7 +5,8 @@ its suffixes, which end with their piece, are sorted by prefix doubling: ranks b
 share a prefix of m words (the intervals of the common-prefix lengths) are the n-grams of m words, and their lengths the counts.
 
 Two passes keep rare n-grams, nearly all of them, out of the shuffles. In the first a shard sends only 64-bit keys of its words and pairs
-of words with their counts and a check of 16 bits more; those that reach the least count over all shards go back to the shards that have them.
+of words with their counts and a check of 16 bits more, packed in order of the keys, a row for each range of keys; back goes a bit a key,
+which tells those that reach the least count over all shards.
 In the second each piece is cut wherever a word or a pair is too rare, which no phrase that counts can hold. A word or a pair is
 sent as text by one of its shards, with the count over all. Longer n-grams are sent as windows: what is left of the piece from a word on, up to the longest phrase, each
 different one once a shard. Windows meet by their first three words, where the counts of all n-grams that begin with these are whole.
@@ -84,6 +85,13 @@ class Shard:
         """Checks of the pairs of words that start at ``at``."""
         return mix(self.checks[self.word[at]] * ODD + self.checks[self.word[at + 1]])
 
+    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A place of each word and how often it stands there, and the same of each pair of words."""
+        left = words_left(np.append(self.piece[1:] != self.piece[:-1], True)[: len(self.piece)])
+        order = suffix_array(self.word, left, 2)
+        shared = common_prefixes(self.word, left, order, 2)
+        return *n_grams(order, shared, left, 1), *n_grams(order, shared, left, 2)
+
 
 def suffix_array(word: np.ndarray, left: np.ndarray, longest: int) -> np.ndarray:
     """Suffixes in order of their first ``longest`` words; left: how many words each has to its piece's end."""
@@ -139,41 +147,136 @@ def words_left(parted: np.ndarray) -> np.ndarray:
 
 
 def first_pass(table: pa.Table) -> pa.Table:
-    """Keys of a shard's words and pairs of words, and their counts and checks in one number, which is the least to shuffle: 65536 times the count, and the check."""
+    """Keys of a shard's words and pairs of words, and their counts and checks in one number: 65536 times the count, and the check."""
     shard = Shard(table)
-    keys, checks, counts = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if len(shard.word):
-        left = words_left(np.append(shard.piece[1:] != shard.piece[:-1], True))
-        order = suffix_array(shard.word, left, 2)
-        shared = common_prefixes(shard.word, left, order, 2)
-        (one, n_one), (two, n_two) = (n_grams(order, shared, left, m) for m in (1, 2))
-        keys = np.concatenate([shard.keys[shard.word[one]], shard.pair_keys(two)])
-        checks = np.concatenate([shard.checks[shard.word[one]], shard.pair_checks(two)])
-        counts = np.concatenate([n_one, n_two])
+    one, n_one, two, n_two = shard.grams()
+    keys = np.concatenate([shard.keys[shard.word[one]], shard.pair_keys(two)])
+    checks = np.concatenate([shard.checks[shard.word[one]], shard.pair_checks(two)])
+    counts = np.concatenate([n_one, n_two])
     give_back()
     number = np.full(len(keys), table.column("shard")[0].as_py(), np.int32)
     marked = counts * 65536 + (checks >> np.uint64(48)).astype(np.int64)
     return pa.table({"shard": pa.array(number), "key": pa.array(keys.view(np.int64)), "marked": pa.array(marked)})
 
 
+def planes(x: np.ndarray) -> bytes:
+    """64-bit numbers, all lowest bytes first, up to the highest that any has: so what hardly differs stands together, which Spark compresses."""
+    width = (int(np.bitwise_or.reduce(x.view(np.uint64), initial=0)).bit_length() + 7) // 8
+    return x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def numbers(found: bytes, n: int) -> np.ndarray:
+    """The ``n`` numbers whose ``planes`` were taken."""
+    out = np.zeros((n, 8), np.uint8)
+    width = len(found) // max(n, 1)
+    out[:, :width] = np.frombuffer(found, np.uint8).reshape(width, n).T
+    return out.view(np.uint64).ravel()
+
+
+def packed(table: pa.Table, parts: int) -> pa.Table:
+    """Of a shard's keys a row for each of ``parts`` equal ranges: how many, the first, the steps from each to the next larger one, and what they are marked with."""
+    keys, marked, shard = table.column("key").to_numpy().view(np.uint64), table.column("marked").to_numpy(), table.column("shard").to_numpy()
+    sort = np.argsort(keys)
+    keys, marked = keys[sort], marked[sort]
+    part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+    heads = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+    sizes = np.diff(np.append(heads, len(part)))
+    spans = list(zip(heads.tolist(), (heads + sizes).tolist(), strict=True))
+    return pa.table(
+        {
+            "part": part[heads],
+            "shard": shard[heads],
+            "size": sizes.astype(np.int32),
+            "first": keys[heads].view(np.int64),
+            "steps": [planes(np.diff(keys[a:b])) for a, b in spans],
+            "marks": [planes(marked[a:b]) for a, b in spans],
+        },
+        schema=PACKED,
+    )
+
+
+def known_in_part(table: pa.Table, least: int) -> pa.Table:
+    """What ``known_packed`` gives, of the keys of a part."""
+    table = table.sort_by("shard")
+    size = table.column("size").to_numpy()
+    ends = np.cumsum(size)
+    keys, marked = np.zeros(ends[-1], np.uint64), np.zeros(ends[-1], np.int64)
+    for i, (first, b, n) in enumerate(zip(table.column("first").to_numpy().view(np.uint64), ends.tolist(), size.tolist(), strict=True)):
+        keys[b - n] = first
+        keys[b - n + 1 : b] = numbers(table.column("steps")[i].as_py(), n - 1)
+        np.cumsum(keys[b - n : b], out=keys[b - n : b])
+        marked[b - n : b] = numbers(table.column("marks")[i].as_py(), n).view(np.int64)
+    shard, part = table.column("shard").to_numpy(), table.column("part").to_numpy()
+    del table
+    # of equal keys the first shard comes first
+    sort = np.argsort(keys, kind="stable")
+    keys = keys[sort]
+    heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    del keys
+    sums, sizes = np.add.reduceat(marked[sort] >> 16, heads), np.diff(np.append(heads, len(sort)))
+    often = sums >= least
+    at, sums, sizes = sort[np.repeat(often, sizes)], sums[often], sizes[often]
+    del sort
+    flags, total = np.zeros(len(marked), bool), np.zeros(len(marked), np.int64)
+    if len(at):
+        heads = np.cumsum(sizes) - sizes
+        check, owner = marked[at] & 65535, np.repeat(shard, size)[at]
+        unlike = np.minimum.reduceat(check, heads) != np.maximum.reduceat(check, heads)
+        flags[at] = True
+        total[at] = np.where(np.repeat(unlike, sizes), -1, np.where(owner == np.repeat(owner[heads], sizes), np.repeat(sums, sizes), 0))
+    spans = [slice(b - n, b) for b, n in zip(ends.tolist(), size.tolist(), strict=True)]
+    out = {"part": part, "shard": shard, "size": size, "flags": [np.packbits(flags[x]).tobytes() for x in spans], "totals": [planes(total[x][flags[x]]) for x in spans]}
+    give_back()
+    return pa.table(out, schema=KNOWN)
+
+
+PACKED = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("size", pa.int32()), ("first", pa.int64()), ("steps", pa.binary()), ("marks", pa.binary())])
+KNOWN = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("size", pa.int32()), ("flags", pa.binary()), ("totals", pa.binary())])
+PACKED_DDL = "part int, shard int, size int, first long, steps binary, marks binary"
+
+
+def known_packed(packs: DataFrame, least: int) -> DataFrame:
+    """For each row of ``packs`` a bit for each of its keys, which is set if the key stands ``least`` times or more, and the totals of those. So the answer grows with the keys sent, however many are frequent.
+
+    total: the count over all shards in the first shard, 0 in others, -1 in all if the checks differ."""
+    return packs.groupBy("part").applyInArrow(lambda table: known_in_part(table, least), "part int, shard int, size int, flags binary, totals binary")
+
+
+def answered(keys: np.ndarray, known: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a shard that are frequent, in order, and their totals, by what ``known_packed`` gives for the shard."""
+    known = known.sort_by("part")
+    flags, total = [np.zeros(0, bool)], [np.zeros(0, np.int64)]
+    for row in known.to_pylist():
+        flags.append(np.unpackbits(np.frombuffer(row["flags"], np.uint8), count=row["size"]).astype(bool))
+        total.append(numbers(row["totals"], int(flags[-1].sum())).view(np.int64))
+    return np.sort(keys)[np.concatenate(flags)], np.concatenate(total)
+
+
 def known_keys(keys: DataFrame, least: int) -> DataFrame:
-    """shard, key and total of the keys that stand ``least`` times or more; total: the count over all shards in the first shard, 0 in others, -1 in all if the checks differ."""
-    of_key = Window.partitionBy("key")
-    n, check = F.shiftright("marked", 16), F.col("marked").bitwiseAND(F.lit(65535))
-    found = keys.withColumns({"total": F.sum(n).over(of_key), "owner": F.min("shard").over(of_key), "low": F.min(check).over(of_key), "high": F.max(check).over(of_key)})
-    total = F.when(F.col("low") != F.col("high"), F.lit(-1)).when(F.col("shard") == F.col("owner"), F.col("total")).otherwise(F.lit(0))
-    return found.where(F.col("total") >= least).select("shard", "key", total.cast("long").alias("total"))
+    """shard, key and total of the frequent ones among keys that stand a row each, by ``known_packed``."""
+
+    def own(table: pa.Table, known: pa.Table) -> pa.Table:
+        found, total = answered(table.column("key").to_numpy().view(np.uint64), known)
+        return pa.table({"shard": pa.array(np.full(len(found), table.column("shard")[0].as_py(), np.int32)), "key": found.view(np.int64), "total": total})
+
+    by_shard = keys.groupBy("shard")
+    known = known_packed(by_shard.applyInArrow(lambda table: packed(table, 1), PACKED_DDL), least)
+    return by_shard.cogroup(known.groupBy("shard")).applyInArrow(own, "shard int, key long, total long")
 
 
 def second_pass(table: pa.Table, known: pa.Table, longest: int) -> pa.Table:
-    """lang, phrase, size and n of the words and pairs that a shard is to send, and of its windows; size 0 has a language's number of words."""
+    """lang, phrase, size and n of the words and pairs that a shard is to send, and of its windows; size 0 has a language's number of words. known: keys and totals, or what ``known_packed`` gives."""
     if not table.num_rows:
         return GRAMS.empty_table()
     shard = Shard(table)
     size = len(shard.word)
-    keys = known.column("key").to_numpy().view(np.uint64)
-    sort = np.argsort(keys, kind="stable")
-    keys, total = keys[sort], known.column("total").to_numpy()[sort]
+    if "flags" in known.column_names:
+        one, _, two, _ = shard.grams()
+        keys, total = answered(np.concatenate([shard.keys[shard.word[one]], shard.pair_keys(two)]), known)
+    else:
+        keys = known.column("key").to_numpy().view(np.uint64)
+        sort = np.argsort(keys, kind="stable")
+        keys, total = keys[sort], known.column("total").to_numpy()[sort]
     out = []
     totals = np.bincount(shard.lang, minlength=len(shard.langs.dictionary)) if size else np.zeros(0, np.int64)
     there = np.flatnonzero(totals)
@@ -256,8 +359,11 @@ def phrase_counts(docs: DataFrame, least: int, longest: int, text: str, lang: Co
     shards = max(1, math.ceil((seen.get["n"] or 0) / (shard_mb * 1e6)))
     by_shard = rows.select(F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), "lang", "text").groupBy("shard")
 
-    keys = by_shard.applyInArrow(first_pass, "shard int, key long, marked long")
-    known = known_keys(keys, least)
+    # a part has about as many keys as a shard, so that tasks are as large for any number of documents
+    def first(table: pa.Table) -> pa.Table:
+        return packed(first_pass(table), shards)
+
+    known = known_packed(by_shard.applyInArrow(first, PACKED_DDL), least)
 
     def second(table: pa.Table, known: pa.Table) -> pa.Table:
         return second_pass(table, known, longest)

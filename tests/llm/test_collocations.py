@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +148,45 @@ def test_keys_whose_checks_differ_are_counted_by_text(spark):
     assert -1 in {r[2] for r in given}
     rows = [(i, f"{one if i % 3 else two} z q z {two} z q", "en") for i in range(24)]
     assert found(C.collocations(spark.createDataFrame(rows, SCHEMA).repartition(3), 3, shard_mb=0.03)) == brute(rows, 3)
+
+
+def test_first_pass_packs_keys(spark):
+    rng = np.random.default_rng(5)
+    bag = rng.integers(-(2**63), 2**63, 300)
+    shards = [pa.table({"shard": pa.array([], pa.int32()), "key": pa.array([], pa.int64()), "marked": pa.array([], pa.int64())})]
+    for i in range(3):
+        keys = np.unique(rng.choice(bag, 200))
+        # a tenth of the keys have checks that differ from shard to shard
+        marked = rng.integers(1, 400, len(keys)) * 65536 + keys % 60000 + (keys % 10 == 0) * i
+        shards.append(pa.table({"shard": pa.array([i] * len(keys), pa.int32()), "key": keys, "marked": marked}))
+    rows = [tuple(r.values()) for t in shards for r in t.to_pylist()]
+    sums, checks, owner = Counter(), {}, {}
+    for shard, key, marked in rows:
+        sums[key] += marked >> 16
+        checks.setdefault(key, set()).add(marked & 65535)
+        owner.setdefault(key, shard)
+    right = sorted((s, k, -1 if len(checks[k]) > 1 else sums[k] if s == owner[k] else 0) for s, k, _ in rows if sums[k] >= 300)
+    assert {-1, 0} < {r[2] for r in right}
+    for parts in (1, 2, 7, 1000):
+        packs = [C.packed(t, parts) for t in shards]
+        assert all(len(p) <= parts for p in packs)
+        frame = spark.createDataFrame([tuple(r.values()) for p in packs for r in p.to_pylist()], C.PACKED_DDL)
+        known = C.known_packed(frame, 300).toArrow()
+        found = []
+        for i, t in enumerate(shards[1:]):
+            own = known.filter(pc.equal(known["shard"], i))
+            # a bit a key goes back, however many are frequent
+            assert sum(len(x) for x in own["flags"].to_pylist()) <= len(t) / 8 + len(own)
+            keys, total = C.answered(t["key"].to_numpy().view(np.uint64), own)
+            found += [(i, k, n) for k, n in zip(keys.view(np.int64).tolist(), total.tolist(), strict=True)]
+        assert sorted(found) == right
+
+
+def test_keys_of_the_first_pass_take_ten_bytes():
+    rng = np.random.default_rng(6)
+    n = 200_000
+    keys, marked = rng.integers(-(2**63), 2**63, n), rng.geometric(0.8, n) * 65536 + rng.integers(0, 65536, n)
+    packs = C.packed(pa.table({"shard": pa.array(np.zeros(n, np.int32)), "key": keys, "marked": marked}), 50)
+    codec = pa.Codec("lz4")
+    size = sum(codec.compress(x.as_py()).size for c in ("steps", "marks") for x in packs[c])
+    assert size < 10 * n
