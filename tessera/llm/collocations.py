@@ -38,6 +38,8 @@ from tessera.llm.words import LOWER, cut_out, joined, mix, word_checks, word_has
 SHARD_MB = 8
 #: Parts of a language in which the first phrases are found before those of the whole language.
 SALTS = 64
+#: Parts of the keys of the first pass, even of few shards, so that no row is large.
+LEAST_PARTS = 96
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 #: What parts pieces, and words within them.
@@ -359,9 +361,11 @@ def phrase_counts(docs: DataFrame, least: int, longest: int, text: str, lang: Co
     shards = max(1, math.ceil((seen.get["n"] or 0) / (shard_mb * 1e6)))
     by_shard = rows.select(F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), "lang", "text").groupBy("shard")
 
-    # a part has about as many keys as a shard, so that tasks are as large for any number of documents
+    # a part has at most about as many keys as a shard, so that tasks are as large for any number of documents
+    parts = max(shards, LEAST_PARTS)
+
     def first(table: pa.Table) -> pa.Table:
-        return packed(first_pass(table), shards)
+        return packed(first_pass(table), parts)
 
     known = known_packed(by_shard.applyInArrow(first, PACKED_DDL), least)
 
